@@ -13,6 +13,7 @@ from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.mixing import mix_sources
 from tidelog.llm.secret_scan import secret_scan
 from tidelog.llm.sharding import shard
+from tidelog.llm.substring_dedup import substring_dedup
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op5_exact_dedup, op6_sharding, op7_mixing)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op5_exact_dedup, op6_sharding, op7_mixing, op10_substring_dedup)}
 
 SQL = {
     "op5_exact_dedup": r"""
