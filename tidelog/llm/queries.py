@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import table
+from tidelog.llm.decontaminate import decontaminate
 from tidelog.llm.exact_dedup import exact_dedup
+from tidelog.llm.language_id import identify_language
 from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.mixing import mix_sources
 from tidelog.llm.ngram_join import ngram_join
@@ -42,11 +44,20 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",").alias("item_ids"), F.size("leaks").cast("long").alias("n_leaks"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op4_ngram_join, op5_exact_dedup, op6_sharding, op7_mixing, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op4_ngram_join, op5_exact_dedup, op6_sharding, op7_mixing, op8_language_id, op9_decontamination, op10_substring_dedup)}
 
 SQL = {
     "op5_exact_dedup": r"""
