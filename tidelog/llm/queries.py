@@ -14,6 +14,7 @@ from tidelog.llm.language_id import identify_language
 from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.mixing import mix_sources
 from tidelog.llm.ngram_join import ngram_join
+from tidelog.llm.quality import classify_quality
 from tidelog.llm.secret_scan import secret_scan
 from tidelog.llm.sharding import shard
 from tidelog.llm.substring_dedup import substring_dedup
@@ -28,6 +29,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents")).select("doc_id", "keep", "quality_score", "weak_posterior")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op4_ngram_join, op5_exact_dedup, op6_sharding, op7_mixing, op8_language_id, op9_decontamination, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality_classifier, op4_ngram_join, op5_exact_dedup, op6_sharding, op7_mixing, op8_language_id, op9_decontamination, op10_substring_dedup)}
 
 SQL = {
     "op5_exact_dedup": r"""
