@@ -311,3 +311,18 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> D
     full = listed.where("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
     empty = listed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return full.unionByName(empty)
+
+
+def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest doc_id of each component; all columns stay.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id stay: nothing would name them.
+    Rows with a null or blank text are linked with nothing and stay.
+    """
+    named = cut(ngram_join(docs, width, percent).where("doc_id = component_id").select("doc_id"))
+    once = named.distinct()
+    kept = docs.join(once.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    if named.count() != once.count():
+        kept = kept.dropDuplicates(["doc_id"])
+    # without an id nothing tells which of its rows are linked
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

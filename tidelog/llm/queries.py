@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidelog.llm.common import table
 from tidelog.llm.decontaminate import decontaminate
 from tidelog.llm.exact_dedup import exact_dedup
@@ -62,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality_classifier, op4_ngram_join, op5_exact_dedup, op6_sharding, op7_mixing, op8_language_id, op9_decontamination, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality_classifier, op4_ngram_join, op5_exact_dedup, op6_sharding, op7_mixing, op8_language_id, op9_decontamination, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
 
 SQL = {
     "op5_exact_dedup": r"""
