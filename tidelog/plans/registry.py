@@ -1,4 +1,659 @@
-"""Registered queries by name, with the SQL that gives the same rows."""
+"""Registered queries by name, over the driver's tables, with the SQL that gives the same rows.
 
-QUERIES: dict = {}
+``events`` stand for the mutation log: a user and an event type make the key, the event's time
+the wall clock, its number the counter.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions import clock, hashing
+from tidelog.operators import aggregate, algebra, capture, facts, mutate, resolve, scan
+from tidelog.plans.order import rank
+from tidelog.plans.schema import TICKS_PER_DAY, hlc, ticks, zero
+
+NOW, CURSOR = 638422560000000000, 638400000000000000  # 2024-01-31 and 2024-01-04 21:20 UTC
+GRACE, PARTITIONS, PAGE = TICKS_PER_DAY, 8, 20
+EXPIRES_AFTER = 7 * TICKS_PER_DAY
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def evlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mutation log: entries, and the columns they come from."""
+    wall = ticks(F.col("ts"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("wall", wall)
+    gone = F.col("event_id") % 7 == 0
+    return rows.select(
+        F.format_string("u%05d/%s", "user_id", "event_type").alias("key"),
+        F.when(~gone, F.col("props").cast("binary")).alias("value"),
+        hlc(F.col("wall"), F.col("event_id")).alias("hlc"),
+        gone.alias("is_tombstone"),
+        F.when(F.col("event_id") % 5 == 0, F.col("wall") + EXPIRES_AFTER).otherwise(0).cast("long").alias("expires_at_ticks"),
+        F.when(F.col("event_id") % 2 == 0, "site-a").otherwise("site-b").alias("origin_cluster_id"),
+        "event_id", "user_id", "event_type",
+    )
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mutation log as a replication log of two trees."""
+    e = evlog(spark, sf_dir)
+    return e.select(F.when(F.col("user_id") % 4 == 0, "audit").otherwise("main").alias("tree_id"), F.when(F.col("is_tombstone"), "Delete").otherwise("Set").alias("op"), F.lit(None).cast("string").alias("end_exclusive_key"), *e.columns)
+
+
+CTES = f"""
+    evlog AS (SELECT event_id, user_id, event_type, format('u{{:05d}}/{{}}', user_id, event_type) AS key, CASE WHEN event_id % 7 <> 0 THEN props END AS value,
+        epoch_us(ts) * 10 + 621355968000000000 AS wall, CAST(event_id AS INTEGER) AS ctr, event_id % 7 = 0 AS is_tombstone,
+        CASE WHEN event_id % 5 = 0 THEN epoch_us(ts) * 10 + 621355968000000000 + {EXPIRES_AFTER} ELSE 0 END AS expires,
+        CASE WHEN event_id % 2 = 0 THEN 'site-a' ELSE 'site-b' END AS origin, CASE WHEN user_id % 4 = 0 THEN 'audit' ELSE 'main' END AS tree_id FROM events),
+    resolved AS (SELECT * FROM evlog QUALIFY row_number() OVER (PARTITION BY key ORDER BY wall DESC, ctr DESC) = 1),
+    live AS (SELECT * FROM resolved WHERE NOT is_tombstone AND (expires = 0 OR expires > {NOW}))"""
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name; ``sql`` may use evlog, resolved and live."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            head, sql_rest = ("WITH RECURSIVE", sql) if "RECURSIVE" in sql else ("WITH", sql)
+            sql_rest = sql_rest.replace("RECURSIVE", "").strip()
+            SQL[f.__name__] = f"{head} {CTES}{',' if sql_rest.startswith('+') else ''} {sql_rest.lstrip('+')}"
+        return f
+
+    return add
+
+
+def flat(rows: DataFrame, *more: str) -> DataFrame:
+    """Entries as plain columns."""
+    return rows.select("key", F.col("value").cast("string").alias("value"), F.col("hlc.wall_ticks").alias("wall"), F.col("hlc.counter").alias("ctr"), "is_tombstone", F.col("expires_at_ticks").alias("expires"), F.col("origin_cluster_id").alias("origin"), *more)
+
+
+FLAT = "key, value, wall, ctr, is_tombstone, expires, origin"
+
+
+def text(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumn("value", F.col("value").cast("string")).select(*columns)
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys to look up: the clicks of every customer's number."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.format_string("u%05d/click", "c_custkey").alias("key"))
+
+
+ASKED = "asked AS (SELECT format('u{:05d}/click', c_custkey) AS key FROM customer)"
+
+
+def key_rank(rows: DataFrame, descending: bool = False) -> DataFrame:
+    return rank(rows, "key", F.substring("key", 1, 5), "rank", descending)
+
+
+# Resolution and reads
+
+
+@query(f"SELECT {FLAT} FROM resolved")
+def lww_resolve(spark, d):
+    return flat(resolve.resolve(evlog(spark, d)))
+
+
+@query("SELECT key, value FROM live")
+def live_entries(spark, d):
+    return text(resolve.live(evlog(spark, d), NOW), "key", "value")
+
+
+@query(f"SELECT {FLAT} FROM live")
+def live_raw(spark, d):
+    return flat(resolve.live(evlog(spark, d), NOW))
+
+
+@query("SELECT key, value FROM live WHERE key = 'u00017/click'")
+def point_get(spark, d):
+    return text(scan.get(evlog(spark, d), "u00017/click", NOW), "key", "value")
+
+
+@query(f"+ {ASKED} SELECT DISTINCT a.key, l.value, coalesce(l.wall, 0) AS wall, coalesce(l.ctr, 0) AS ctr FROM asked a LEFT JOIN live l ON a.key = l.key")
+def get_with_version(spark, d):
+    got = scan.get_with_version(evlog(spark, d), asked(spark, d), NOW)
+    return got.select("key", F.col("value").cast("string").alias("value"), F.col("hlc.wall_ticks").alias("wall"), F.col("hlc.counter").alias("ctr"))
+
+
+@query(f"+ {ASKED} SELECT DISTINCT a.key, l.key IS NOT NULL AS found FROM asked a LEFT JOIN live l ON a.key = l.key")
+def exists_batch(spark, d):
+    return scan.exists(evlog(spark, d), asked(spark, d), NOW)
+
+
+@query(f"+ {ASKED} SELECT key, value FROM live WHERE key IN (SELECT key FROM asked)")
+def get_many(spark, d):
+    return text(scan.get_many(evlog(spark, d), asked(spark, d), NOW), "key", "value")
+
+
+@query(f"+ {ASKED} SELECT {FLAT} FROM resolved WHERE NOT is_tombstone AND key IN (SELECT key FROM asked)")
+def get_raw(spark, d):
+    return flat(scan.get_raw(evlog(spark, d), asked(spark, d)))
+
+
+@query("SELECT key, CAST(json_extract(value, '$.k') AS BIGINT) AS k FROM live")
+def typed_view_json(spark, d):
+    from pyspark.sql import types as T
+
+    rows = scan.typed(resolve.live(evlog(spark, d), NOW), T.StructType([T.StructField("k", T.LongType())]))
+    return rows.select("key", F.col("typed.k").alias("k"))
+
+
+# Scans
+
+
+@query("SELECT key, row_number() OVER (ORDER BY key) AS rank FROM live")
+def scan_keys(spark, d):
+    return key_rank(resolve.live(evlog(spark, d), NOW)).select("key", "rank")
+
+
+@query("SELECT key, value, row_number() OVER (ORDER BY key) AS rank FROM live")
+def scan_entries(spark, d):
+    return text(key_rank(resolve.live(evlog(spark, d), NOW)), "key", "value", "rank")
+
+
+@query("SELECT key, value FROM live WHERE key >= 'u00010/' AND key < 'u00020/'")
+def scan_range(spark, d):
+    return text(scan.scan_entries(evlog(spark, d), NOW, "u00010/", "u00020/"), "key", "value")
+
+
+@query("SELECT key, value, row_number() OVER (ORDER BY key DESC) AS rank FROM live WHERE key >= 'u00010/' AND key < 'u00060/'")
+def scan_reverse_ranked(spark, d):
+    rows = resolve.live(evlog(spark, d).where(scan.in_range("u00010/", "u00060/")), NOW)
+    return text(key_rank(rows, descending=True), "key", "value", "rank")
+
+
+@query(f"SELECT key, value FROM live WHERE key > 'u00012/error' AND key < 'u00090/' ORDER BY key LIMIT {PAGE}")
+def page_forward(spark, d):
+    return text(scan.page(evlog(spark, d), NOW, PAGE, "u00012/error", None, "u00090/"), "key", "value")
+
+
+@query(f"SELECT key, value FROM live WHERE key < 'u00090/click' AND key >= 'u00010/' ORDER BY key DESC LIMIT {PAGE}")
+def page_reverse(spark, d):
+    return text(scan.page(evlog(spark, d), NOW, PAGE, "u00090/click", "u00010/", None, reverse=True), "key", "value")
+
+
+@query("SELECT key, value FROM live WHERE user_id % 8 IN (1, 5) ORDER BY key LIMIT 20")
+def page_slots(spark, d):
+    slots = spark.range(1, 8, 4).select(F.col("id").alias("slot"))
+    return text(scan.page(evlog(spark, d), NOW, PAGE, slots=slots, slot=F.substring("key", 2, 5).cast("long") % 8), "key", "value")
+
+
+@query(f"SELECT key, row_number() OVER (ORDER BY key) AS rank, (row_number() OVER (ORDER BY key) - 1) // {PAGE} AS page FROM live")
+def cursor_page_k(spark, d):
+    rows = key_rank(resolve.live(evlog(spark, d), NOW))
+    return rows.select("key", "rank", F.expr(f"(rank - 1) div {PAGE}").alias("page"))
+
+
+@query(f"""SELECT p AS page, CAST(greatest(0, least({PAGE}, n - p * {PAGE})) AS BIGINT) AS n_keys, n - p * {PAGE} >= {PAGE} AS has_more
+    FROM (SELECT count(*) AS n FROM live), LATERAL (SELECT unnest(range(0, n // {PAGE} + 1)) AS p)""")
+def cursor_has_more(spark, d):
+    n = aggregate.count_live(evlog(spark, d), NOW)
+    pages = n.select("n", F.explode(F.expr(f"sequence(0L, n div {PAGE})")).alias("page"))
+    left = F.col("n") - F.col("page") * PAGE
+    return pages.select("page", F.greatest(F.lit(0), F.least(F.lit(PAGE), left)).cast("long").alias("n_keys"), (left >= PAGE).alias("has_more"))
+
+
+# Writes: the events of even seconds of the id are the store, the rest are requests
+
+
+@query("""+ req AS (SELECT key, value, wall, ctr FROM evlog WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id DESC) = 1),
+    base AS (SELECT key, value, wall, ctr FROM evlog WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY wall DESC, ctr DESC) = 1)
+    SELECT key, coalesce(r.value, CASE WHEN r.key IS NULL THEN b.value END) AS value, r.key IS NOT NULL AS written FROM base b FULL JOIN req r USING (key)""")
+def set_many_upsert(spark, d):
+    e = evlog(spark, d)
+    base, req = e.where("event_id % 2 = 0"), mutate.last_of_each(e.where("event_id % 2 = 1"), "event_id")
+    new = mutate.entries_of(req, hlc(NOW, F.col("event_id")))
+    after = resolve.resolve(base.select(*new.columns).unionByName(new))
+    return after.select("key", F.col("value").cast("string").alias("value"), (F.col("hlc.wall_ticks") == NOW).alias("written"))
+
+
+@query(f"""+ base AS (SELECT * FROM (SELECT * FROM evlog WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY wall DESC, ctr DESC) = 1) WHERE NOT is_tombstone AND (expires = 0 OR expires > {NOW})),
+    req AS (SELECT key, CASE WHEN max(event_id) % 3 = 0 THEN 0 ELSE arg_max(wall, event_id) END AS ew, CASE WHEN max(event_id) % 3 = 0 THEN 0 ELSE max(ctr) END AS ec FROM evlog GROUP BY key)
+    SELECT r.key, coalesce(b.wall, 0) = ew AND coalesce(b.ctr, 0) = ec AS applied, coalesce(b.wall, 0) AS wall, coalesce(b.ctr, 0) AS ctr FROM req r LEFT JOIN base b ON r.key = b.key""")
+def cas_result(spark, d):
+    e = evlog(spark, d)
+    last = e.groupBy("key").agg(F.max("event_id").alias("n"), F.max_by("hlc", "event_id").alias("h"))
+    req = last.select("key", F.lit("new").cast("binary").alias("new_value"), F.when(F.col("n") % 3 == 0, zero()).otherwise(F.col("h")).alias("expected"))
+    got = mutate.set_if_version(e.where("event_id % 2 = 0"), req, NOW)
+    return got.select("key", "applied", F.col("current.wall_ticks").alias("wall"), F.col("current.counter").alias("ctr"))
+
+
+@query(f"+ {ASKED} SELECT DISTINCT a.key, l.value AS existing, l.key IS NULL AS wrote FROM asked a LEFT JOIN live l ON a.key = l.key")
+def get_or_set_result(spark, d):
+    got = mutate.get_or_set(evlog(spark, d), asked(spark, d).distinct().withColumn("value", F.lit("new").cast("binary")), NOW)
+    return got.select("key", F.col("existing").cast("string").alias("existing"), "wrote")
+
+
+@query(f"+ {ASKED} SELECT DISTINCT a.key, r.key IS NOT NULL AS deleted FROM asked a LEFT JOIN (SELECT key FROM resolved WHERE NOT is_tombstone) r ON a.key = r.key")
+def delete_result(spark, d):
+    return mutate.delete(evlog(spark, d), asked(spark, d))
+
+
+@query(f"SELECT key, NOT is_tombstone AND key >= 'u00010/' AND key < 'u00030/' AND (expires = 0 OR expires > {NOW}) AS newly, is_tombstone OR (key >= 'u00010/' AND key < 'u00030/' AND (expires = 0 OR expires > {NOW})) AS is_tombstone FROM resolved")
+def delete_range_apply(spark, d):
+    e = evlog(spark, d)
+    gone = mutate.delete_range(e, "u00010/", "u00030/", NOW, hlc(NOW, 0))
+    after = resolve.resolve(e.select(*gone.columns).unionByName(gone))
+    return after.select("key", (F.col("hlc.wall_ticks") == NOW).alias("newly"), "is_tombstone")
+
+
+@query("SELECT key, count(*) OVER () <= 15 AS is_complete FROM (SELECT key FROM live WHERE key >= 'u00010/' AND key < 'u00040/' ORDER BY key LIMIT 16) QUALIFY row_number() OVER (ORDER BY key) <= 15")
+def delete_range_step(spark, d):
+    return mutate.delete_range_step(evlog(spark, d), "u00010/", "u00040/", 15, NOW)
+
+
+@query("SELECT tree_id AS operation_id, count(*) AS n_keys, sha256(string_agg(strlen(key) || ':' || key, '' ORDER BY key)) AS fingerprint FROM (SELECT DISTINCT tree_id, key FROM evlog) GROUP BY tree_id")
+def key_fingerprint(spark, d):
+    return mutate.key_fingerprint(log(spark, d).select(F.col("tree_id").alias("operation_id"), "key").distinct())
+
+
+@query(f"""+ {ASKED}, st AS (SELECT *, NOT is_tombstone AND (expires = 0 OR expires > {NOW}) AS lv, NOT is_tombstone AND expires <> 0 AND expires <= {NOW} AS ex FROM resolved)
+    SELECT DISTINCT a.key, coalesce(lv, false) AS had_value, CASE WHEN lv THEN value END AS value, CASE WHEN lv THEN expires ELSE 0 END AS expires_at_ticks,
+    CASE WHEN lv THEN 'restore' WHEN ex THEN 'expire' ELSE 'delete' END AS action FROM asked a LEFT JOIN st ON a.key = st.key""")
+def saga_pre_image(spark, d):
+    return text(mutate.pre_image(evlog(spark, d), asked(spark, d), NOW), "key", "had_value", "value", "expires_at_ticks", "action")
+
+
+@query(f"SELECT {FLAT} FROM resolved WHERE NOT is_tombstone AND expires <> 0 AND expires <= {NOW}")
+def ttl_expired(spark, d):
+    return flat(resolve.resolve(evlog(spark, d)).where(resolve.is_expired(NOW)))
+
+
+REAP = f"(is_tombstone AND wall <= {NOW - GRACE} OR NOT is_tombstone AND expires <> 0 AND expires <= {NOW - GRACE})"
+
+
+@query(f"SELECT {FLAT} FROM resolved WHERE NOT {REAP}")
+def compact_survivors(spark, d):
+    return flat(algebra.compact(evlog(spark, d), NOW, GRACE))
+
+
+@query(f"SELECT {FLAT} FROM resolved WHERE {REAP}")
+def compact_reaped(spark, d):
+    return flat(algebra.reaped(evlog(spark, d), NOW, GRACE))
+
+
+# Aggregates
+
+
+@query("SELECT count(*) AS n FROM live")
+def count_live(spark, d):
+    return aggregate.count_live(evlog(spark, d), NOW)
+
+
+@query("SELECT s AS shard, count(key) AS n FROM (SELECT unnest(range(0, 10)) AS s) LEFT JOIN live ON user_id % 8 = s GROUP BY s")
+def count_per_bucket(spark, d):
+    return aggregate.count_per_shard(evlog(spark, d), NOW, F.col("user_id") % 8, spark.range(10).select(F.col("id").alias("shard")))
+
+
+@query("SELECT count(*) AS n FROM live WHERE user_id % 8 IN (1, 5)")
+def count_for_slots(spark, d):
+    return aggregate.count_for_slots(evlog(spark, d), NOW, F.col("user_id") % 8, spark.range(1, 8, 4).select(F.col("id").alias("slot")))
+
+
+@query("SELECT count(*) FILTER (user_id % 8 NOT IN (1, 5)) AS n, array_to_string(list_sort(list_distinct(list(CASE WHEN user_id % 8 IN (1, 5) THEN user_id % 8 END))), ',') AS moved_slots FROM live")
+def count_with_moved(spark, d):
+    got = aggregate.count_with_moved(evlog(spark, d), NOW, F.col("user_id") % 8, spark.range(1, 8, 4).select(F.col("id").alias("slot")))
+    return got.select("n", F.array_join(F.transform("moved_slots", lambda x: x.cast("string")), ",").alias("moved_slots"))
+
+
+ALIVE = f"(NOT is_tombstone AND (expires = 0 OR expires > {NOW}))"
+
+
+@query(f"SELECT event_type, count(*) FILTER ({ALIVE}) AS live, count(*) FILTER (NOT {ALIVE}) AS dead FROM resolved GROUP BY event_type")
+def leaf_stats(spark, d):
+    return aggregate.leaf_stats(evlog(spark, d), NOW, "event_type")
+
+
+@query(f"SELECT user_id % 8 AS shard, count(*) FILTER ({ALIVE}) AS live, count(*) FILTER (NOT {ALIVE}) AS tombstones, count(*) FILTER (NOT {ALIVE}) / count(*) AS tombstone_ratio FROM resolved GROUP BY ROLLUP (user_id % 8)")
+def tree_diagnostics(spark, d):
+    return aggregate.diagnostics(evlog(spark, d), NOW, F.col("user_id") % 8)
+
+
+HOT = "SELECT user_id % 8 AS shard, count(*) FILTER (event_type NOT IN ('purchase', 'signup')) AS reads, count(*) FILTER (event_type IN ('purchase', 'signup')) AS writes, count(*) / 2.0::DOUBLE AS rate FROM evlog GROUP BY 1"
+
+
+@query(HOT)
+def hotness_rates(spark, d):
+    return aggregate.hotness(evlog(spark, d), F.col("user_id") % 8, 2.0, F.col("event_type").isin("purchase", "signup"))
+
+
+@query(f"SELECT * FROM ({HOT}) WHERE rate >= 10 AND shard NOT IN (3) ORDER BY rate DESC, shard LIMIT 3")
+def hot_shards_topn(spark, d):
+    rates = aggregate.hotness(evlog(spark, d), F.col("user_id") % 8, 2.0, F.col("event_type").isin("purchase", "signup"))
+    owners = spark.range(64).groupBy((F.col("id") % 8).alias("shard")).agg(F.collect_list("id").alias("slots"))
+    return aggregate.hot_shards(rates, owners, spark.createDataFrame([(3,)], "shard long"), 3, 10.0)
+
+
+SLOTS = "slots AS (SELECT s AS slot, s % 64 AS shard FROM (SELECT unnest(range(0, 4096)) AS s))"
+SPLIT = "after AS (SELECT slot, CASE WHEN shard = 5 AND row_number() OVER (PARTITION BY shard ORDER BY slot) > count(*) OVER (PARTITION BY shard) // 2 THEN 64 ELSE shard END AS shard FROM slots)"
+
+
+def slot_map(spark: SparkSession) -> DataFrame:
+    """The default map: slot i belongs to shard i modulo the number of shards."""
+    return spark.range(4096).select(F.col("id").alias("slot"), (F.col("id") % 64).alias("shard"))
+
+
+@query(f"+ {SLOTS} SELECT shard, array_to_string(list(slot ORDER BY slot), ',') AS slots FROM slots GROUP BY shard")
+def slot_owner_default(spark, d):
+    return aggregate.slots_by_owner(slot_map(spark)).select("shard", F.array_join(F.transform("slots", lambda x: x.cast("string")), ",").alias("slots"))
+
+
+@query(f"+ {SLOTS}, {SPLIT} SELECT slot, shard FROM after")
+def slot_split(spark, d):
+    return aggregate.split_owner(slot_map(spark), 5, 64).select("slot", F.col("shard").cast("long").alias("shard"))
+
+
+@query(f"+ {SLOTS}, {SPLIT} SELECT a.slot, a.shard AS old_shard, b.shard AS new_shard FROM slots a JOIN after b USING (slot) WHERE a.shard <> b.shard")
+def owner_diff(spark, d):
+    old = slot_map(spark)
+    return aggregate.owner_diff(old, aggregate.split_owner(old, 5, 64)).select("slot", "old_shard", F.col("new_shard").cast("long").alias("new_shard"))
+
+
+@query()
+def shard_count_xxh32(spark, d):
+    return aggregate.count_per_shard(evlog(spark, d), NOW, (hashing.virtual_slot(F.col("key")) % 64).cast("long"), spark.range(64).select(F.col("id").alias("shard")))
+
+
+# Trees and clocks
+
+
+@query(f"SELECT {FLAT} FROM resolved")
+def merge_trees(spark, d):
+    e = evlog(spark, d)
+    return flat(algebra.merge_trees(resolve.resolve(e.where("event_id % 3 = 0")), resolve.resolve(e.where("event_id % 3 <> 0"))))
+
+
+@query(f"SELECT {FLAT} FROM live")
+def snapshot_copy(spark, d):
+    return flat(algebra.snapshot(evlog(spark, d), NOW))
+
+
+def vector(rows: DataFrame) -> DataFrame:
+    return rows.select("replica", F.col("hlc.wall_ticks").alias("wall"), F.col("hlc.counter").alias("ctr"))
+
+
+@query("SELECT origin AS replica, max(wall) AS wall, arg_max(ctr, wall) AS ctr FROM evlog GROUP BY origin")
+def vv_by_replica(spark, d):
+    return vector(clock.vector_of(evlog(spark, d)))
+
+
+@query("SELECT replica, max(wall) AS wall, arg_max(ctr, wall) AS ctr FROM (SELECT origin AS replica, wall, ctr FROM evlog UNION ALL SELECT event_type, wall, ctr FROM evlog) GROUP BY replica")
+def vv_merge(spark, d):
+    e = evlog(spark, d)
+    return vector(clock.merge_vectors(clock.vector_of(e), clock.vector_of(e, "event_type")))
+
+
+def _half(spark, d):
+    e = evlog(spark, d)
+    return clock.vector_of(e), clock.vector_of(e.where(F.col("hlc") < hlc(CURSOR, 0)))
+
+
+@query("SELECT true AS dominates, false AS dominated")
+def vv_dominates(spark, d):
+    whole, half = _half(spark, d)
+    return clock.dominates_or_equals(whole, half).crossJoin(clock.dominates_or_equals(half, whole).withColumnRenamed("dominates", "dominated"))  # one row each
+
+
+@query("SELECT true AS newer, false AS older")
+def vv_newer(spark, d):
+    whole, half = _half(spark, d)
+    return clock.is_newer_than(whole, half).crossJoin(clock.is_newer_than(half, whole).withColumnRenamed("newer", "older"))  # one row each
+
+
+@query(f"SELECT event_type AS replica, max(wall) AS wall, arg_max(ctr, wall) AS ctr FROM evlog WHERE event_id % 100 < 5 GROUP BY event_type HAVING max(wall) >= {CURSOR}")
+def vv_pruned(spark, d):
+    return vector(clock.prune_vector(clock.vector_of(evlog(spark, d).where("event_id % 100 < 5"), "event_type"), CURSOR))
+
+
+@query(f"SELECT {FLAT} FROM evlog WHERE wall > {CURSOR} OR wall = {CURSOR} AND ctr > 0")
+def delta_since(spark, d):
+    return flat(resolve.delta_since(evlog(spark, d), hlc(CURSOR, 0)))
+
+
+@query(f"SELECT {FLAT} FROM evlog WHERE (wall > {CURSOR} OR wall = {CURSOR} AND ctr > 0) AND user_id % 8 IN (1, 5)")
+def delta_for_slots(spark, d):
+    return flat(resolve.delta_for_slots(evlog(spark, d), hlc(CURSOR, 0), spark.range(1, 8, 4).select(F.col("id").alias("slot")), F.col("user_id") % 8))
+
+
+# Capture
+
+
+def captured(spark, d) -> DataFrame:
+    rows = log(spark, d).withColumn("origin_cluster_id", F.when(F.col("event_id") % 2 == 0, F.col("origin_cluster_id")))
+    return capture.capture(rows, "site-b", trees=["main"], prefixes=["u0000", "u0001", "u0003"], accepts=F.col("event_type") != "view")
+
+
+@query(f"SELECT tree_id, {FLAT} FROM evlog WHERE tree_id = 'main' AND event_type <> 'view' AND (starts_with(key, 'u0000') OR starts_with(key, 'u0001') OR starts_with(key, 'u0003'))")
+def capture_filtered(spark, d):
+    rows = captured(spark, d)
+    return flat(rows, "tree_id")
+
+
+# the keys are ASCII, so every second byte of UTF-16 is 0
+WAL = f"""wal AS (SELECT *, CAST(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::UBIGINT)), lambda h, x: (((xor(h, x) * 16777619) % 4294967296) * 16777619) % 4294967296) % {PARTITIONS} AS INTEGER) AS "partition" FROM evlog),
+    seq AS (SELECT *, row_number() OVER (PARTITION BY "partition" ORDER BY event_id) - 1 AS sequence FROM wal)"""
+
+
+def wal(spark, d) -> DataFrame:
+    return capture.sequence(log(spark, d), PARTITIONS, "event_id")
+
+
+@query(f'+ {WAL} SELECT {FLAT}, "partition", sequence FROM seq')
+def wal_sequenced(spark, d):
+    return flat(wal(spark, d), "partition", "sequence")
+
+
+@query(f'+ {WAL} SELECT {FLAT}, "partition", sequence FROM seq WHERE "partition" = 3 AND sequence >= 100 ORDER BY sequence LIMIT 50')
+def wal_page(spark, d):
+    return flat(capture.read_log(wal(spark, d), 3, 100, 50), "partition", "sequence")
+
+
+@query(f"SELECT {FLAT}, row_number() OVER (ORDER BY wall, ctr) AS rank FROM evlog WHERE wall > {CURSOR} OR wall = {CURSOR} AND ctr > 0")
+def change_feed(spark, d):
+    rows = capture.change_feed(log(spark, d), hlc(CURSOR, 0))
+    return flat(rank(rows, "hlc", F.expr(f"hlc.wall_ticks div {TICKS_PER_DAY}")), "rank")
+
+
+@query(f"SELECT {FLAT} FROM evlog WHERE (wall > {CURSOR} OR wall = {CURSOR} AND ctr > 0) AND origin <> 'site-a'")
+def feed_exclude_local(spark, d):
+    return flat(capture.change_feed(log(spark, d), hlc(CURSOR, 0), "site-a"))
+
+
+ARRIVAL = "(event_id * 7919) % 1000003"
+APPLY = f"""arr AS (SELECT *, {ARRIVAL} AS arrival FROM evlog),
+    hwm AS (SELECT *, max(wall) OVER (PARTITION BY tree_id, origin ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM arr WHERE origin <> 'site-a'),
+    app AS (SELECT *, false AS applied FROM arr WHERE origin = 'site-a' UNION ALL SELECT * EXCLUDE (before), wall > greatest(coalesce(before, 0), CASE WHEN tree_id = 'main' THEN 638396640000000000 ELSE 0 END) FROM hwm)"""
+
+
+def applied(spark, d) -> DataFrame:
+    feed = log(spark, d).withColumn("arrival", F.expr(ARRIVAL))
+    marks = spark.range(1).select(F.lit("main").alias("tree_id"), F.lit("site-b").alias("origin_cluster_id"), hlc(638396640000000000, 2**31 - 1).alias("hwm"))
+    return capture.apply_feed(feed, marks, "site-a", "arrival")
+
+
+@query(f"+ {APPLY} SELECT event_id, tree_id, origin, applied FROM app")
+def apply_with_hwm(spark, d):
+    return applied(spark, d).select("event_id", "tree_id", F.col("origin_cluster_id").alias("origin"), "applied")
+
+
+@query(f"+ {APPLY} SELECT tree_id, origin, max(wall) AS wall FROM app WHERE applied GROUP BY ALL")
+def hwm_table(spark, d):
+    rows = applied(spark, d)
+    return capture.advance_marks(rows, rows.select("tree_id", "origin_cluster_id", F.col("hlc").alias("hwm")).limit(0)).select("tree_id", F.col("origin_cluster_id").alias("origin"), F.col("hwm.wall_ticks").alias("wall"))
+
+
+PEERS = [("east", CURSOR, 0, CURSOR), ("north", 0, 0, None), ("west", NOW, 0, NOW)]
+
+
+def peers(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(PEERS, "peer string, wall long, ctr int, last_contact_ticks long")
+    return rows.select("peer", hlc(F.col("wall"), F.col("ctr")).alias("cursor"), "last_contact_ticks", F.lit(NOW).alias("now_ticks"))
+
+
+@query(f"""+ peers AS (SELECT * FROM (VALUES ('east', {CURSOR}), ('north', 0), ('west', {NOW})) t(peer, cursor))
+    SELECT peer, count(key) AS entries_behind, CAST(coalesce(sum(strlen(value)), 0) AS BIGINT) AS bytes_behind FROM peers LEFT JOIN evlog ON wall > cursor GROUP BY peer""")
+def peer_lag(spark, d):
+    return capture.peer_lag(log(spark, d), peers(spark)).drop("seconds_since_contact")
+
+
+@query(f"SELECT key, event_id FROM evlog WHERE wall < {CURSOR} - {TICKS_PER_DAY}")
+def replog_gc(spark, d):
+    return capture.collect_garbage(log(spark, d), peers(spark).where("peer <> 'north'"), TICKS_PER_DAY).select("key", "event_id")
+
+
+@query("SELECT tree_id, key, CASE WHEN is_tombstone THEN 'Delete' ELSE 'Set' END AS kind, event_id FROM (SELECT *, lag(is_tombstone) OVER (PARTITION BY key ORDER BY wall, ctr) AS was FROM evlog) WHERE NOT is_tombstone OR was = false")
+def tree_events(spark, d):
+    from tidelog.streaming.events import events_of
+
+    return events_of(log(spark, d)).select("tree_id", "key", "kind", "event_id")
+
+
+# Facts
+
+
+def part_facts(spark, d) -> DataFrame:
+    """Facts of parts from events."""
+    e = evlog(spark, d)
+    n, kind = F.col("event_id"), F.col("event_type")
+    fact = F.when(kind == "click", "ProcessStepCompleted").when(kind == "view", "InspectionRecorded").when(kind == "error", "NonConformanceRaised").when(kind == "purchase", "MrbDisposition").otherwise("ReworkCompleted")
+    detail = (
+        F.when(kind == "view", F.when(n % 3 != 0, "Pass").otherwise("Fail"))
+        .when(kind == "error", F.when(n % 10 == 0, "Critical").when(n % 10 <= 3, "Major").otherwise("Minor"))
+        .when(kind == "purchase", F.when(n % 6 <= 2, "UseAsIs").when(n % 6 <= 4, "Rework").otherwise("Scrap"))
+        .when(kind == "signup", F.when(n % 2 == 0, "Passed").otherwise("Failed"))
+    )
+    serial = F.format_string("u%05d-%02d", F.col("user_id"), F.expr("(event_id div 8) % 40"))
+    return e.select(serial.alias("serial"), n.alias("fact_id"), fact.alias("fact_type"), detail.alias("detail"), F.col("hlc.wall_ticks").alias("wall"), F.col("hlc.counter").alias("counter"), F.expr("(event_id * 7919) % 10007").alias("arrival"), (F.when(n % 2 == 0, "north").otherwise("south")).alias("site"))
+
+
+FACTS = """facts AS (SELECT format('u{:05d}-{:02d}', user_id, (event_id // 8) % 40) AS serial, event_id AS fact_id, wall, ctr AS counter, (event_id * 7919) % 10007 AS arrival, CASE WHEN event_id % 2 = 0 THEN 'north' ELSE 'south' END AS site,
+        CASE event_type WHEN 'click' THEN 'ProcessStepCompleted' WHEN 'view' THEN 'InspectionRecorded' WHEN 'error' THEN 'NonConformanceRaised' WHEN 'purchase' THEN 'MrbDisposition' ELSE 'ReworkCompleted' END AS fact_type,
+        CASE event_type WHEN 'view' THEN CASE WHEN event_id % 3 <> 0 THEN 'Pass' ELSE 'Fail' END
+            WHEN 'error' THEN CASE WHEN event_id % 10 = 0 THEN 'Critical' WHEN event_id % 10 <= 3 THEN 'Major' ELSE 'Minor' END
+            WHEN 'purchase' THEN CASE WHEN event_id % 6 <= 2 THEN 'UseAsIs' WHEN event_id % 6 <= 4 THEN 'Rework' ELSE 'Scrap' END
+            WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'Passed' ELSE 'Failed' END END AS detail FROM evlog)"""
+
+
+def _fold_sql(name: str, order: str) -> str:
+    """The state machine row by row, as a recursive query."""
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY serial ORDER BY {order}) AS i FROM facts),
+    {name}_r AS (SELECT serial, 0::BIGINT AS i, 0 AS st, false AS arm FROM {name}_n WHERE i = 1
+        UNION ALL SELECT n.serial, n.i,
+        CASE WHEN st = 4 OR fact_type = 'ProcessStepCompleted' OR detail IN ('Pass', 'Passed') THEN st
+            WHEN detail IN ('Fail', 'Minor', 'Failed') THEN greatest(st, 2) WHEN detail IN ('Major', 'Rework') THEN greatest(st, 3) WHEN detail IN ('Critical', 'Scrap') THEN 4
+            WHEN detail = 'UseAsIs' THEN CASE WHEN st = 2 OR (st = 3 AND arm) THEN 0 ELSE st END ELSE st END,
+        CASE WHEN st = 4 OR fact_type = 'ProcessStepCompleted' THEN arm WHEN detail IN ('Pass', 'Passed') THEN arm OR st = 3
+            WHEN detail = 'UseAsIs' THEN CASE WHEN st = 3 AND arm THEN false ELSE arm END ELSE false END
+        FROM {name}_r r JOIN {name}_n n ON r.serial = n.serial AND n.i = r.i + 1),
+    {name} AS (SELECT serial, arg_max(st, i) AS state FROM {name}_r GROUP BY serial)"""
+
+
+FOLD, NAIVE = _fold_sql("fold", "wall, counter, fact_id"), _fold_sql("naive", "arrival, fact_id")
+
+
+@query(f"RECURSIVE + {FACTS}, {FOLD} SELECT serial, state FROM fold")
+def compliance_fold(spark, d):
+    return facts.compliance_fold(part_facts(spark, d))
+
+
+@query(f"RECURSIVE + {FACTS}, {NAIVE} SELECT serial, state FROM naive")
+def naive_fold(spark, d):
+    return facts.naive_fold(part_facts(spark, d))
+
+
+@query(f"RECURSIVE + {FACTS}, {FOLD}, {NAIVE} SELECT serial, f.state, n.state AS naive_state FROM fold f JOIN naive n USING (serial) WHERE f.state <> n.state")
+def divergence(spark, d):
+    return facts.divergence(part_facts(spark, d))
+
+
+@query(f"""RECURSIVE + {FACTS}, {FOLD}, {NAIVE}, s AS (SELECT serial, arg_max(fact_type, (wall, counter, fact_id)) AS latest_stage, count(*) AS n_facts FROM facts GROUP BY serial)
+    SELECT serial, regexp_extract(serial, '^(.*?)(?:-[^-]*){{0,2}}$', 1) AS family, latest_stage, f.state, n.state AS naive_state, n_facts, f.state <> n.state AS diverges FROM s JOIN fold f USING (serial) JOIN naive n USING (serial)""")
+def part_summary(spark, d):
+    return facts.part_summary(part_facts(spark, d))
+
+
+@query(f"""RECURSIVE + {FACTS}, {FOLD}, p AS (SELECT serial, max(CASE WHEN fact_type = 'NonConformanceRaised' THEN wall END) AS nc, max(CASE WHEN fact_type = 'MrbDisposition' THEN wall END) AS mrb,
+        max(CASE WHEN fact_type = 'MrbDisposition' AND detail = 'Rework' THEN wall END) AS ordered, max(CASE WHEN fact_type = 'ReworkCompleted' THEN wall END) AS done,
+        arg_max(detail, wall) FILTER (fact_type = 'ReworkCompleted') AS retest, bool_or(fact_type = 'InspectionRecorded' AND detail = 'Pass') AS inspected FROM facts GROUP BY serial)
+    SELECT serial, CASE WHEN state = 4 THEN 'none' WHEN nc IS NOT NULL AND (mrb IS NULL OR nc > mrb) THEN 'disposition' WHEN ordered IS NOT NULL AND (done IS NULL OR ordered > done) THEN 'rework'
+        WHEN coalesce(retest = 'Failed', false) THEN 'retest' WHEN NOT coalesce(inspected, false) THEN 'inspect' ELSE 'accept' END AS next_action FROM p JOIN fold USING (serial)""")
+def next_action(spark, d):
+    return facts.next_action(part_facts(spark, d))
+
+
+@query("SELECT DISTINCT split_part(key, '/', 1) AS serial FROM evlog")
+def distinct_prefix(spark, d):
+    return facts.parts(evlog(spark, d))
+
+
+@query("SELECT key, value, wall FROM evlog WHERE key >= 'u00017/' AND key < 'u000170'")
+def facts_of_part(spark, d):
+    return facts.facts_of(evlog(spark, d), "u00017").select("key", F.col("value").cast("string").alias("value"), F.col("hlc.wall_ticks").alias("wall"))
+
+
+@query(f"+ {FACTS} SELECT serial, site, fact_type, detail, wall FROM facts QUALIFY row_number() OVER (PARTITION BY site, serial ORDER BY wall DESC, fact_id DESC) = 1")
+def latest_per_group(spark, d):
+    return facts.latest_per_group(part_facts(spark, d), ["site", "serial"], ["wall", "fact_id"]).select("serial", "site", "fact_type", "detail", "wall")
+
+
+@query(f"""+ {FACTS} SELECT fact_id, CASE fact_type WHEN 'ProcessStepCompleted' THEN 'step' WHEN 'InspectionRecorded' THEN 'inspection' WHEN 'NonConformanceRaised' THEN 'non-conformance'
+    WHEN 'MrbDisposition' THEN 'disposition' ELSE 'rework' END || ': ' || coalesce(detail, '-') AS activity FROM facts""")
+def activity_description(spark, d):
+    return part_facts(spark, d).select("fact_id", facts.describe_activity(F.col("fact_type"), F.col("detail")).alias("activity"))
+
+
+@query("SELECT DISTINCT user_id AS serial, event_type AS label FROM events")
+def label_union(spark, d):
+    e = evlog(spark, d).select(F.col("user_id").alias("serial"), F.col("event_type").alias("label"), "event_id")
+    return facts.label_union(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"))
+
+
+@query("""+ a AS (SELECT key, value FROM evlog WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY wall DESC, ctr DESC) = 1),
+    b AS (SELECT key, value FROM evlog WHERE event_id % 2 = 1 AND user_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY wall DESC, ctr DESC) = 1)
+    SELECT key, coalesce(b.value, a.value) AS value FROM a FULL JOIN b USING (key)""")
+def operator_coalesce(spark, d):
+    e = evlog(spark, d)
+    return text(facts.register_value(resolve.resolve(e.where("event_id % 2 = 0")), resolve.resolve(e.where("event_id % 2 = 1 AND user_id % 3 = 0"))), "key", "value")
+
+
+@query("SELECT 'shadow/east/' || key AS key, key AS shared_key, value FROM live")
+def heal_shadow(spark, d):
+    rows = evlog(spark, d).withColumn("key", F.concat(F.lit("shadow/east/"), "key"))
+    return text(facts.heal_shadow(rows, "east", NOW), "key", "shared_key", "value")
+
+
+@query("SELECT event_id, lpad(CAST(wall AS VARCHAR), 20, '0') || lpad(CAST(ctr AS VARCHAR), 10, '0') || '|' || origin || '|' || CASE WHEN is_tombstone THEN 'D' ELSE 'S' END || '|' || key AS log_key, wall, ctr, key FROM evlog")
+def replog_key_codec(spark, d):
+    k = facts.replog_key(F.col("hlc.wall_ticks"), F.col("hlc.counter"), F.col("origin_cluster_id"), F.col("is_tombstone"), F.col("key"))
+    rows = evlog(spark, d).select("event_id", k.alias("log_key"))
+    back = facts.parse_replog_key(F.col("log_key"))
+    return rows.withColumn("p", back).select("event_id", "log_key", "p.wall", F.col("p.counter").alias("ctr"), "p.key")
+
+
+@query(f"""+ pg AS (SELECT * FROM evlog WHERE wall > {CURSOR} OR wall = {CURSOR} AND ctr > 0 ORDER BY wall, ctr LIMIT 128), lt AS (SELECT key, max(wall) AS wall FROM pg GROUP BY key)
+    SELECT lt.key, CASE WHEN live.key IS NULL THEN 'Delete' ELSE 'Set' END AS op, live.value, lt.wall FROM lt LEFT JOIN live ON lt.key = live.key""")
+def ship_batch(spark, d):
+    e = evlog(spark, d)
+    got = facts.ship_batch(e, resolve.live(e, NOW), hlc(CURSOR, 0), 128)
+    return got.select("key", "op", F.col("value").cast("string").alias("value"), F.col("hlc.wall_ticks").alias("wall"))
+
+
+@query("""+ h AS (SELECT user_id AS serial, wall AS "at", event_id % 3 AS a, (event_id // 2) % 3 AS b FROM evlog),
+    l AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM h WINDOW w AS (PARTITION BY serial ORDER BY "at")),
+    k AS (SELECT serial, "at", CASE WHEN a <> b AND NOT coalesce(pa <> pb, false) THEN 'entered' WHEN a <> b AND (a <> pa OR b <> pb) THEN 'changed' WHEN a = b AND coalesce(pa <> pb, false) THEN 'resolved' END AS kind FROM l)
+    SELECT serial, "at", kind FROM k WHERE kind IS NOT NULL""")
+def state_transitions(spark, d):
+    e = evlog(spark, d)
+    return facts.transitions(e.select(F.col("user_id").alias("serial"), F.col("hlc.wall_ticks").alias("at"), (F.col("event_id") % 3).alias("a"), F.expr("(event_id div 2) % 3").alias("b")))
+
+
+@query("SELECT key, CAST(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(key, ''), lambda c: ascii(c)::UBIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296) % 2 AS INTEGER) AS silo FROM resolved")
+def partition_filter(spark, d):
+    return resolve.resolve(evlog(spark, d)).select("key", hashing.silo(F.col("key")).alias("silo"))
