@@ -138,12 +138,13 @@ def _vote(threshold: int):
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
     """(posterior of good for each pattern, P(vote | class) as labeller x class x vote, prior of good).
 
-    ``patterns`` holds a row of votes for each different pattern. Starts at the share of good among
-    the votes cast, so class 0 is bad and class 1 good; smoothing keeps each chance above 0.
+    ``patterns`` holds a row of votes for each different pattern. Class 0 is bad and class 1 good, as it
+    starts from the belief that a vote against is likely right: a document is mostly bad in one way
+    alone, and a labeller that cries wolf is found out. Smoothing keeps each chance above 0.
     Not to vote says nothing: short texts abstain for want of words, whatever their class.
     """
-    good, bad = (patterns == GOOD).sum(1), (patterns == BAD).sum(1)
-    q = (good + 1) / (good + 3 * bad + 2)  # one vote against weighs more than one for: most documents are good in most ways
+    bad = (patterns == BAD).sum(1)
+    q = np.where(bad == 0, 0.95, 0.3 / np.maximum(bad, 1))
     total = max(counts.sum(), 1)
     chances = np.ones((patterns.shape[1], 2, 3))
     prior = 0.5
@@ -155,7 +156,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
             chances[j, :, GOOD:] = seen / seen.sum(1, keepdims=True)
         log = np.log([1 - prior, prior]) + sum(np.log(chances[j][:, patterns[:, j]]).T for j in range(patterns.shape[1]))
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
-        if np.abs(new - q).max() < 1e-9:
+        if np.abs(new - q).max(initial=0) < 1e-9:
             return new, chances, prior
         q = new
     return q, chances, prior
