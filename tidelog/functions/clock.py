@@ -1,4 +1,4 @@
-"""Hybrid logical clocks, version vectors and the split-state lattice."""
+"""Hybrid logical clocks, version vectors and the order of split states."""
 
 from __future__ import annotations
 
