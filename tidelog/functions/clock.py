@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidelog.plans.order import rank
 from tidelog.plans.schema import hlc, zero
 
 #: States of a split in the order in which they may only advance.
@@ -25,10 +25,10 @@ def merge_clocks(a: Column, b: Column, now: Column) -> Column:
     return hlc(wall, F.greatest(on(a), on(b)))
 
 
-def stamp(batch: DataFrame, now_ticks: int, last_wall: int, last_counter: int, order: list[str]) -> DataFrame:
-    """Adds ``hlc``: unique stamps after the last one, rising in ``order``; a batch is one commit, of bounded size."""
-    base = (now_ticks, -1) if now_ticks > last_wall else (last_wall, last_counter)
-    return batch.withColumn("hlc", hlc(F.lit(base[0]), F.lit(base[1]) + F.row_number().over(Window.orderBy(*order))))
+def stamp(batch: DataFrame, now_ticks: int, last_wall: int, last_counter: int, position: str) -> DataFrame:
+    """Adds ``hlc``: unique stamps after the last one, rising with ``position`` (a whole number)."""
+    wall, counter = (now_ticks, -1) if now_ticks > last_wall else (last_wall, last_counter)
+    return rank(batch, position, F.floor(F.col(position) / (1 << 16)), "_n").withColumn("hlc", hlc(F.lit(wall), F.lit(counter) + F.col("_n"))).drop("_n")
 
 
 def vector_of(entries: DataFrame, replica: str = "origin_cluster_id") -> DataFrame:

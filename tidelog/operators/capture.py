@@ -11,7 +11,7 @@ from tidelog.functions.hashing import log_partition
 from tidelog.operators.resolve import live, resolve, tombstones
 from tidelog.operators.scan import in_range
 from tidelog.plans.order import rank, running_max
-from tidelog.plans.schema import zero
+from tidelog.plans.schema import hlc, zero
 
 
 def validate_options(cluster: str, partitions: int) -> None:
@@ -89,12 +89,15 @@ def apply_range(entries: DataFrame, start: str, end: str, now_ticks: int, stamp:
 def peer_lag(log: DataFrame, peers: DataFrame) -> DataFrame:
     """(peer, entries_behind, bytes_behind, seconds_since_contact) for ``peers(peer, cursor, last_contact_ticks, now_ticks)``; NaN if never met.
 
-    Peers are few; each row of the log is compared with every peer's cursor by a broadcast of them.
+    Peers are sites, so their list is read first; one pass over the log then counts for all of them.
     """
-    slim = log.select("hlc", F.coalesce(F.octet_length("value"), F.lit(0)).alias("bytes"))
-    behind = slim.join(peers.select("peer", "cursor"), F.col("hlc") > F.col("cursor")).groupBy("peer").agg(F.count(F.lit(1)).alias("entries_behind"), F.sum("bytes").alias("bytes_behind"))
+    sites = peers.select("peer", "cursor.wall_ticks", "cursor.counter").collect()
+    size = F.coalesce(F.octet_length("value"), F.lit(0)).cast("long")
+    past = [F.col("hlc") > hlc(p.wall_ticks, p.counter) for p in sites]
+    counts = [F.struct(F.lit(p.peer).alias("peer"), F.count_if(c).alias("entries_behind"), F.coalesce(F.sum(F.when(c, size)), F.lit(0)).cast("long").alias("bytes_behind")) for p, c in zip(sites, past, strict=True)]
     since = F.when(F.col("last_contact_ticks").isNull(), F.lit(float("nan"))).otherwise((F.col("now_ticks") - F.col("last_contact_ticks")) / 1e7)
-    return peers.join(behind, "peer", "left").select("peer", F.coalesce("entries_behind", F.lit(0)).alias("entries_behind"), F.coalesce("bytes_behind", F.lit(0)).alias("bytes_behind"), since.alias("seconds_since_contact"))
+    behind = log.agg(F.array(*counts).alias("all")).select(F.explode("all").alias("x")).select("x.*")
+    return peers.join(behind, "peer").select("peer", "entries_behind", "bytes_behind", since.alias("seconds_since_contact"))
 
 
 def collect_garbage(log: DataFrame, peers: DataFrame, retention_ticks: int) -> DataFrame:

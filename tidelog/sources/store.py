@@ -182,12 +182,12 @@ class Tree:
 
         return self.log.commit(change)
 
-    def _write(self, rows: DataFrame, order: list[str], ttl_ticks: int | None = None, origin: str | None = None, operation: tuple[str, list] | None = None) -> int:
-        """Stamp and append rows (key, value or null for a tombstone); returns their number."""
+    def _write(self, rows: DataFrame, ttl_ticks: int | None = None, origin: str | None = None, operation: tuple[str, list] | None = None) -> int:
+        """Stamp and append rows (key, value or null for a tombstone, position); returns their number."""
         log = self.log
         now, m = now_ticks(), log.latest()
         expires = 0 if ttl_ticks is None else mutate.expiry(now, ttl_ticks)
-        stamped = stamp(rows, now, m.wall, m.counter, order)
+        stamped = stamp(rows, now, m.wall, m.counter, "position")
         made = stamped.select("key", "value", "hlc", F.col("value").isNull().alias("is_tombstone"), F.when(F.col("value").isNull(), 0).otherwise(F.lit(expires)).cast("long").alias("expires_at_ticks"), F.lit(origin).cast("string").alias("origin_cluster_id"))
         folder = log.write(made)
         told = log.spark.read.schema(ENTRIES).parquet(f"{log.root}/data/{folder}").agg(F.count(F.lit(1)).alias("n"), F.max("hlc").alias("last")).first()
@@ -198,11 +198,11 @@ class Tree:
         return told.n
 
     def set(self, key: str, value: bytes, ttl_ticks: int | None = None, origin: str | None = None) -> None:
-        self._write(self._requests({key: value}), ["position"], ttl_ticks, origin)
+        self._write(self._requests({key: value}), ttl_ticks, origin)
 
     def set_many(self, pairs, ttl_ticks: int | None = None) -> int:
         """Upsert in order: of a key named twice the later value wins. A DataFrame needs ``key, value, position``."""
-        return self._write(mutate.last_of_each(self._requests(pairs), "position"), ["position"], ttl_ticks)
+        return self._write(mutate.last_of_each(self._requests(pairs), "position"), ttl_ticks)
 
     def set_many_atomic(self, pairs: dict[str, bytes] | list[tuple[str, bytes]], operation_id: str | None = None) -> str:
         """All or nothing, in one commit; a repeated operation id with the same keys does nothing again."""
@@ -225,7 +225,7 @@ class Tree:
                 return "repeated"
             operation = (operation_id, mark)
         if pairs:
-            self._write(self._requests(pairs), ["position"], operation=operation)
+            self._write(self._requests(pairs), operation=operation)
         return "committed"
 
     def set_if_version(self, key: str, value: bytes, expected: tuple[int, int]) -> bool:
@@ -257,7 +257,7 @@ class Tree:
     def delete(self, key: str) -> bool:
         told = mutate.delete(self.entries(), self._keys([key])).first().deleted
         if told:
-            self._write(self._keys([key]).withColumn("value", F.lit(None).cast("binary")), ["key"])
+            self._write(self._keys([key]).select("key", F.lit(None).cast("binary").alias("value"), F.lit(0).alias("position")))
         return told
 
     def delete_range(self, start: str, end: str) -> int:
