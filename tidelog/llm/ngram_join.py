@@ -7,8 +7,9 @@ index an extended prefix, rarest shingles first: single rare shingles, and pairs
 ones that fall into the same subclass. A prefix is long enough when more signatures must be
 destroyed than the threshold allows shingles to differ, so linked sets share a signature.
 
-Sets under one signature are verified against one leader first; sets that links already
-connect need no more, and all pairs that are still apart are verified in a last round. Only
+Sets under one signature are verified against one leader first, the one with the smallest part
+of its own; sets that links already connect need no more, and all pairs that are still apart
+are verified in a last round. Only
 shared shingles can lie in an intersection, so those alone travel for the verification.
 """
 
@@ -32,6 +33,8 @@ WORDS = 5
 PERCENT = 75
 #: Shingles of fewer than 2**RARE classes index alone; more frequent ones in pairs, from sets of 2**FIRST_LEVEL shingles on.
 RARE, FIRST_LEVEL = 5, 4
+#: Members of a group that meet as many others at a time, when all pairs are tested.
+BLOCK = 128
 #: Bytes of a shingle hash within its range.
 TOKEN_BYTES = 5
 TOKEN_BITS = 8 * TOKEN_BYTES
@@ -138,24 +141,30 @@ def levels(n: int, percent: int) -> list[int]:
     return [own, own + 1] if 100 * n >= percent * 2 ** (own + 1) else [own]
 
 
-def signatures(tokens: np.ndarray, log: np.ndarray, n: int, percent: int, rare: int = RARE) -> np.ndarray:
-    """Signature hashes of a set of n shingles; ``tokens`` are those shared with other classes, rarest first.
+def signatures(tokens: np.ndarray, log: np.ndarray, n: int, percent: int, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """(signature hashes of a set of n shingles, shingles that are left from each on).
 
-    For each level the prefix ends where signatures survive any change that the threshold allows.
+    ``tokens`` are the shingles shared with other classes, rarest first. For each level the prefix ends
+    where signatures survive any change that the threshold allows to sets of any size. A pair of sets
+    needs a shorter one: a signature links it only where, on both sides, as many shingles are left
+    as the two must share.
     """
-    need = n - overlap(n, percent) + 1 - (n - len(tokens))  # unshared shingles come first in the order and each covers one
+    unshared = n - len(tokens)  # these come first in the order and each covers one
+    need = n - overlap(n, percent) + 1 - unshared
     if need <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     hashed = mix(tokens)
     n_rare = int(np.searchsorted(log, rare, "right"))
-    out = [hashed[: min(n_rare, need)]]
+    first = hashed[: min(n_rare, need)]
+    sigs, left = [first], [n - unshared - np.arange(len(first))]
     rest = need - n_rare
     if rest <= 0:
-        return out[0]
-    often = hashed[n_rare:]
+        return sigs[0], left[0]
+    often, after = hashed[n_rare:], n - unshared - n_rare
     for level in levels(n, percent):
         if level < FIRST_LEVEL:  # too few for combinations
-            out.append(often[:rest])
+            sigs.append(often[:rest])
+            left.append(after - np.arange(len(sigs[-1])))
             continue
         groups = max(1, 2**level // 16)
         sub = (often >> np.uint64(20)) % np.uint64(groups)
@@ -163,18 +172,26 @@ def signatures(tokens: np.ndarray, log: np.ndarray, n: int, percent: int, rare:
         by = np.argsort(sub, kind="stable")
         covers = np.ones(len(sub), np.int64)
         covers[by[np.concatenate([[True], sub[by][1:] != sub[by][:-1]])]] = 0
-        end = int(np.searchsorted(np.cumsum(covers), rest)) + 1
+        covered = np.cumsum(covers)
+        end = int(np.searchsorted(covered, rest)) + 1
         by = by[by < end]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(sub[by])) + 1, [len(by)]])
         for a, b in zip(edges, edges[1:], strict=False):
-            own = np.sort(often[by[a:b]])
-            i, j = np.triu_indices(len(own), 1)
-            out.append(mix(own[i] ^ (own[j] * np.uint64(2 * level + 3))))
-    return np.unique(np.concatenate(out))
+            i, j = np.triu_indices(b - a, 1)
+            x, y = by[a:b][i], by[a:b][j]
+            low, high = np.minimum(often[x], often[y]), np.maximum(often[x], often[y])
+            sigs.append(mix(low ^ (high * np.uint64(2 * level + 3))))
+            last = np.maximum(x, y)
+            left.append(after - (covered[last] - covers[last]))
+    sigs, left = np.concatenate(sigs), np.concatenate(left)
+    order = np.lexsort((-left, sigs))
+    sigs, left = sigs[order], left[order]
+    once = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+    return sigs[once], left[once]
 
 
 def _index(percent: int):
-    """Of the classes of one home: (cls, n, tokens, sigs) where a partner is possible."""
+    """Of the classes of one home: (cls, n, tokens, sigs, left) where a partner is possible."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = np.repeat(pdf["p"].to_numpy(), [len(x) // TOKEN_BYTES for x in pdf["f"]]).astype(np.uint64)
@@ -188,32 +205,36 @@ def _index(percent: int):
         out = []
         for c, a, b in zip(who, first, [*first[1:], len(cls)], strict=True):
             size = int(n[a])
-            sigs = signatures(token[a:b], log[a:b], size, percent)
+            sigs, left = signatures(token[a:b], log[a:b], size, percent)
             if len(sigs):
-                out.append((int(c), size, np.sort(token[a:b]).tobytes(), sigs.tobytes()))
-        return pd.DataFrame(out, columns=["cls", "n", "tokens", "sigs"])
+                out.append((int(c), size, np.sort(token[a:b]).tobytes(), sigs.tobytes(), left.astype("<i4").tobytes()))
+        return pd.DataFrame(out, columns=["cls", "n", "tokens", "sigs", "left"])
 
     return run
 
 
 def _deal_signatures(ranges: int):
+    """Packed rows (p, sig, cls, n, left, own): ``own`` counts a set's shingles that no other class has."""
+
     def run(batches):
         held = []
 
         def flush():
-            cls, n, sigs = (np.concatenate(x) for x in zip(*held, strict=True))
+            sigs, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
             to = (mix(sigs) % np.uint64(ranges)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             edges = np.searchsorted(to[order], np.arange(ranges + 1))
             for p in np.flatnonzero(np.diff(edges)):
-                own = order[edges[p] : edges[p + 1]]
-                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "sig": [sigs[own].tobytes()], "cls": [cls[own].tobytes()], "n": [n[own].astype("<i4").tobytes()]})
+                at = order[edges[p] : edges[p + 1]]
+                cls, *small = (x[at] for x in rest)
+                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "sig": [sigs[at].tobytes()], "cls": [cls.tobytes()]} | {k: [x.astype("<i4").tobytes()] for k, x in zip(("n", "left", "own"), small, strict=True)})
 
         size = 0
         for b in batches:
-            for c, n, s in zip(b.column("cls").to_pylist(), b.column("n").to_pylist(), b.column("sigs").to_pylist(), strict=True):
-                sigs = np.frombuffer(s, "<u8")
-                held.append((np.full(len(sigs), c, np.int64), np.full(len(sigs), n, np.int64), sigs))
+            for r in b.to_pylist():
+                sigs, left = np.frombuffer(r["sigs"], "<u8"), np.frombuffer(r["left"], "<i4")
+                same = lambda v: np.full(len(sigs), v, np.int64)
+                held.append((sigs, same(r["cls"]), same(r["n"]), left, same(r["n"] - r["m"])))
                 size += len(sigs)
                 if size >= 1_000_000:
                     yield from flush()
@@ -224,21 +245,40 @@ def _deal_signatures(ranges: int):
     return run
 
 
-def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sets of classes under one signature, each different one once: (key, members) in order of priority."""
-    sig = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["sig"]])
-    cls = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["cls"]])
-    n = np.concatenate([np.frombuffer(x, "<i4") for x in pdf["n"]])
-    order = np.lexsort((mix(cls.view(np.uint64)), sig))
-    sig, cls, n = sig[order], cls[order], n[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1])])
-    at = np.flatnonzero(new)
-    size = np.diff(np.concatenate([at, [len(sig)]]))
-    sums = np.add.reduceat(mix(cls.view(np.uint64) + np.uint64(0x51)), at)
-    two = size >= 2
-    _, once = np.unique(sums[two], return_index=True)  # groups of equal members share this sum
-    at, size, sums = at[two][once], size[two][once], sums[two][once]
-    return pd.DataFrame({"key": sums.view(np.int64), "members": [cls[a : a + s] for a, s in zip(at, size, strict=True)], "sizes": [n[a : a + s].astype(np.int64) for a, s in zip(at, size, strict=True)]})
+def may_link(n, m, left, percent: int):
+    """Whether sets of n and m shingles can still share enough when ``left`` are left."""
+    return (100 + percent) * left >= percent * (n + m)
+
+
+def _groups(percent: int):
+    """Sets of classes under one signature, each different one once: (key, members, sizes, shared) in order of priority."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["sig"]])
+        cls = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["cls"]])
+        n, left, own = (np.concatenate([np.frombuffer(x, "<i4") for x in pdf[k]]).astype(np.int64) for k in ("n", "left", "own"))
+        del pdf
+        for _ in range(3):  # who cannot link with the smallest set that is large enough has no partner here
+            order = np.lexsort((n, sig))
+            sig, cls, n, left, own = (x[order] for x in (sig, cls, n, left, own))
+            _, rank, count = np.unique(sig, return_inverse=True, return_counts=True)
+            place = (rank.astype(np.int64) << 32) + n
+            smallest = n[np.searchsorted(place, (rank.astype(np.int64) << 32) + overlap(n, percent))]
+            stays = may_link(n, smallest, left, percent) & (count[rank] >= 2)
+            sig, cls, n, left, own = (x[stays] for x in (sig, cls, n, left, own))
+        # sets with the smallest part of their own come first: the original leads its edited copies
+        order = np.lexsort((mix(cls.view(np.uint64)), own * 1024 // np.maximum(n, 1), sig))
+        sig, cls, n, own = sig[order], cls[order], n[order], own[order]
+        at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
+        size = np.diff(np.concatenate([at, [len(sig)]]))
+        sums = np.add.reduceat(mix(cls.view(np.uint64) + np.uint64(0x51)), at) if len(at) else np.zeros(0, np.uint64)
+        two = size >= 2
+        _, once = np.unique(sums[two], return_index=True)  # groups of equal members share this sum
+        at, size, sums = at[two][once], size[two][once], sums[two][once]
+        cut_at = lambda x: [x[a : a + s] for a, s in zip(at, size, strict=True)]
+        return pd.DataFrame({"key": sums.view(np.int64), "members": cut_at(cls), "sizes": cut_at(n), "shared": cut_at(n - own)})
+
+    return run
 
 
 def _verify(percent: int):
@@ -261,31 +301,62 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of the classes that links connect, over ``sets(cls, n, tokens, sigs)``."""
+    """(node, root) of the classes that links connect, over ``sets(cls, n, tokens, sigs, left)``."""
     ranges = shuffle_width(sets.sparkSession)
-    dealt = sets.select("cls", "n", "sigs").mapInArrow(_deal_signatures(ranges), "p int, sig binary, cls binary, n binary")
-    groups = cut(dealt.groupBy("p").applyInPandas(_groups, "key long, members array<long>, sizes array<long>").dropDuplicates(["key"]))
-    near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    signed = sets.select("cls", "n", "sigs", "left", (F.octet_length("tokens") / 8).cast("int").alias("m"))
+    dealt = signed.mapInArrow(_deal_signatures(ranges), "p int, sig binary, cls binary, n binary, left binary, own binary")
+    groups = cut(dealt.groupBy("p").applyInPandas(_groups(percent), "key long, members array<long>, sizes array<long>, shared array<long>").dropDuplicates(["key"]))
+    # no more than the shingles that other classes have can be in both sets
+    near = may_link(F.col("na"), F.col("nb"), F.least("ma", "mb"), percent)
     # the first member leads; the order of priority is the same in all groups, so leaders coincide
-    rows = groups.select("key", F.col("members")[0].alias("a"), F.col("sizes")[0].alias("m"), F.posexplode(F.arrays_zip("members", "sizes")).alias("no", "x"))
-    first = rows.where((F.col("no") > 0) & near(F.col("m"), F.col("x.sizes"))).select("a", F.col("x.members").alias("b")).distinct()
-    first = cut(first)
+    rows = groups.select("key", F.col("members")[0].alias("a"), F.col("sizes")[0].alias("na"), F.col("shared")[0].alias("ma"), F.posexplode(F.arrays_zip("members", "sizes", "shared")).alias("no", "x"))
+    rows = rows.select("no", "a", "na", "ma", F.col("x.members").alias("b"), F.col("x.sizes").alias("nb"), F.col("x.shared").alias("mb"))
+    first = cut(rows.where((F.col("no") > 0) & near).select("a", "b").distinct())
     links = verify(first, sets, percent)
     roots = cut(components(links))
     # groups that links don't connect yet
-    members = groups.select("key", F.explode(F.arrays_zip("members", "sizes")).alias("x")).select("key", F.col("x.members").alias("cls"), F.col("x.sizes").alias("n"))
+    members = groups.select("key", F.explode(F.arrays_zip("members", "sizes", "shared")).alias("x")).select("key", F.col("x.members").alias("cls"), F.col("x.sizes").alias("n"), F.col("x.shared").alias("m"))
     members = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    apart = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = cut(members.join(apart, "key", "left_semi"))
-    other = rest.withColumnsRenamed({"cls": "b", "n": "nb", "root": "rb"})
-    pairs = rest.withColumnsRenamed({"cls": "a", "n": "na", "root": "ra"}).join(other, "key").where((F.col("ra") < F.col("rb")) & near(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verify(cut(pairs.join(tested, ["a", "b"], "left_anti")), sets, percent)
+    apart = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
+    rest = cut(members.join(apart, "key"))
+    more = cut(_link_rest(rest, sets, percent))
     if more.isEmpty():
         return roots
     return components(links.unionByName(more))
 
 
+def _link_rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the sets of one group that are still apart, over ``rest(key, cls, n, m, root, blocks)``.
+
+    Members are dealt to blocks of about ``BLOCK``, and each pair of blocks is a task's work: all its
+    pairs that may link are tested, but only links come out.
+    """
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "n", "m", "root")
+    return met.join(sets.select("cls", "tokens"), "cls").groupBy("key", "i", "j").applyInPandas(_link_blocks(percent), "a long, b long").distinct()
+
+
+def _link_blocks(percent: int):
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        cls, n, m, block = (pdf[k].to_numpy() for k in ("cls", "n", "m", "block"))
+        tokens = [np.frombuffer(t, "<u8") for t in pdf["tokens"]]
+        _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+        out = []
+        for x in np.flatnonzero(block == i):
+            for y in np.flatnonzero((root != root[x]) & (block == j) & may_link(n[x], n, np.minimum(m[x], m), percent)):
+                if root[x] == root[y] or i == j and y < x:
+                    continue
+                both = len(np.intersect1d(tokens[x], tokens[y], assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    out.append((cls[x], cls[y]))
+                    root[root == root[y]] = root[x]  # what this connects needs no further test
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, class_id.
 
@@ -302,7 +373,7 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> D
     listed = cut(rows.mapInArrow(_classes(width), "doc_id long, cls long, n long"))
     dealt = rows.mapInArrow(_deal(ranges, width), "p int, cls binary, n binary, k binary, f binary")
     shared = dealt.groupBy("p").applyInPandas(_shared(ranges), "home int, p int, cls binary, n binary, k binary, f binary, log binary")
-    sets = cut(shared.groupBy("home").applyInPandas(_index(percent), "cls long, n long, tokens binary, sigs binary"))
+    sets = cut(shared.groupBy("home").applyInPandas(_index(percent), "cls long, n long, tokens binary, sigs binary, left binary"))
     roots = link_classes(sets, percent)
     classes = cut(listed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id")))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
