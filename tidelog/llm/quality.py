@@ -8,7 +8,6 @@ bounded sample train a linear scorer on hashed word shapes, which then scores ev
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -18,7 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, split_words
+from tidelog.llm.common import cut, mix, split_words
+from tidelog.llm.rolling import span_hashes
 from tidelog.llm.substring_dedup import _one, gathered
 
 #: Hashed features, and documents that train the scorer at most (the ones with the smallest hashes of their ids).
@@ -27,26 +27,65 @@ ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Words from which shares mean something.
 LEAST_WORDS = 20
 
-_SYMBOLS = re.compile(rb"[!-/:-@\[-`{-~]")
-_ALNUM = re.compile(rb"[0-9A-Za-z\x80-\xff]")
-_RUNS = re.compile(r"(.)\1+")
-
-
-def _word(word: bytes) -> tuple[int, ...]:
-    """(letters or digits, symbols, upper case, ends a sentence, short word, shape)."""
-    text = word.decode("utf-8", "replace")
-    n_letters, n_symbols = len(_ALNUM.findall(word)), len(_SYMBOLS.findall(word))
-    letters = [c for c in text if c.isalpha()]
-    shape = _RUNS.sub(r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in text[:64]))
-    return (
-        n_letters > 0,
-        n_symbols,
-        len(letters) > 1 and all(c == c.upper() for c in letters),
-        text.rstrip("\"')]»”")[-1:] in (".", "!", "?", "…"),
-        0 < len(letters) <= 3 and len(letters) == len(text.rstrip(".,;:")),
-        min(len(text), 64),
-        zlib.crc32(shape.encode()) % FEATURES,
-    )
+# Classes of bytes: upper and lower case letters, digits and symbols; the first byte of a longer character counts as a lower case letter.
+_REST, _UPPER, _LOWER, _DIGIT, _SYMBOL = range(5)
+_CLASS = np.full(256, _LOWER, np.uint8)
+_CLASS[:128] = _SYMBOL
+_CLASS[ord("A") : ord("Z") + 1], _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("0") : ord("9") + 1] = _UPPER, _LOWER, _DIGIT
+_CLASS[0x80:0xC0] = _REST
+
+
+def _is(*chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+_QUOTES, _STOPS, _TAIL = _is(*"\"')]"), _is(*".!?"), _is(*".,;:")
+
+
+def describe(words: pa.Array) -> dict[str, np.ndarray]:
+    """For each word: letters, letters or digits, symbols, whether it is in upper case, ends a sentence, is short; length and hashed shape.
+
+    A shape has a sign for each run of letters of one case, of digits, or of one symbol.
+    """
+    if not len(words):
+        return {k: np.zeros(0, np.int64) for k in ("plain", "symbols", "upper", "ends", "short", "length", "shape")}
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    start, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    kind = _CLASS[raw].copy()
+    wide = np.flatnonzero(raw[:-1] == 0xC3)
+    kind[wide[raw[wide + 1] <= 0x9E]] = _UPPER  # accented capitals of Latin 1
+    each = lambda x: np.add.reduceat(x.astype(np.int64), start)  # noqa: E731  no word is empty
+    upper, symbols, digits, points = each(kind == _UPPER), each(kind == _SYMBOL), each(kind == _DIGIT), each(kind != _REST)
+    letters = points - symbols - digits
+
+    def back(over, times):
+        """Last byte of each word before up to so many of some characters."""
+        at = end - 1
+        for _ in range(times):
+            at = at - (over[raw[at]] & (at > start))
+        return at
+
+    whole = kind != _REST
+    sign = np.where(kind == _SYMBOL, raw.astype(np.uint64) + np.uint64(10), kind.astype(np.uint64))[whole]
+    of = np.repeat(np.arange(len(words)), end - start)[whole]
+    new = np.concatenate([[True], (sign[1:] != sign[:-1]) | (of[1:] != of[:-1])])
+    sign, of = sign[new], of[new]
+    n = np.bincount(of, minlength=len(words))
+    last = np.cumsum(n)
+    tail = end - 1 - back(_TAIL, 2)
+    return {
+        "plain": letters + digits,
+        "symbols": symbols,
+        "upper": (letters > 1) & (upper == letters),
+        "ends": _STOPS[raw[back(_QUOTES, 2)]],
+        "short": (letters > 0) & (letters <= 3) & (points - tail == letters),
+        "length": np.minimum(points, 64),
+        "shape": (mix(span_hashes(mix(sign), last - n, last)) % np.uint64(FEATURES)).astype(np.int64),
+    }
 
 
 def statistics(text: pa.Array) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -54,19 +93,19 @@ def statistics(text: pa.Array) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     counts, words = split_words(text, lower=False)
     coded = pc.dictionary_encode(words)
     at = coded.indices.to_numpy()
-    known = np.array([_word(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.int64).reshape(-1, 7)
-    letters, symbols, upper, ends, short, length, shape = known[at].T
+    known = describe(coded.dictionary)
+    plain, symbols, upper, ends, short, length, shape = (known[k][at] for k in ("plain", "symbols", "upper", "ends", "short", "length", "shape"))
     doc = np.repeat(np.arange(len(counts)), counts)
     n = np.maximum(counts, 1)
     share = lambda x: np.bincount(doc, x, len(counts)) / n
     again = np.zeros(len(at), bool)
     again[1:] = (at[1:] == at[:-1]) & (doc[1:] == doc[:-1])
-    pairs = doc.astype(np.int64) * max(1, len(known)) + at
-    distinct = np.bincount(np.unique(pairs) // max(1, len(known)), minlength=len(counts))
+    size = max(1, len(coded.dictionary))
+    distinct = np.bincount(np.unique(doc.astype(np.int64) * size + at) // size, minlength=len(counts))
     out = {
         "n": counts,
         "noisy": share(symbols >= 2),
-        "lone": share((letters == 0) & (symbols > 0)),
+        "lone": share((plain == 0) & (symbols > 0)),
         "upper": share(upper),
         "again": share(again),
         "ends": share(ends),
