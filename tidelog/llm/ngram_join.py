@@ -322,7 +322,8 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = cut(_link_rest(rest, sets, percent))
     if more.isEmpty():
         return roots
-    return components(links.unionByName(more))
+    # what is connected already comes as stars
+    return components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def _link_rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
