@@ -393,7 +393,8 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     """
     named = cut(ngram_join(docs, width, percent).where("doc_id = component_id").select("doc_id"))
     once = named.distinct()
-    kept = docs.join(once.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    # a merge at every size: the list of ids grows with the table and is never broadcast
+    kept = docs.join(once.withColumnRenamed("doc_id", "kept_id").hint("merge"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
     if named.count() != once.count():
         kept = kept.dropDuplicates(["doc_id"])
     # without an id nothing tells which of its rows are linked
