@@ -7,6 +7,8 @@ last return the columns of documents.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from tidelog.llm.sharding import shard
 
 #: SQL cannot express the classifier's training; the tests compare with a brute-force version.
 ORACLE_SQL = None
+#: Documents of a source whose copies are decided together.
+TOGETHER = 1 << 16
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +40,28 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*docs.columns)
 
 
+def _whole(rows: pa.Table) -> pa.Table:
+    """Copies of whole documents: full multiples first, then the words left over, largest document first, as soon as they make up more than half of one."""
+    size, taken, h = (rows[c].to_numpy() for c in ("size", "taken", "h"))
+    copies, owed = taken // size, 0
+    left = taken - copies * size
+    order = np.lexsort((h, -size))
+    for k in order[left[order] > 0].tolist():
+        owed += int(left[k])
+        if 2 * owed > size[k]:
+            copies[k] += 1
+            owed -= int(size[k])
+    return pa.table({"mixed_id": rows["mixed_id"], "mixed_source": rows["mixed_source"], "n_copies": pa.array(copies, pa.int64())})
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes its words, rounded: 0 to 3 times."""
-    mixed = mix_sources(docs).where("size > 0")
-    copies = mixed.groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("n_copies")).where("n_copies > 0")
-    joined = docs.join(copies.withColumnRenamed("doc_id", "mixed_id"), F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    """Each document comes 0 to 3 times, so that the words of each source come near those that the mix takes of it."""
+    mixed = mix_sources(docs).where("size > 0").groupBy(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"))
+    mixed = cut(mixed.agg(F.sum("size").alias("size"), F.sum("taken").alias("taken")).withColumn("h", F.xxhash64(F.lit(17), "mixed_id")))
+    parts = mixed.groupBy(F.col("mixed_source").alias("s")).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    dealt = mixed.join(parts, F.col("mixed_source").eqNullSafe(F.col("s"))).withColumn("part", F.pmod("h", "parts"))
+    copies = dealt.groupBy("mixed_source", "part").applyInArrow(_whole, "mixed_id long, mixed_source string, n_copies long").where("n_copies > 0")
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mixed_id")) & F.col("source").eqNullSafe(F.col("mixed_source")))
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).select(*docs.columns)
 
 

@@ -492,3 +492,17 @@ def test_pipeline(spark):
     assert set(copies) <= set(ids["benchmark decontamination"]) and max(copies.values()) <= 3
     check_shards([(i, before[i]) for i in ids["mixing"]], got(out["sharding"]), 8)
     assert corpus_pipeline.run(spark, DATA).count() == len(ids["sharding"])
+
+
+def test_pipeline_mixing_meets_targets(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    goal = {r["source"]: r["target"] for r in got(mixing.mix_sources(docs)) if r["size"]}
+    kept = got(corpus_pipeline.mixing(spark, docs, DATA))
+    words_of = Counter()
+    for r in kept:
+        words_of[r["source"]] += len(words(r["text"]))
+    assert max(Counter(r["doc_id"] for r in kept).values()) <= 3 and set(words_of) == set(goal)
+    for s, target in goal.items():
+        assert abs(words_of[s] - target) <= 0.03 * target
