@@ -420,6 +420,18 @@ def test_decontamination(spark):
     assert not any(r["contaminated"] for r in got(decontaminate.decontaminate(table(spark, data), bench.limit(0))))
 
 
+def leaked(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = got(decontaminate.decontaminate(table(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)]), bench))
+    return [r["item_ids"] for r in by_id(found)]
+
+
+def test_decontamination_reads_first_words_both_ways(spark):
+    items = ["What is the capital of the old kingdom in the north?", "Carol has a red ball.", "In which month does the river flood the plain?", "Alice gave her three brothers some apples and Alice kept the other seven apples"]
+    texts = [f"Exercise\n{items[0]}", f"we read: no, {items[1]}", f"12 {items[2]}", f"so {items[3].replace('Alice', 'Emma')}", f"so {items[3].replace('Alice', 'Emma', 1)}", f"Read this. {items[0]}", "what is the capital of the new kingdom in the north?"]
+    assert leaked(spark, items, texts) == [[0], [1], [2], [3], [3], [0], []]
+
+
 def test_decontamination_of_the_driver_tables(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}

@@ -2,8 +2,9 @@
 
 Words become templates: numbers, units and names turn into typed placeholders, other words
 into their lower case without outer punctuation. Hashes of template windows of the benchmark
-join those of the documents; aligned hits form runs, and a run counts if its placeholders
-are filled consistently, so the same question with other parameters is found too.
+join those of the documents; aligned hits form runs, and a run counts as far as its placeholders
+are filled consistently, so the same question with other parameters is found too. Windows
+whose first word reads differently elsewhere join word by word.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ UNITS = frozenset(
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 MEASURE = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([A-Za-z/%]+)")
 PLAIN, NUM, UNIT, NAME, MIXED = range(5)
+#: Sets hashes of exact windows apart from those of templates.
+EXACT = 1 << 32
 
 
 def _kind(word: str) -> tuple[int, str, bool]:
@@ -55,8 +58,8 @@ def _placeholders() -> np.ndarray:
     return string_hashes(pa.array(["\0plain", "\0number", "\0unit", "\0name", "\0measure"]), 7)
 
 
-def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """(words per row, template hashes, placeholder kinds, distinct cores, core of each word)."""
+def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(words per row, template hashes, placeholder kinds, distinct cores, core of each word, word hashes, kinds apart from the word before)."""
     counts, words = split_words(text, lower=False)
     coded = pc.dictionary_encode(words)
     at = coded.indices.to_numpy()
@@ -68,70 +71,109 @@ def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Ar
     opens = np.concatenate([[True], ends[:-1]])[: len(kind)]
     opens[(np.cumsum(counts) - counts)[counts > 0]] = True
     after = np.concatenate([[False], kind[:-1] == NUM])[: len(kind)]
-    kind = np.where((kind == NAME) & opens | (kind == UNIT) & ~after, PLAIN, kind)
-    return counts, np.where(kind == PLAIN, literal, _placeholders()[kind]), kind, cores, at
+    alone, kind = kind, np.where((kind == NAME) & opens | (kind == UNIT) & ~after, PLAIN, kind)
+    return counts, np.where(kind == PLAIN, literal, _placeholders()[kind]), kind, cores, at, literal, alone
+
+
+def _enough(kind, at, width):
+    plain = np.concatenate([[0], np.cumsum(kind == PLAIN)])
+    return plain[at + width] - plain[at] >= min(LEAST_LITERAL, width)
 
 
 def _windows(counts, hashes, kind, width):
     doc, at = window_starts(counts, width)
-    plain = np.concatenate([[0], np.cumsum(kind == PLAIN)])
-    enough = plain[at + width] - plain[at] >= min(LEAST_LITERAL, width)
+    enough = _enough(kind, at, width)
     doc, at = doc[enough], at[enough]
     return doc, at, mix(span_hashes(hashes, at, at + width) + np.uint64(width))
 
 
+def _exact_windows(counts, literal, width):
+    doc, at = window_starts(counts, width)
+    return doc, at, mix(span_hashes(literal, at, at + width) + np.uint64(width + EXACT))
+
+
+def _table(item, pos, h):
+    """Window hashes in order, their items and positions, and a filter of hashes."""
+    order = np.argsort(h, kind="stable")
+    bits = np.zeros(1 << 20, bool)
+    bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    return h[order], item[order], pos[order], bits
+
+
+def _hits(table, doc, at, h):
+    """(doc, position, item, item's position) of equal window hashes."""
+    known, item, pos, bits = table
+    may = bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
+    doc, at, h = doc[may], at[may], h[may]
+    lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+    n = hi - lo
+    which = np.repeat(np.arange(len(h)), n)
+    hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+    return doc[which], at[which], item[hit], pos[hit]
+
+
 class Items:
-    """A block of the benchmark: its words, templates and sorted window hashes, by window width."""
+    """A block of the benchmark: its words, kinds and sorted window hashes (of templates and of exact words), by window width."""
 
     def __init__(self, ids: list, texts: list[str], window: int):
         self.ids = ids
-        self.counts, self.hashes, self.kind, cores, at = templates(pa.array(texts, pa.large_string()))
+        self.counts, hashes, self.kind, cores, at, literal, alone = templates(pa.array(texts, pa.large_string()))
         self.words = np.array(cores.to_pylist(), object)[at] if len(at) else np.zeros(0, object)
-        self.first = np.cumsum(self.counts) - self.counts
+        # the first word of an item may be a name or unit where another word stands before it
+        first = (np.cumsum(self.counts) - self.counts)[self.counts > 0]
+        other = first[alone[first] != self.kind[first]]
+        hashes2, kind2 = hashes.copy(), self.kind.copy()
+        hashes2[other], kind2[other] = _placeholders()[alone[other]], alone[other]
         self.by_width = {}
         for width in sorted({window, *(int(c) for c in self.counts if 0 < c < window)}):
             own = np.where(self.counts >= window, window, self.counts) == width
-            item, pos, h = _windows(self.counts, self.hashes, self.kind, width)
-            item, pos, h = item[own[item]], pos[own[item]], h[own[item]]
-            order = np.argsort(h, kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.by_width[width] = (h[order], item[order], pos[order], bits)
-
-
-def consistent(item_words, doc_words, kinds) -> bool:
-    """Whether the doc fills each slot value of the item in one way, kind by kind."""
-    filled: dict[tuple, str] = {}
-    return all(filled.setdefault((int(k), a), b) == b for a, b, k in zip(item_words, doc_words, kinds, strict=True) if k != PLAIN)
+            item, pos, h = _windows(self.counts, hashes, self.kind, width)
+            item2, pos2, h2 = _windows(self.counts, hashes2, kind2, width)
+            again = np.isin(pos2, other)
+            item, pos, h = np.concatenate([item, item2[again]]), np.concatenate([pos, pos2[again]]), np.concatenate([h, h2[again]])
+            exact, at, g = _exact_windows(self.counts, literal, width)
+            needed = own[exact] & np.isin(alone[at], (NAME, UNIT))
+            self.by_width[width] = _table(item[own[item]], pos[own[item]], h[own[item]]), _table(exact[needed], at[needed], g[needed])
+
+
+def consistent_runs(start: int, end: int, slots) -> list[tuple[int, int]]:
+    """The longest parts of [start, end) that fill each slot value in one way; ``slots`` are (position, slot value, filling) in order."""
+    filled: dict[tuple, tuple] = {}
+    out = []
+    for at, slot, word in slots:
+        before, last = filled.get(slot, (word, -1))
+        if before != word and last >= start:
+            out.append((start, at))
+            start = last + 1
+        filled[slot] = word, at
+    return [*out, (start, end)]
 
 
 def leaks(items: Items, text: pa.Array, least_run: int) -> list[list[tuple]]:
     """For each text the (item, start, end) of verified runs; positions are words."""
-    counts, hashes, kind, cores, core_at = templates(text)
+    counts, hashes, kind, cores, core_at, literal, _ = templates(text)
     first, out = np.cumsum(counts) - counts, [[] for _ in range(len(counts))]
-    for width, (known, item, pos, bits) in items.by_width.items():
-        doc, at, h = _windows(counts, hashes, kind, width)
-        may = bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-        doc, at, h = doc[may], at[may], h[may]
-        lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-        n = hi - lo
-        if not n.sum():
+    for width, (by_template, by_words) in items.by_width.items():
+        found = [_hits(by_template, *_windows(counts, hashes, kind, width))]
+        if len(by_words[0]):
+            found.append(_hits(by_words, *_exact_windows(counts, literal, width)))
+        d, a, i, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(d):
             continue
-        which = np.repeat(np.arange(len(h)), n)
-        hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-        d, a, i, b = doc[which], at[which], item[hit], pos[hit]
         order = np.lexsort((a, a - b, i, d))
         d, a, i, b = d[order], a[order], i[order], b[order]
         new = np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | ((a - b)[1:] != (a - b)[:-1]) | (a[1:] > a[:-1] + width)])
         last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(d) - 1]])
         for x, y in zip(np.flatnonzero(new), last, strict=True):
             k, start, end, shift = int(i[x]), int(a[x]), int(a[y]) + width, int(b[x] - a[x])
-            if end - start < min(int(items.counts[k]), least_run):
+            least = min(int(items.counts[k]), least_run)
+            if end - start < least:
                 continue
-            slots = np.flatnonzero(kind[start:end] != PLAIN) + start
-            if consistent(items.words[slots + shift], [cores[int(core_at[s])].as_py() for s in slots], kind[slots]):
-                f = int(first[d[x]])
-                out[d[x]].append((items.ids[k], start - f, end - f))
+            known = items.kind[start + shift : end + shift]
+            kinds = np.where(known != PLAIN, known, kind[start:end])
+            slots = ((start + s, (int(kinds[s]), items.words[start + s + shift]), cores[int(core_at[start + s])].as_py().lower()) for s in np.flatnonzero(kinds != PLAIN).tolist())
+            f = int(first[d[x]])
+            out[d[x]] += [(items.ids[k], u - f, v - f) for u, v in consistent_runs(start, end, slots) if v - u >= least]
     return out
 
 
@@ -156,8 +198,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     """All columns of ``docs(doc_id, text, ...)``, one row for each, with ``leaks`` (item_id, start, end in words), ``item_ids`` and ``contaminated``.
 
     A document is contaminated by an item of ``benchmark(item_id, text)`` when an aligned run of
-    matching template windows covers ``least_run`` words or the whole item, and fills the
-    placeholders consistently. Null and blank texts, on either side, match nothing. Columns of
+    matching windows covers ``least_run`` words or the whole item, and fills the
+    placeholders consistently on that length. Null and blank texts, on either side, match nothing. Columns of
     ``docs`` with the names of results are replaced. Nothing is shuffled: the benchmark is
     broadcast in blocks of at most ``block_words`` words (or one item), whatever its size.
     Repeated rows are each judged; with no benchmark nothing is contaminated.
