@@ -432,6 +432,21 @@ def test_decontamination_reads_first_words_both_ways(spark):
     assert leaked(spark, items, texts) == [[0], [1], [2], [3], [3], [0], []]
 
 
+def test_decontamination_finds_items_of_few_literal_words(spark):
+    line = "Alice Bob Carol Dora Emma Frank Grace Heidi Ivan Judy Karl Laura Mona Nora"
+    items = ["1 1 2 3 5 8 13 21 34 55 89 144 233", "7 + 5", f"names are {line}", "12 km 3 hours"]
+    texts = [f"series {items[0]} and so on", "what is 7 + 5 today", f"the {items[2]} of all", "took 12 km 3 hours then", "1 1 2 3 5 8 13 22 34 55 89 144 233", "7 + 6", "13 km 3 hours"]
+    assert leaked(spark, items, texts) == [[0], [1], [2], [3], [], [], []]
+
+
+def test_decontamination_keeps_the_consistent_part_of_a_run(spark):
+    words_ = [f"word{'abcdefghijklmnopqrst'[k % 20]}{'xyz'[k // 20]}" for k in range(50)]
+    item = " ".join(["there are 9 boxes", *words_[:40], "and 9 lids", *words_[40:50]])
+    texts = [item.replace("and 9", "and 8"), " ".join(["there are 9 boxes", *words_[:3], "and 8 lids", *words_[40:43]])]
+    assert leaked(spark, [item], texts) == [[0], []]
+    assert decontaminate.consistent_runs(0, 20, [(2, "a", "x"), (5, "b", "y"), (9, "a", "z"), (12, "b", "y")]) == [(0, 9), (3, 20)]
+
+
 def test_decontamination_of_the_driver_tables(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}

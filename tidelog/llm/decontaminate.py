@@ -4,7 +4,7 @@ Words become templates: numbers, units and names turn into typed placeholders, o
 into their lower case without outer punctuation. Hashes of template windows of the benchmark
 join those of the documents; aligned hits form runs, and a run counts as far as its placeholders
 are filled consistently, so the same question with other parameters is found too. Windows
-whose first word reads differently elsewhere join word by word.
+whose first word reads differently elsewhere, or with too few literal words, join word by word.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ class Items:
             again = np.isin(pos2, other)
             item, pos, h = np.concatenate([item, item2[again]]), np.concatenate([pos, pos2[again]]), np.concatenate([h, h2[again]])
             exact, at, g = _exact_windows(self.counts, literal, width)
-            needed = own[exact] & np.isin(alone[at], (NAME, UNIT))
+            needed = own[exact] & (np.isin(alone[at], (NAME, UNIT)) | ~_enough(self.kind, at, width) | ~_enough(kind2, at, width))
             self.by_width[width] = _table(item[own[item]], pos[own[item]], h[own[item]]), _table(exact[needed], at[needed], g[needed])
 
 
