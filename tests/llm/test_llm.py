@@ -257,6 +257,41 @@ def test_line_chunks_resist_shifts(spark):
     assert found[1]["n_removed"] == 0 and found[2]["n_removed"] >= 40
 
 
+def plain_repeated_lines(data):
+    """For each (doc_id, text) the lines in a pair of neighbours that stands earlier."""
+    first, out = {}, {}
+    for has, i, t in sorted({(i is not None, i or 0, t or "") for i, t, *_ in data}):
+        ls = t.split("\n")
+        for k, pair in enumerate(zip(ls, ls[1:], strict=False)):
+            first.setdefault(pair, (has, i, k))
+    for has, i, t in sorted({(i is not None, i or 0, t or "") for i, t, *_ in data}):
+        ls = t.split("\n")
+        out[i if has else None, t] = sorted({x for k, pair in enumerate(zip(ls, ls[1:], strict=False)) if first[pair] < (has, i, k) for x in (k, k + 1)})
+    return out
+
+
+def test_line_dedup_of_every_run(spark):
+    own = lambda k, n: [f"own {k} {n} {j}" for j in range(4)]
+    passage = lambda p, n: [f"passage {p} {j} of {n}" for j in range(n)]
+    data = rows() + [(1000 + 100 * n + 10 * p + k, "\n".join(own(k, (n, p, 0)) + passage(p, n) + own(k, (n, p, 1))), "en", "a", 0) for n in (2, 4, 8, 12) for p in range(6) for k in range(2)]
+    want, texts = plain_repeated_lines(data), {(i, t or "") for i, t, *_ in data}
+    found = got(line_dedup.line_dedup(table(spark, data), every_run=True))
+    assert len(found) == len(data) and set(want) == texts
+    for r in found:
+        gone, lines = want[r["doc_id"], r["text"] or ""], (r["text"] or "").split("\n")
+        assert r["n_removed"] == len(gone) and r["clean_text"] == (None if r["text"] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+        spans = [tuple(map(int, x.split(":"))) for x in r["removed"].split(",") if x]
+        assert [k for a, b in spans for k in range(a, b)] == gone and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert sum(r["n_removed"] for r in found if (r["doc_id"] or 0) >= 1000) >= 6 * (2 + 4 + 8 + 12)
+
+
+def test_registered_line_dedup_removes_every_repeated_line(spark):
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    want = plain_repeated_lines(data)
+    found = {r["doc_id"]: r["n_removed"] for r in got(queries.QUERIES["op2_line_dedup"](spark, DATA))}
+    assert all(found[i] == len(want[i, t or ""]) for i, t in data)
+
+
 # 4 N-gram join
 
 
