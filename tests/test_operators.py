@@ -164,10 +164,75 @@ def test_divergence_and_next_action(spark):
     df = chain(spark, (NC, "Minor"), (MRB, "UseAsIs"))
     row = facts.divergence(df).first()
     assert (row.state, row.naive_state) == (facts.NOMINAL, facts.FLAGGED)
-    act = lambda *s: facts.next_action(chain(spark, *s)).first().next_action
-    assert act((NC, "Minor")) == "disposition" and act((NC, "Major"), (MRB, "Rework")) == "rework"
-    assert act((NC, "Major"), (MRB, "Rework"), (REWORK, "Failed")) == "retest" and act((NC, "Critical")) == "none"
-    assert act(("ProcessStepCompleted", None)) == "inspect" and act((INSPECT, "Pass")) == "accept" and act((INSPECT, "Pass"), ("FinalAcceptance", None)) == "none"
+
+
+def step(stage):
+    return ("ProcessStepCompleted", None, stage, None, None)
+
+
+def inspect(kind, outcome="Pass"):
+    return (INSPECT, outcome, None, kind, None)
+
+
+def raised(number):
+    return (NC, "Major", None, None, number)
+
+
+def judged(number, kind):
+    return (MRB, kind, None, None, number)
+
+
+MACHINED = [step("Forge"), step("HeatTreat"), step("Machining")]
+
+
+@pytest.mark.parametrize(
+    ("steps", "action", "number"),
+    [
+        ([], None, None),
+        ([step("Forge")], "CompleteHeatTreat", None),
+        ([inspect("Visual")], "CompleteHeatTreat", None),
+        ([step("Forge"), step("HeatTreat")], "CompleteMachining", None),
+        (MACHINED, "RecordCmmInspection", None),
+        ([*MACHINED, inspect("CMM", "Fail")], "RecordCmmInspection", None),
+        ([*MACHINED, inspect("CMM")], "RecordNdtInspection", None),
+        ([*MACHINED, inspect("CMM"), inspect("FPI")], "SignOffFai", None),
+        ([*MACHINED, inspect("CMM"), inspect("Visual")], "RecordNdtInspection", None),
+        ([*MACHINED, inspect("CMM"), inspect("XRay"), ("FinalAcceptance", None, None, None, None)], "Terminal", None),
+        ([*MACHINED, inspect("CMM"), raised("NC-1"), raised("NC-2")], "IssueMrb", "NC-1"),
+        ([*MACHINED, raised("NC-1"), raised("NC-2"), judged("NC-1", "UseAsIs")], "IssueMrb", "NC-2"),
+        ([*MACHINED, raised("NC-1"), judged("NC-1", "Rework")], "CompleteRework", None),
+        ([*MACHINED, raised("NC-1"), judged("NC-1", "Rework"), (REWORK, "Passed", None, None, None)], "SignOffFai", None),
+        ([*MACHINED, raised("NC-1"), judged("NC-1", "Rework"), (REWORK, "Failed", None, None, None)], "RecordNdtInspection", None),
+        ([*MACHINED, inspect("CMM"), raised("NC-1"), judged("NC-1", "UseAsIs")], "RecordNdtInspection", None),
+        ([*MACHINED, raised("NC-1"), judged("NC-1", "Scrap")], "Terminal", None),
+        ([*MACHINED, raised("NC-1"), judged("NC-1", "ReturnToVendor")], "Terminal", None),
+        ([(NC, "Critical", None, None, "NC-9")], "IssueMrb", "NC-9"),
+    ],
+)
+def test_next_action(spark, steps, action, number):
+    rows = [("p", f"f{i}", *s, i, 0) for i, s in enumerate(steps)]
+    random.Random(3).shuffle(rows)
+    got = facts.next_action(spark.createDataFrame(rows, "serial string, fact_id string, fact_type string, detail string, stage string, inspection string, nc_number string, wall long, counter int")).collect()
+    assert [(r.next_action, r.open_nc) for r in got] == ([(action, number)] if steps else [])
+
+
+def test_parts_and_registers_are_live(spark):
+    e = entries(spark, [("p/1", "v", 1, 0, 0, None), ("q/1", "v", 1, 0, 0, None), ("q/1", None, 2, 0, 0, None), ("r/1", "v", 1, 0, 5, None)])
+    assert [r.serial for r in facts.parts(e, 9).collect()] == ["p"]
+    assert facts.facts_of(e, "q", 9).count() == 0 and [r.key for r in facts.facts_of(e, "p", 9).collect()] == ["p/1"]
+    own = entries(spark, [("p/1", "mine", 1, 0, 0, None), ("q/1", "gone", 1, 0, 5, None)])
+    assert {r.key: bytes(r.value) for r in facts.register_value(e, own, 9).collect()} == {"p/1": b"mine"}
+
+
+def test_null_origins_stay_in_a_feed(spark):
+    feed = entries(spark, [("k0", "v", 5, 0, 0, None), ("k1", "v", 3, 0, 0, None), ("k2", "v", 6, 0, 0, "s")]).withColumn("tree_id", F.lit("t")).withColumn("n", F.substring("key", 2, 9).cast("long"))
+    marks = spark.createDataFrame([("t", None, (4, 0))], "tree_id string, origin_cluster_id string, hwm struct<wall_ticks:bigint,counter:int>")
+    assert {r.key: r.applied for r in capture.apply_feed(feed, marks, "me", "n").collect()} == {"k0": True, "k1": False, "k2": True}
+
+
+def test_start_after(spark):
+    row = spark.range(1).select(facts.start_after(hlc(5, 2), "east").alias("a"), facts.start_after(hlc(5, 2**31 - 1), "east").alias("b")).first()
+    assert row.a == f"{5:020d}{3:010d}|east|" and row.b == f"{6:020d}{0:010d}|east|"
 
 
 def test_fact_codec_and_keys(spark):

@@ -169,7 +169,7 @@ def test_shards(store):
     t = store.tree("t", shard_count=4)
     t.set_many({f"k{i}": b"1" for i in range(30)})
     assert sum(r.n for r in t.count_per_shard().collect()) == 30 and t.count_per_shard().count() == 4
-    assert store.catalog.split_shard("t", 0) == 4
+    assert store.split_shard("t", 0) == 4
     slots = store.catalog.need("t").slots
     assert slots.count(0) == slots.count(4) == 512 and max(i for i, s in enumerate(slots) if s == 0) < min(i for i, s in enumerate(slots) if s == 4)
     store.reshard("t", 8)
@@ -247,3 +247,181 @@ def test_raw_load_keeps_stamps(store, spark):
     t = store.tree("t")
     t.bulk_load_raw(e)
     assert t.get_with_version("k2") == (b"v", (7, 1))
+
+
+def rival(store, action):
+    """Makes the tree's next commit lose a race to ``action``, once."""
+    log_class, done = Log, []
+    first = log_class.write
+
+    def write(self, rows, *args, **kwargs):
+        folder = first(self, rows, *args, **kwargs)
+        if not done:
+            done.append(1)
+            action()
+        return folder
+
+    return log_class, write
+
+
+def test_compaction_keeps_what_others_commit(store, monkeypatch):
+    t = store.tree("t")
+    for k in "abc":
+        t.set(k, b"1")
+    cls, write = rival(store, lambda: (store.tree("t").compact(grace_ticks=0), store.tree("t").set("new", b"2")))
+    monkeypatch.setattr(cls, "write", write)
+    t.compact(grace_ticks=0)
+    monkeypatch.undo()
+    assert t.get("new") == b"2" and t.count() == 4 and t.get("a") == b"1"
+    t.set("c", b"3")
+    assert t.compact(grace_ticks=0) and not t.compact(grace_ticks=0)  # nothing left to do
+
+
+def test_merged_and_loaded_stamps_move_the_clock(store, spark):
+    far = now_ticks() + 9 * TICKS_PER_DAY
+    e = spark.createDataFrame([("k", b"old", (far, 3), False, 0, "far")], resolve_schema())
+    store.tree("a").bulk_load_raw(e)
+    store.merge("b", "a")
+    store.snapshot("a", "c")
+    for name in "abc":
+        t = store.tree(name)
+        t.set("k", b"new")
+        assert t.get("k") == b"new" and t.get_with_version("k")[1] > (far, 3)
+
+
+def resolve_schema():
+    from tidelog.plans.schema import ENTRIES
+
+    return ENTRIES
+
+
+def test_null_values_are_refused(store, spark):
+    t = store.tree("t")
+    t.set("a", b"1")
+    nulls = spark.createDataFrame([("a", None, 0)], "key string, value binary, position int")
+    for bad in (lambda: t.set_many(nulls), lambda: store.tree("u").bulk_load(nulls.drop("position")), lambda: t.set_many([(None, b"1")])):
+        with pytest.raises(ValueError):
+            bad()
+    assert t.get("a") == b"1"
+
+
+def test_an_operation_is_judged_in_its_commit(store, monkeypatch):
+    t, told = store.tree("t"), []
+    cls, write = rival(store, lambda: told.append(store.tree("t").set_many_atomic({"a": b"1"}, "op")))
+    monkeypatch.setattr(cls, "write", write)
+    told.append(t.set_many_atomic({"a": b"2"}, "op"))
+    monkeypatch.undo()
+    assert told == ["committed", "repeated"] and t.get("a") == b"1"
+
+
+def test_a_bulk_load_that_loses_a_race_finds_the_tree_full(store, spark, monkeypatch):
+    t = store.tree("t")
+    rows = spark.createDataFrame([("a", b"1")], "key string, value binary")
+    cls, write = rival(store, lambda: store.tree("t").set("z", b"9"))
+    monkeypatch.setattr(cls, "write", write)
+    with pytest.raises(TreeError):
+        t.bulk_load(rows)
+
+
+def test_marks_move_forward_only(store, spark, monkeypatch):
+    t = store.tree("t")
+
+    def feed(*walls):
+        return spark.createDataFrame([(f"k{w}", b"v", (w, 0), False, 0, "far", w) for w in walls], "key string, value binary, hlc struct<wall_ticks:bigint,counter:int>, is_tombstone boolean, expires_at_ticks bigint, origin_cluster_id string, sequence long")
+
+    cls, write = rival(store, lambda: store.tree("t").apply_feed(feed(9), "me"))
+    monkeypatch.setattr(cls, "write", write)
+    assert t.apply_feed(feed(5), "me") == 0  # judged anew: the mark stands at 9 by then
+    monkeypatch.undo()
+    assert t.log.latest().marks == {'"far"': [9, 0]} and t.apply_feed(feed(7, 10), "me") == 1
+
+
+def test_purge_of_an_alias_spares_its_target(store):
+    store.tree("a").set("k", b"1")
+    store.tree("b").set("k", b"2")
+    store.catalog.set_alias("b", "a")
+    store.soft_delete("b")
+    store.purge("b")
+    assert store.tree("a").get("k") == b"1" and store.tree("b").get("k") is None
+
+
+def test_two_changes_of_a_catalog_entry_both_hold(store):
+    store.tree("t")
+    c, other = store.catalog, Store(store.spark, store.root).catalog
+
+    def change(e):
+        if e.max_leaf_keys != 64:
+            other.update("t", lambda x: setattr(x, "max_leaf_keys", 64))
+        e.max_internal_children = 32
+
+    c.update("t", change)
+    assert (c.need("t").max_leaf_keys, c.need("t").max_internal_children) == (64, 32)
+
+
+def test_typed_values(store, spark):
+    from pyspark.sql import types as T
+
+    t = store.tree("t").typed()
+    t.set("a", {"n": 1})
+    assert t.get("a") == {"n": 1} and t.get("b") is None and t.get_or_set("a", 5) == {"n": 1} and t.get_or_set("b", [1]) is None
+    value, version = t.get_with_version("a")
+    assert value == {"n": 1} and not t.set_if_version("a", 2, (0, 0)) and t.set_if_version("a", {"n": 2}, version)
+    assert t.set_many({"c": "x", "d": None}) == 2 and t.get_many(["a", "c", "zz"]) == {"a": {"n": 2}, "c": "x"}
+    assert t.set_many_atomic({"e": 1}, "op") == "committed" and t.set_many_atomic({"e": 1}, "op") == "repeated"
+    u = store.tree("u").typed()
+    assert u.bulk_load(spark.range(5).select(F.format_string("k%d", "id").alias("key"), F.col("id").alias("n")), "n") == 5
+    got = u.entries(T.StructType([T.StructField("n", T.LongType())])).collect()
+    assert [(r.key, r.typed.n) for r in got] == [(f"k{i}", i) for i in range(5)]
+
+
+def test_streamed_load_is_idempotent(store, spark, tmp_path):
+    t = store.tree("t")
+    rows = spark.range(6).select(F.format_string("k%d", "id").alias("key"), F.lit(b"v").alias("value"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    t.bulk_load_stream(stream, f"{tmp_path}/ck", "load").awaitTermination()
+    before = t.log.latest().version
+    assert t.count() == 6 and before == 3
+    t.bulk_load_stream(stream, f"{tmp_path}/ck2", "load").awaitTermination()  # the same chunks under their numbers
+    assert t.log.latest().version == before
+    assert t.bulk_append(rows, "more", 0) == 6 and t.bulk_append(rows, "more", 0) == 0
+
+
+def test_events_and_metrics(spark, tmp_path):
+    from tidelog.sources import telemetry
+
+    store = Store(spark, f"file://{tmp_path}/store", publish_events=True)
+    t = store.tree("t")
+    t.set_many_atomic({"a": b"1", "b": b"2"}, "op")
+    t.delete("a"), t.delete("a"), t.delete_range("x", "z"), t.delete_range("a", "z")
+    t.compact(grace_ticks=0)
+    store.set_publish_events("t", False)
+    t.set("quiet", b"1")
+    store.set_publish_events("t", None)
+    store.soft_delete("t"), store.recover("t")
+    got = sorted((r.kind, r.key, r.operation_id) for r in spark.read.parquet(f"{store.root}/events").collect())
+    want = [("Set", "a", "op"), ("Set", "b", "op"), ("AtomicWriteCompleted", None, "op"), ("Delete", "a", None), ("Delete", "b", None), ("DeleteRange", "a..z", None), ("CompactionCompleted", None, None), ("TreeDeleted", None, None), ("TreeRecovered", None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    told = {(r.instrument, r.tag): r.n for r in store.metrics.table(spark).collect()}
+    assert {k for k, _ in told} == {*telemetry.COUNTERS, *telemetry.HISTOGRAMS} and len(telemetry.COUNTERS) + len(telemetry.HISTOGRAMS) == 18
+    assert told["shard.writes", ""] == 5 and told["leaf.tombstones.created", ""] == 2 and told["atomic_write.completed", "committed"] == 1 and told["tree.lifecycle", "deleted"] == 1
+    assert t.health()["is_compacted"] is False and t.health()["folders"] == 2
+
+
+def test_cached_reads_see_new_commits(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", cache=True)
+    t = store.tree("t")
+    t.set("a", b"1")
+    assert t.get("a") == b"1" and t.get("a") == b"1"
+    t.set("a", b"2")
+    assert t.get("a") == b"2"
+    t.compact(grace_ticks=0)
+    assert t.get("a") == b"2" and store.metrics.counts["cache.hits", ""] == 1 and store.metrics.counts["cache.misses", ""] == 3
+
+
+def test_heal_shadow_and_resilient_scan(store):
+    t = store.tree("t")
+    t.set_many({"shadow/east/a": b"own", "a": b"shared", "b": b"1", "shadow/west/c": b"x"})
+    assert t.heal_shadow("east") == 1 and t.heal_shadow("east") == 0
+    assert list(t.scan_resilient(page_size=2)) == [("a", b"own"), ("b", b"1"), ("shadow/west/c", b"x")]
+    assert [k for k, _ in t.scan_resilient("a", "c", True, 1)] == ["b", "a"]

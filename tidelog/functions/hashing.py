@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,28 +12,44 @@ from pyspark.sql.types import LongType
 FNV_OFFSET, FNV_PRIME, MASK32 = 2166136261, 16777619, 0xFFFFFFFF
 
 
-def _fnv1a(units: Column) -> Column:
-    return F.aggregate(units, F.lit(FNV_OFFSET).cast("long"), lambda h, u: (h.bitwiseXOR(u) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK32)))
+def _fnv1a(keys: pd.Series, width: int) -> pd.Series:
+    """FNV-1a over the UTF-16 code units of each key, as bytes in little-endian order (width 1) or whole (width 2); all keys advance together."""
+    raw = [b"" if k is None else k.encode("utf-16-le") for k in keys]
+    n = np.array([len(r) // width for r in raw])
+    order = np.argsort(-n, kind="stable")
+    units = np.frombuffer(b"".join(raw), "<u1" if width == 1 else "<u2").astype(np.uint64)
+    start = (np.cumsum(n) - n)[order]
+    hashed = np.full(len(raw), FNV_OFFSET, np.uint64)
+    for i in range(int(n.max(initial=0))):
+        alive = int(np.searchsorted(-n[order], -i, "left"))  # keys with more than i units come first
+        hashed[:alive] = ((hashed[:alive] ^ units[start[:alive] + i]) * np.uint64(FNV_PRIME)) & np.uint64(MASK32)
+    out = np.empty(len(raw), np.int64)
+    out[order] = hashed.astype(np.int64)
+    return pd.Series(out).where(keys.notna().to_numpy(), None).astype("Int64")
 
 
-def _utf16(key: Column, width: int) -> Column:
-    """UTF-16 code units, as bytes in little-endian order (width 1) or whole (width 2)."""
-    digits = F.hex(F.encode(key, "UTF-16LE" if width == 1 else "UTF-16BE"))
-    n = (F.length(digits) / (2 * width)).cast("int")
-    unit = lambda i: F.conv(F.substring(digits, (i * 2 * width) + 1, F.lit(2 * width)), 16, 10).cast("long")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), unit)).otherwise(F.array().cast("array<long>"))
+@F.pandas_udf(LongType())
+def fnv_bytes(keys: pd.Series) -> pd.Series:
+    """FNV-1a over the bytes of the key in UTF-16; Spark has no such function, so this is an Arrow UDF."""
+    return _fnv1a(keys, 1)
+
+
+@F.pandas_udf(LongType())
+def fnv_units(keys: pd.Series) -> pd.Series:
+    """FNV-1a over the UTF-16 code units of the key."""
+    return _fnv1a(keys, 2)
 
 
 def log_partition(key: Column, partitions: int) -> Column:
     """Partition of the replication log: FNV-1a over the bytes of the key in UTF-16."""
     if partitions < 1:
         raise ValueError("at least one partition")
-    return F.lit(0) if partitions == 1 else (_fnv1a(_utf16(key, 1)) % partitions).cast("int")
+    return F.lit(0) if partitions == 1 else (fnv_bytes(key) % partitions).cast("int")
 
 
 def silo(key: Column) -> Column:
     """Parity of FNV-1a over the UTF-16 code units of the key."""
-    return _fnv1a(_utf16(key, 2)).bitwiseAND(F.lit(1)).cast("int")
+    return fnv_units(key).bitwiseAND(F.lit(1)).cast("int")
 
 
 @F.pandas_udf(LongType())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.hashing import log_partition
 from tidelog.operators.resolve import live, resolve, tombstones
 from tidelog.operators.scan import in_range
-from tidelog.plans.order import rank, running_max
+from tidelog.plans.order import null_safe_join, rank, running_max
 from tidelog.plans.schema import hlc, zero
 
 
@@ -61,11 +61,12 @@ def apply_feed(feed: DataFrame, marks: DataFrame, local: str, arrival: str) -> D
     """Adds ``applied`` to each entry of ``feed``, in order of ``arrival`` (a whole number).
 
     An entry applies if its stamp is beyond all that came before from its tree and origin and beyond
-    the mark in ``marks(tree_id, origin_cluster_id, hwm)``; entries of the local origin never do.
+    the mark in ``marks(tree_id, origin_cluster_id, hwm)``; entries of the local origin never do. A null origin
+    is an origin like any other.
     """
     foreign = feed.where(~F.col("origin_cluster_id").eqNullSafe(F.lit(local)))
     ran = running_max(foreign, ("tree_id", "origin_cluster_id"), arrival, "hlc", "_before")
-    ran = ran.join(marks, ["tree_id", "origin_cluster_id"], "left")
+    ran = null_safe_join(ran, marks, ["tree_id", "origin_cluster_id"], "left")
     ran = ran.withColumn("applied", F.col("hlc") > F.coalesce(F.greatest("_before", "hwm"), zero())).drop("_before", "hwm")
     return ran.unionByName(feed.where(F.col("origin_cluster_id").eqNullSafe(F.lit(local))).withColumn("applied", F.lit(False)))
 

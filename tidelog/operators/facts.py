@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-# States of a part in order of severity, and the fact types.
+from tidelog.operators.resolve import live
+
+# States of a part in order of severity, the stages in order, non-destructive inspections, and the fact types.
 STATES = ("Nominal", "UnderInspection", "Flagged", "Rework", "Scrap")
 NOMINAL, UNDER_INSPECTION, FLAGGED, REWORK, SCRAP = range(5)
+STAGES = ("Forge", "HeatTreat", "Machining", "NDT", "MRB", "FAI")
+NDT_INSPECTIONS = ("FPI", "EddyCurrent", "XRay")
 FACT_TYPES = ("ProcessStepCompleted", "InspectionRecorded", "NonConformanceRaised", "MrbDisposition", "ReworkCompleted", "FinalAcceptance")
 
 FACT_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("serial", "factId", "$type", "site", "operator", "description", "stage", "heatLot", "inspection", "outcome", "ncNumber", "defectCode", "severity", "disposition", "reworkOperation", "faiReportId", "inspectorId")] + [T.StructField("retestPassed", T.BooleanType()), T.StructField("certificateIssued", T.BooleanType()), T.StructField("calibrationTs", T.TimestampType()), T.StructField("processParameters", T.MapType(T.StringType(), T.StringType())), T.StructField("measurements", T.MapType(T.StringType(), T.StringType()))])
@@ -26,14 +30,14 @@ def fact_key(serial: Column, wall: Column, counter: Column, fact_id: Column) ->
     return F.concat_ws("/", serial, F.lpad(wall.cast("string"), 20, "0"), F.lpad(counter.cast("string"), 10, "0"), fact_id)
 
 
-def facts_of(entries: DataFrame, serial: str) -> DataFrame:
-    """Entries of one part: a range of keys, since ``0`` follows ``/``."""
-    return entries.where((F.col("key") >= serial + "/") & (F.col("key") < serial + "0")).orderBy("key")
+def facts_of(entries: DataFrame, serial: str, now_ticks: int) -> DataFrame:
+    """Live entries of one part, in order of key: a range of keys, since ``0`` follows ``/``."""
+    return live(entries.where((F.col("key") >= serial + "/") & (F.col("key") < serial + "0")), now_ticks).orderBy("key")
 
 
-def parts(entries: DataFrame) -> DataFrame:
-    """(serial): the different prefixes before the first slash."""
-    return entries.where(F.instr("key", "/") > 1).select(F.substring_index("key", "/", 1).alias("serial")).distinct()
+def parts(entries: DataFrame, now_ticks: int) -> DataFrame:
+    """(serial): the different prefixes before the first slash of live keys."""
+    return live(entries, now_ticks).where(F.instr("key", "/") > 1).select(F.substring_index("key", "/", 1).alias("serial")).distinct()
 
 
 def _step(state: Column, f: Column) -> Column:
@@ -99,40 +103,50 @@ def describe_activity(fact_type: Column, detail: Column) -> Column:
 
 
 def next_action(facts: DataFrame) -> DataFrame:
-    """(serial, next_action): the first rule that holds, over facts by clock order.
+    """(serial, next_action, open_nc) of ``facts(serial, fact_id, fact_type, detail, stage, inspection, nc_number, wall, counter)``: the first rule that holds.
 
-    Terminal parts need nothing; then an open non-conformance, a rework that was ordered after the last
-    one done, a retest that failed, and the inspections and acceptance still missing.
+    An accepted part, and one that was scrapped or returned, needs nothing. Then come: a
+    non-conformance whose number no disposition names (the first, with its number); rework ordered
+    after the last one done; after rework, sign-off or another test by the retest; then the furthest
+    stage, and the inspections that machining asks for. Order is that of the stamps.
     """
-    at = F.struct("wall", "counter")
-    last = lambda cond, name: F.max(F.when(cond, at)).alias(name)
-    kind, what = F.col("fact_type"), F.col("detail")
+    at = F.struct("wall", "counter", "fact_id")
+    kind, what, number = F.col("fact_type"), F.col("detail"), F.coalesce("nc_number", F.lit(""))
+    mrb, done = kind == "MrbDisposition", kind == "ReworkCompleted"
+    passed = (kind == "InspectionRecorded") & (what == "Pass")
+    stage = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")) - 1
     per = facts.groupBy("serial").agg(
-        last(kind == "NonConformanceRaised", "nc"),
-        last(kind == "MrbDisposition", "mrb"),
-        last((kind == "MrbDisposition") & (what == "Rework"), "ordered"),
-        last(kind == "ReworkCompleted", "done"),
-        F.max_by(F.when(kind == "ReworkCompleted", what), F.when(kind == "ReworkCompleted", at)).alias("retest"),
-        F.bool_or((kind == "InspectionRecorded") & (what == "Pass")).alias("inspected"),
-        F.bool_or(kind == "FinalAcceptance").alias("accepted"),
+        F.bool_or((kind == "FinalAcceptance") | mrb & what.isin("Scrap", "ReturnToVendor")).alias("terminal"),
+        F.array_sort(F.collect_list(F.when(kind == "NonConformanceRaised", F.struct(at.alias("at"), number.alias("number"))))).alias("raised"),
+        F.collect_set(F.when(mrb, number)).alias("judged"),
+        F.max(F.when(mrb & (what == "Rework"), at)).alias("ordered"),
+        F.max(F.when(done, at)).alias("done"),
+        F.max_by(what, F.when(done, at)).alias("retest"),
+        F.max(F.when(kind == "ProcessStepCompleted", stage)).alias("stage"),
+        F.bool_or(passed & (F.col("inspection") == "CMM")).alias("measured"),
+        F.bool_or(passed & F.col("inspection").isin(*NDT_INSPECTIONS)).alias("tested"),
     )
-    after = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) > F.col(b)))
-    both = per.join(compliance_fold(facts), "serial")
+    is_open = F.filter("raised", lambda x: ~F.array_contains(F.col("judged"), x["number"]))
+    per = per.withColumn("nc", F.get(is_open, 0))
+    holds = lambda c: F.coalesce(c, F.lit(False))
     action = (
-        F.when((F.col("state") == SCRAP) | F.col("accepted"), "none")
-        .when(after("nc", "mrb"), "disposition")
-        .when(after("ordered", "done"), "rework")
-        .when(F.coalesce(F.col("retest") == "Failed", F.lit(False)), "retest")
-        .when(~F.col("inspected"), "inspect")
-        .otherwise("accept")
+        F.when(holds(F.col("terminal")), "Terminal")
+        .when(F.col("nc").isNotNull(), "IssueMrb")
+        .when(F.col("ordered").isNotNull() & (F.col("done").isNull() | (F.col("done") < F.col("ordered"))), "CompleteRework")
+        .when(F.col("done").isNotNull(), F.when(F.col("retest") == "Passed", "SignOffFai").otherwise("RecordNdtInspection"))
+        .when(F.coalesce("stage", F.lit(0)) == STAGES.index("Forge"), "CompleteHeatTreat")
+        .when(F.col("stage") == STAGES.index("HeatTreat"), "CompleteMachining")
+        .when(~holds(F.col("measured")), "RecordCmmInspection")
+        .when(~holds(F.col("tested")), "RecordNdtInspection")
+        .otherwise("SignOffFai")
     )
-    return both.select("serial", action.alias("next_action"))
+    return per.select("serial", action.alias("next_action"), F.when(action == "IssueMrb", F.nullif(F.col("nc.number"), F.lit(""))).alias("open_nc"))
 
 
-def register_value(shared: DataFrame, shadow: DataFrame) -> DataFrame:
-    """(key, value): a site's own value where it has one, else the shared one."""
-    both = shared.select("key", F.col("value").alias("shared")).join(shadow.select("key", F.col("value").alias("own")), "key", "full")
-    return both.select("key", F.coalesce("own", "shared").alias("value"))
+def register_value(shared: DataFrame, shadow: DataFrame, now_ticks: int) -> DataFrame:
+    """(key, value) of two trees' entries: a site's own live value where it has one, else the shared live one."""
+    both = live(shared, now_ticks).select("key", F.col("value").alias("shared")).join(live(shadow, now_ticks).select("key", F.col("value").alias("own"), F.lit(True).alias("_own")), "key", "full")
+    return both.select("key", F.when(F.col("_own"), F.col("own")).otherwise(F.col("shared")).alias("value"))
 
 
 def label_union(shared: DataFrame, shadow: DataFrame) -> DataFrame:
@@ -142,8 +156,6 @@ def label_union(shared: DataFrame, shadow: DataFrame) -> DataFrame:
 
 def heal_shadow(entries: DataFrame, silo: str, now_ticks: int) -> DataFrame:
     """(key, shared_key, value): live shadow values with the shared key each moves to."""
-    from tidelog.operators.resolve import live
-
     prefix = f"shadow/{silo}/"
     own = live(entries.where(F.col("key").startswith(prefix)), now_ticks)
     return own.select("key", F.expr(f"substring(key, {len(prefix) + 1})").alias("shared_key"), "value")
@@ -160,6 +172,13 @@ def parse_replog_key(key: Column) -> Column:
     return F.struct(part(1).cast("long").alias("wall"), part(2).cast("int").alias("counter"), part(3).alias("cluster"), (part(4) == "D").alias("is_delete"), part(5).alias("key"))
 
 
+def start_after(cursor: Column, cluster: str) -> Column:
+    """The least log key of a cluster beyond a stamp: the counter goes up by one, or the wall clock where it is full."""
+    full = cursor["counter"] == F.lit(2**31 - 1)
+    wall, counter = F.when(full, cursor["wall_ticks"] + 1).otherwise(cursor["wall_ticks"]), F.when(full, F.lit(0)).otherwise(cursor["counter"] + 1)
+    return F.concat(F.lpad(wall.cast("string"), 20, "0"), F.lpad(counter.cast("string"), 10, "0"), F.lit(f"|{cluster}|"))
+
+
 def ship_batch(log: DataFrame, current: DataFrame, cursor: Column, size: int) -> DataFrame:
     """(key, op, value, hlc): the next entries after the cursor, the latest of each key, with current values; a key that is gone ships as a delete."""
     page = log.where(F.col("hlc") > cursor).orderBy("hlc").limit(size)

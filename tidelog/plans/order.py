@@ -13,6 +13,12 @@ from pyspark.sql.window import Window
 BEFORE = (Window.unboundedPreceding, -1)
 
 
+def null_safe_join(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins on columns of one name; nulls are equal."""
+    renamed = other.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    return rows.join(renamed, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], how).drop(*[f"_right_{k}" for k in keys])
+
+
 def _start(rows: DataFrame, groups: list[str], bucket: Column, figure: Column, over) -> DataFrame:
     sums = rows.groupBy(*groups, bucket.alias("_bucket")).agg(figure.alias("_f"))
     order = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(*BEFORE)
@@ -27,7 +33,7 @@ def rank(rows: DataFrame, key: str, bucket: Column, name: str = "rank", descendi
     order = Window.partitionBy(*groups).orderBy(F.desc("_bucket") if descending else F.asc("_bucket")).rowsBetween(*BEFORE)
     starts = sums.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
     inner = Window.partitionBy(*groups, "_bucket").orderBy(F.desc(key) if descending else F.asc(key))
-    return rows.withColumn("_r", F.row_number().over(inner)).join(starts, [*groups, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_r")).cast("long")).drop("_bucket", "_before", "_r")
+    return null_safe_join(rows.withColumn("_r", F.row_number().over(inner)), starts, [*groups, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_r")).cast("long")).drop("_bucket", "_before", "_r")
 
 
 def running_max(rows: DataFrame, groups: tuple[str, ...], order: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
@@ -35,5 +41,5 @@ def running_max(rows: DataFrame, groups: tuple[str, ...], order: str, value: str
     rows = rows.withColumn("_bucket", F.floor(F.col(order) / width))
     starts = _start(rows, list(groups), F.col("_bucket"), F.max(value), F.max)
     inner = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(*BEFORE)
-    joined = rows.withColumn("_inner", F.max(value).over(inner)).join(starts, [*groups, "_bucket"])
+    joined = null_safe_join(rows.withColumn("_inner", F.max(value).over(inner)), starts, [*groups, "_bucket"])
     return joined.withColumn(name, F.greatest("_inner", "_earlier")).drop("_bucket", "_inner", "_earlier")

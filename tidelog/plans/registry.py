@@ -90,7 +90,7 @@ ASKED = "asked AS (SELECT format('u{:05d}/click', c_custkey) AS key FROM custome
 
 
 def key_rank(rows: DataFrame, descending: bool = False) -> DataFrame:
-    return rank(rows, "key", F.substring("key", 1, 5), "rank", descending)
+    return rank(rows, "key", F.substring("key", 1, 6), "rank", descending)
 
 
 # Resolution and reads
@@ -356,7 +356,24 @@ def owner_diff(spark, d):
     return aggregate.owner_diff(old, aggregate.split_owner(old, 5, 64)).select("slot", "old_shard", F.col("new_shard").cast("long").alias("new_shard"))
 
 
-@query()
+def _xxh32_sql(key: str) -> str:
+    """xxHash32, seed 0, of an ASCII key of fewer than 16 bytes, in whole numbers."""
+    turn = lambda x, n: f"((({x}) << {n}) % 4294967296 + (({x}) >> {32 - n}))"
+    times = lambda x, p: f"(({x}) * {p}::UBIGINT % 4294967296)"
+    byte = lambda i: f"ascii(substr({key}, CAST({i} AS BIGINT), 1))::UBIGINT"
+    word = f"({byte('4 * i + 1')} + 256 * {byte('4 * i + 2')} + 65536 * {byte('4 * i + 3')} + 16777216 * {byte('4 * i + 4')})"
+    words = f"list_transform(range(0, strlen({key}) // 4), lambda i: {word})"
+    rest = f"list_transform(range(strlen({key}) // 4 * 4, strlen({key})), lambda i: {byte('i + 1')})"
+    start = f"(374761393 + strlen({key}))::UBIGINT"
+    one = f"list_reduce(list_prepend({start}, {words}), lambda h, x: {times(turn(f'(h + {times("x", 3266489917)}) % 4294967296', 17), 668265263)})"
+    return f"list_reduce(list_prepend({one}, {rest}), lambda h, x: {times(turn(f'(h + {times("x", 374761393)}) % 4294967296', 11), 2654435761)})"
+
+
+XXH = f"""a AS (SELECT key, {_xxh32_sql("key")} AS h FROM live), b AS (SELECT key, xor(h, h >> 15) * 2246822519::UBIGINT % 4294967296 AS h FROM a), c AS (SELECT key, xor(h, h >> 13) * 3266489917::UBIGINT % 4294967296 AS h FROM b),
+    x AS (SELECT key, xor(h, h >> 16) AS h FROM c)"""
+
+
+@query(f"+ {XXH} SELECT s AS shard, count(key) AS n FROM (SELECT unnest(range(0, 64)) AS s) LEFT JOIN x ON h % 4096 % 64 = s GROUP BY s")
 def shard_count_xxh32(spark, d):
     return aggregate.count_per_shard(evlog(spark, d), NOW, (hashing.virtual_slot(F.col("key")) % 64).cast("long"), spark.range(64).select(F.col("id").alias("shard")))
 
@@ -395,21 +412,27 @@ def _half(spark, d):
     return clock.vector_of(e), clock.vector_of(e.where(F.col("hlc") < hlc(CURSOR, 0)))
 
 
-@query("SELECT true AS dominates, false AS dominated")
+# a stamp as one number; a replica that a vector lacks stands at zero
+VECTORS = f"""whole AS (SELECT origin AS r, max(wall::HUGEINT * 4294967296 + ctr) AS h FROM evlog GROUP BY 1), half AS (SELECT origin AS r, max(wall::HUGEINT * 4294967296 + ctr) AS h FROM evlog WHERE wall < {CURSOR} GROUP BY 1),
+    pairs AS (SELECT coalesce(w.h, 0) AS w, coalesce(p.h, 0) AS p FROM whole w FULL JOIN half p ON w.r = p.r)"""
+
+
+@query(f"+ {VECTORS} SELECT coalesce(bool_and(p <= w), true) AS dominates, coalesce(bool_and(w <= p), true) AS dominated FROM pairs")
 def vv_dominates(spark, d):
     whole, half = _half(spark, d)
     return clock.dominates_or_equals(whole, half).crossJoin(clock.dominates_or_equals(half, whole).withColumnRenamed("dominates", "dominated"))  # one row each
 
 
-@query("SELECT true AS newer, false AS older")
+@query(f"+ {VECTORS} SELECT coalesce(bool_or(w > p), false) AS newer, coalesce(bool_or(p > w), false) AS older FROM pairs")
 def vv_newer(spark, d):
     whole, half = _half(spark, d)
     return clock.is_newer_than(whole, half).crossJoin(clock.is_newer_than(half, whole).withColumnRenamed("newer", "older"))  # one row each
 
 
-@query(f"SELECT event_type AS replica, max(wall) AS wall, arg_max(ctr, wall) AS ctr FROM evlog WHERE event_id % 100 < 5 GROUP BY event_type HAVING max(wall) >= {CURSOR}")
+@query(f"SELECT CAST(user_id AS VARCHAR) AS replica, max(wall) AS wall, arg_max(ctr, wall) AS ctr FROM evlog GROUP BY user_id HAVING max(wall) >= {NOW - TICKS_PER_DAY}")
 def vv_pruned(spark, d):
-    return vector(clock.prune_vector(clock.vector_of(evlog(spark, d).where("event_id % 100 < 5"), "event_type"), CURSOR))
+    replicas = evlog(spark, d).withColumn("replica", F.col("user_id").cast("string"))
+    return vector(clock.prune_vector(clock.vector_of(replicas, "replica"), NOW - TICKS_PER_DAY))
 
 
 @query(f"SELECT {FLAT} FROM evlog WHERE wall > {CURSOR} OR wall = {CURSOR} AND ctr > 0")
@@ -518,6 +541,9 @@ def tree_events(spark, d):
 # Facts
 
 
+INSPECTIONS = ("CMM", "FPI", "EddyCurrent", "XRay", "Visual")
+
+
 def part_facts(spark, d) -> DataFrame:
     """Facts of parts from events."""
     e = evlog(spark, d)
@@ -529,8 +555,10 @@ def part_facts(spark, d) -> DataFrame:
         .when(kind == "purchase", F.when(n % 6 <= 2, "UseAsIs").when(n % 6 <= 4, "Rework").otherwise("Scrap"))
         .when(kind == "signup", F.when(n % 2 == 0, "Passed").otherwise("Failed"))
     )
+    of = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i % len(names) + 1).cast("int"))
     serial = F.format_string("u%05d-%02d", F.col("user_id"), F.expr("(event_id div 8) % 40"))
-    return e.select(serial.alias("serial"), n.alias("fact_id"), fact.alias("fact_type"), detail.alias("detail"), F.col("hlc.wall_ticks").alias("wall"), F.col("hlc.counter").alias("counter"), F.expr("(event_id * 7919) % 10007").alias("arrival"), (F.when(n % 2 == 0, "north").otherwise("south")).alias("site"))
+    return e.select(serial.alias("serial"), n.alias("fact_id"), fact.alias("fact_type"), detail.alias("detail"), F.col("hlc.wall_ticks").alias("wall"), F.col("hlc.counter").alias("counter"), F.expr("(event_id * 7919) % 10007").alias("arrival"), (F.when(n % 2 == 0, "north").otherwise("south")).alias("site"),
+        F.when(kind == "click", of(facts.STAGES[:3], n)).alias("stage"), F.when(kind == "view", of(INSPECTIONS, n)).alias("inspection"), F.when(kind.isin("error", "purchase"), F.concat(F.lit("NC-"), (n % 2).cast("string"))).alias("nc_number"))
 
 
 FACTS = """facts AS (SELECT format('u{:05d}-{:02d}', user_id, (event_id // 8) % 40) AS serial, event_id AS fact_id, wall, ctr AS counter, (event_id * 7919) % 10007 AS arrival, CASE WHEN event_id % 2 = 0 THEN 'north' ELSE 'south' END AS site,
@@ -538,7 +566,9 @@ FACTS = """facts AS (SELECT format('u{:05d}-{:02d}', user_id, (event_id // 8) %
         CASE event_type WHEN 'view' THEN CASE WHEN event_id % 3 <> 0 THEN 'Pass' ELSE 'Fail' END
             WHEN 'error' THEN CASE WHEN event_id % 10 = 0 THEN 'Critical' WHEN event_id % 10 <= 3 THEN 'Major' ELSE 'Minor' END
             WHEN 'purchase' THEN CASE WHEN event_id % 6 <= 2 THEN 'UseAsIs' WHEN event_id % 6 <= 4 THEN 'Rework' ELSE 'Scrap' END
-            WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'Passed' ELSE 'Failed' END END AS detail FROM evlog)"""
+            WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'Passed' ELSE 'Failed' END END AS detail,
+        CASE WHEN event_type = 'click' THEN event_id % 3 END AS stage, CASE WHEN event_type = 'view' THEN ['CMM', 'FPI', 'EddyCurrent', 'XRay', 'Visual'][event_id % 5 + 1] END AS inspection,
+        CASE WHEN event_type IN ('error', 'purchase') THEN 'NC-' || (event_id % 2) END AS nc FROM evlog)"""
 
 
 def _fold_sql(name: str, order: str) -> str:
@@ -579,23 +609,27 @@ def part_summary(spark, d):
     return facts.part_summary(part_facts(spark, d))
 
 
-@query(f"""RECURSIVE + {FACTS}, {FOLD}, p AS (SELECT serial, max(CASE WHEN fact_type = 'NonConformanceRaised' THEN wall END) AS nc, max(CASE WHEN fact_type = 'MrbDisposition' THEN wall END) AS mrb,
-        max(CASE WHEN fact_type = 'MrbDisposition' AND detail = 'Rework' THEN wall END) AS ordered, max(CASE WHEN fact_type = 'ReworkCompleted' THEN wall END) AS done,
-        arg_max(detail, wall) FILTER (fact_type = 'ReworkCompleted') AS retest, bool_or(fact_type = 'InspectionRecorded' AND detail = 'Pass') AS inspected FROM facts GROUP BY serial)
-    SELECT serial, CASE WHEN state = 4 THEN 'none' WHEN nc IS NOT NULL AND (mrb IS NULL OR nc > mrb) THEN 'disposition' WHEN ordered IS NOT NULL AND (done IS NULL OR ordered > done) THEN 'rework'
-        WHEN coalesce(retest = 'Failed', false) THEN 'retest' WHEN NOT coalesce(inspected, false) THEN 'inspect' ELSE 'accept' END AS next_action FROM p JOIN fold USING (serial)""")
+@query(f"""+ {FACTS}, o AS (SELECT *, row_number() OVER (PARTITION BY serial ORDER BY wall, counter, fact_id) AS i FROM facts),
+    nc AS (SELECT serial, arg_min(nc, i) AS open_nc FROM o r WHERE fact_type = 'NonConformanceRaised' AND NOT EXISTS (SELECT 1 FROM o m WHERE m.serial = r.serial AND m.fact_type = 'MrbDisposition' AND m.nc = r.nc) GROUP BY serial),
+    p AS (SELECT serial, max(CASE WHEN fact_type = 'MrbDisposition' AND detail = 'Rework' THEN i END) AS ordered, max(CASE WHEN fact_type = 'ReworkCompleted' THEN i END) AS done, max(stage) AS stage,
+        bool_or(fact_type = 'FinalAcceptance' OR fact_type = 'MrbDisposition' AND detail IN ('Scrap', 'ReturnToVendor')) AS terminal,
+        bool_or(coalesce(inspection = 'CMM' AND detail = 'Pass', false)) AS cmm, bool_or(coalesce(inspection IN ('FPI', 'EddyCurrent', 'XRay') AND detail = 'Pass', false)) AS ndt FROM o GROUP BY serial)
+    SELECT p.serial, CASE WHEN terminal THEN 'Terminal' WHEN open_nc IS NOT NULL THEN 'IssueMrb' WHEN ordered IS NOT NULL AND coalesce(done, 0) < ordered THEN 'CompleteRework'
+        WHEN done IS NOT NULL THEN CASE WHEN (SELECT any_value(detail) FROM o WHERE o.serial = p.serial AND o.i = done) = 'Passed' THEN 'SignOffFai' ELSE 'RecordNdtInspection' END
+        WHEN stage IS NULL OR stage = 0 THEN 'CompleteHeatTreat' WHEN stage = 1 THEN 'CompleteMachining' WHEN NOT cmm THEN 'RecordCmmInspection' WHEN NOT ndt THEN 'RecordNdtInspection' ELSE 'SignOffFai' END AS next_action,
+        CASE WHEN NOT terminal THEN open_nc END AS open_nc FROM p LEFT JOIN nc ON nc.serial = p.serial""")
 def next_action(spark, d):
     return facts.next_action(part_facts(spark, d))
 
 
-@query("SELECT DISTINCT split_part(key, '/', 1) AS serial FROM evlog")
+@query("SELECT DISTINCT split_part(key, '/', 1) AS serial FROM live")
 def distinct_prefix(spark, d):
-    return facts.parts(evlog(spark, d))
+    return facts.parts(evlog(spark, d), NOW)
 
 
-@query("SELECT key, value, wall FROM evlog WHERE key >= 'u00017/' AND key < 'u000170'")
+@query("SELECT key, value, wall FROM live WHERE key >= 'u00017/' AND key < 'u000170'")
 def facts_of_part(spark, d):
-    return facts.facts_of(evlog(spark, d), "u00017").select("key", F.col("value").cast("string").alias("value"), F.col("hlc.wall_ticks").alias("wall"))
+    return facts.facts_of(evlog(spark, d), "u00017", NOW).select("key", F.col("value").cast("string").alias("value"), F.col("hlc.wall_ticks").alias("wall"))
 
 
 @query(f"+ {FACTS} SELECT serial, site, fact_type, detail, wall FROM facts QUALIFY row_number() OVER (PARTITION BY site, serial ORDER BY wall DESC, fact_id DESC) = 1")
@@ -615,12 +649,12 @@ def label_union(spark, d):
     return facts.label_union(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"))
 
 
-@query("""+ a AS (SELECT key, value FROM evlog WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY wall DESC, ctr DESC) = 1),
-    b AS (SELECT key, value FROM evlog WHERE event_id % 2 = 1 AND user_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY wall DESC, ctr DESC) = 1)
-    SELECT key, coalesce(b.value, a.value) AS value FROM a FULL JOIN b USING (key)""")
+@query(f"""+ a AS (SELECT * FROM (SELECT * FROM evlog WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY wall DESC, ctr DESC) = 1) WHERE NOT is_tombstone AND (expires = 0 OR expires > {NOW})),
+    b AS (SELECT * FROM (SELECT * FROM evlog WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY wall DESC, ctr DESC) = 1) WHERE NOT is_tombstone AND (expires = 0 OR expires > {NOW}))
+    SELECT key, CASE WHEN b.key IS NOT NULL THEN b.value ELSE a.value END AS value FROM a FULL JOIN b USING (key)""")
 def operator_coalesce(spark, d):
     e = evlog(spark, d)
-    return text(facts.register_value(resolve.resolve(e.where("event_id % 2 = 0")), resolve.resolve(e.where("event_id % 2 = 1 AND user_id % 3 = 0"))), "key", "value")
+    return text(facts.register_value(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), NOW), "key", "value")
 
 
 @query("SELECT 'shadow/east/' || key AS key, key AS shared_key, value FROM live")

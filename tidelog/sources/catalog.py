@@ -1,18 +1,20 @@
-"""The catalog of trees: options, aliases, shard maps and soft deletion, in one versioned JSON file each."""
+"""The catalog of trees: options, aliases, shard maps and soft deletion, in one versioned JSON document each."""
 
 from __future__ import annotations
 
-import json
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.plans.schema import EPOCH_TICKS, MAX_INTERNAL_CHILDREN, MAX_LEAF_KEYS, SHARD_COUNT, SYSTEM_PREFIX, TICKS_PER_DAY, VIRTUAL_SLOTS
-from tidelog.sources.manifest import Files
+from tidelog.sources.manifest import KEPT, Files, Versioned
 
 #: How long a deleted tree can be recovered.
 SOFT_DELETE_TICKS = 3 * TICKS_PER_DAY
+#: Splits that an entry remembers for diagnostics.
+RECENT_SPLITS = 16
 
 
 class TreeError(Exception):
@@ -36,6 +38,7 @@ class Entry:
     publish_events: bool | None = None
     deleted_at: int = 0
     previous: dict | None = None
+    recent_splits: list[list[int]] = field(default_factory=list)
 
 
 def check_name(tree_id: str) -> None:
@@ -56,23 +59,36 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
 
-    def _name(self, tree_id: str) -> str:
-        return f"catalog/{tree_id}.json"
+    def _versions(self, tree_id: str) -> Versioned:
+        return Versioned(self.files, f"catalog/{tree_id}")
 
     def find(self, tree_id: str) -> Entry | None:
-        return Entry(**json.loads(self.files.read(self._name(tree_id)))) if self.files.exists(self._name(tree_id)) else None
+        _, text = self._versions(tree_id).read()
+        return Entry(**text) if text else None
 
     def need(self, tree_id: str, deleted: bool = False) -> Entry:
-        entry = self.find(tree_id)
+        return self._checked(tree_id, self.find(tree_id), deleted)
+
+    def _checked(self, tree_id: str, entry: Entry | None, deleted: bool = False) -> Entry:
         if entry is None:
             raise TreeError(f"no tree {tree_id}")
         if entry.deleted_at and not deleted:
             raise TreeError(f"tree {tree_id} is deleted")
         return entry
 
-    def save(self, entry: Entry) -> Entry:
-        self.files.replace(self._name(entry.tree_id), json.dumps(asdict(entry)))
-        return entry
+    def update(self, tree_id: str, change: Callable[[Entry], None], deleted: bool = False) -> Entry:
+        """Change an entry; of two that change it at once the later works on what the earlier left."""
+
+        def step(now: dict | None, number: int) -> dict:
+            entry = self._checked(tree_id, Entry(**now) if now else None, deleted)
+            change(entry)
+            return asdict(entry)
+
+        versions = self._versions(tree_id)
+        number, text = versions.commit(step)
+        if number % KEPT == 0:
+            versions.tidy()
+        return Entry(**text)
 
     def register(self, tree_id: str, **options) -> Entry:
         """A new entry, or the one that is there."""
@@ -84,7 +100,7 @@ class Catalog:
         check_sizes(entry.max_leaf_keys, entry.max_internal_children)
         entry.slots = [i % entry.shard_count for i in range(VIRTUAL_SLOTS)]
         entry.next_shard = entry.shard_count
-        return self.save(entry)
+        return Entry(**self._versions(tree_id).commit(lambda now, number: None if now else asdict(entry))[1])
 
     def exists(self, tree_id: str) -> bool:
         entry = self.find(tree_id)
@@ -92,8 +108,7 @@ class Catalog:
 
     def ids(self) -> list[str]:
         """Names of all trees, sorted, without the reserved ones."""
-        names = [n.removesuffix(".json") for n in self.files.names("catalog") if n.endswith(".json")]
-        return sorted(n for n in names if not n.startswith(SYSTEM_PREFIX))
+        return sorted(n for n in self.files.names("catalog") if not n.startswith(SYSTEM_PREFIX))
 
     def set_alias(self, tree_id: str, physical: str) -> None:
         """Point a name at another tree's data: one level only."""
@@ -102,23 +117,17 @@ class Catalog:
         target = self.find(physical)
         if target is not None and target.physical_id != physical:
             raise ValueError("an alias doesn't point at an alias")
-        entry = self.need(tree_id)
-        entry.physical_id = physical
-        self.save(entry)
+        self.update(tree_id, lambda e: setattr(e, "physical_id", physical))
 
     def remove_alias(self, tree_id: str) -> None:
-        entry = self.need(tree_id)
-        entry.physical_id = tree_id
-        self.save(entry)
+        self.update(tree_id, lambda e: setattr(e, "physical_id", tree_id))
 
     def resolve(self, tree_id: str) -> str:
         entry = self.find(tree_id)
         return entry.physical_id if entry else tree_id
 
     def set_publish_events(self, tree_id: str, value: bool | None) -> None:
-        entry = self.need(tree_id)
-        entry.publish_events = value
-        self.save(entry)
+        self.update(tree_id, lambda e: setattr(e, "publish_events", value))
 
     def shard_map(self, tree_id: str) -> DataFrame:
         """(slot, shard) of a tree."""
@@ -128,49 +137,59 @@ class Catalog:
         """Persist a map; its version rises by one."""
         if len(slots) != VIRTUAL_SLOTS:
             raise ValueError(f"a map has {VIRTUAL_SLOTS} slots")
-        entry = self.need(tree_id)
-        entry.slots, entry.map_version = slots, entry.map_version + 1
-        entry.next_shard = max(entry.next_shard, max(slots) + 1)
-        entry.shard_count = len(set(slots))
-        return self.save(entry).map_version
+
+        def change(e: Entry) -> None:
+            e.slots, e.map_version = slots, e.map_version + 1
+            e.next_shard = max(e.next_shard, max(slots) + 1)
+            e.shard_count = len(set(slots))
+
+        return self.update(tree_id, change).map_version
 
     def allocate_shard(self, tree_id: str) -> int:
         """A shard number never used before."""
-        entry = self.need(tree_id)
-        number = max(entry.next_shard, max(entry.slots) + 1)
-        entry.next_shard = number + 1
-        self.save(entry)
+        return self.update(tree_id, self._allocate).next_shard - 1
+
+    @staticmethod
+    def _allocate(e: Entry) -> int:
+        number = max(e.next_shard, max(e.slots) + 1)
+        e.next_shard = number + 1
         return number
 
     def split_shard(self, tree_id: str, owner: int) -> int:
         """Move the upper half of a shard's slots to a new shard."""
-        entry = self.need(tree_id)
-        own = [i for i, s in enumerate(entry.slots) if s == owner]
-        if len(own) < 2:
-            raise TreeError(f"shard {owner} has fewer than 2 slots")
-        new, moved = self.allocate_shard(tree_id), set(own[len(own) // 2 :])
-        self.set_shard_map(tree_id, [new if i in moved else s for i, s in enumerate(entry.slots)])
-        return new
+
+        def change(e: Entry) -> None:
+            own = [i for i, s in enumerate(e.slots) if s == owner]
+            if len(own) < 2:
+                raise TreeError(f"shard {owner} has fewer than 2 slots")
+            new, moved = self._allocate(e), set(own[len(own) // 2 :])
+            e.slots = [new if i in moved else s for i, s in enumerate(e.slots)]
+            e.map_version, e.shard_count = e.map_version + 1, len(set(e.slots))
+            e.recent_splits = [*e.recent_splits, [now_ticks(), owner, new]][-RECENT_SPLITS:]
+
+        return self.update(tree_id, change).recent_splits[-1][2]
 
     def soft_delete(self, tree_id: str) -> None:
-        entry = self.need(tree_id, deleted=True)
-        entry.deleted_at = entry.deleted_at or now_ticks()
-        self.save(entry)
+        self.update(tree_id, lambda e: setattr(e, "deleted_at", e.deleted_at or now_ticks()), deleted=True)
 
     def recover(self, tree_id: str) -> None:
-        entry = self.need(tree_id, deleted=True)
-        if not entry.deleted_at:
-            raise TreeError(f"tree {tree_id} is not deleted")
-        entry.deleted_at = 0
-        self.save(entry)
+        def change(e: Entry) -> None:
+            if not e.deleted_at:
+                raise TreeError(f"tree {tree_id} is not deleted")
+            e.deleted_at = 0
+
+        self.update(tree_id, change, deleted=True)
 
     def purge(self, tree_id: str) -> None:
-        """Remove a deleted tree with its data."""
+        """Remove a deleted tree with its own data; what another name points at stays."""
         entry = self.need(tree_id, deleted=True)
         if not entry.deleted_at:
             raise TreeError(f"tree {tree_id} is not deleted")
-        self.files.delete(f"trees/{entry.physical_id}")
-        self.files.delete(self._name(tree_id))
+        others = [e for t in self.ids() if t != tree_id and (e := self.find(t))]
+        used = {e.physical_id for e in others} | {(e.previous or {}).get("physical_id") for e in others} | {e.tree_id for e in others}
+        for physical in {tree_id, entry.physical_id, (entry.previous or {}).get("physical_id")} - used - {None}:
+            self.files.delete(f"trees/{physical}")
+        self.files.delete(f"catalog/{tree_id}")
 
     def sweep(self, now: int | None = None, after: int = SOFT_DELETE_TICKS) -> list[str]:
         """Purge the trees that were deleted longer ago than ``after``."""

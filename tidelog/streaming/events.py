@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tidelog.plans.schema import MUTATIONS
 
-EVENT_KINDS = ("Set", "Delete", "DeleteRange", "AtomicWriteCompleted")
+log = logging.getLogger(__name__)
 
 
 def events_of(log: DataFrame) -> DataFrame:
@@ -36,9 +37,20 @@ def mutation_stream(spark: SparkSession, path: str, files_per_trigger: int = 16)
     return spark.readStream.schema(MUTATIONS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def subscribe(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str):
-    """Calls back with each micro-batch in turn; the batch id makes a repeated delivery recognisable."""
-    return stream.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def subscribe(stream: DataFrame, callback: Callable[[DataFrame, int], None] | list[Callable[[DataFrame, int], None]], checkpoint: str):
+    """Calls back, one after another, with each micro-batch; the batch id makes a repeated delivery recognisable.
+
+    An observer that fails loses its batch; the others, and the stream, go on.
+    """
+
+    def deliver(batch: DataFrame, n: int) -> None:
+        for observe in [callback] if callable(callback) else callback:
+            try:
+                observe(batch, n)
+            except Exception:
+                log.exception("an observer failed on batch %d", n)
+
+    return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_divergence(pairs: DataFrame, max_late: str | None = None) -> DataFrame:
