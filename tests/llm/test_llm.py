@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest import DATA
-from fixtures import SCHEMA, rows, table, words
+from fixtures import SCHEMA, prose, rows, table, words
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, queries, secret_scan, sharding, substring_dedup
@@ -27,7 +27,7 @@ def by_id(found):
 # Empty tables and columns
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n.startswith("op")])
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_an_empty_table_gives_an_empty_result(spark, tmp_path, name):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -300,7 +300,7 @@ def plain_components(data):
     for i, t, *_ in data:
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(t)]
         sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    parent = list(range(len(data)))
+    parent, links = list(range(len(data))), [0] * len(data)
 
     def find(x):
         while parent[x] != x:
@@ -312,12 +312,13 @@ def plain_components(data):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                 parent[find(a)] = find(b)
+                links[a], links[b] = links[a] + 1, links[b] + 1
     least = {}
     for k, (i, *_) in enumerate(data):
         r = find(k)
         if i is not None:
             least[r] = min(i, least.get(r, i))
-    return sorted(((i is not None, i or 0, len(sets[k]), least.get(find(k))) for k, (i, *_) in enumerate(data)), key=str)
+    return sorted(((i is not None, i or 0, len(sets[k]), least.get(find(k)), links[k]) for k, (i, *_) in enumerate(data)), key=str)
 
 
 def edited(base, seed, changes):
@@ -331,11 +332,48 @@ def edited(base, seed, changes):
 def test_ngram_join(spark):
     base = " ".join(f"w{i}" for i in range(150))
     data = rows() + [(1000 + k, edited(base, k, k % 7), "en", "a", 0) for k in range(60)] + [(2000 + k, " ".join(f"s{(k + j) % 9}" for j in range(k % 6)), "en", "a", 0) for k in range(30)]
-    found = got(ngram_join.ngram_join(table(spark, data)))
-    assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in found), key=str) == plain_components(data)
-    kept = got(ngram_join.keep_one(table(spark, data, clashes=False)))
+    want = plain_components(data)
+    for partitions, at_once in ((1, 2_000_000), (200, 500)):  # neither the session nor the size of a run changes the result
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            found = got(ngram_join.ngram_join(table(spark, data), at_once=at_once))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["n_links"]) for r in found), key=str) == want
+    assert max(w[-1] for w in want) > 20
+    kept = got(ngram_join.keep_one(table(spark, data)))
+    assert all(r["h"] == "clash" for r in kept)
     named = [r["doc_id"] for r in kept if r["doc_id"] is not None]
-    assert sorted(named) == sorted({c for _, i, n, c in plain_components(data) if n and c == i} | {4, 5, 6} | {i for i, t, *_ in data if i is not None and not words(t)})
+    assert sorted(named) == sorted({c for _, i, n, c, _ in want if n and c == i} | {4, 5, 6} | {i for i, t, *_ in data if i is not None and not words(t)})
+
+
+def test_one_row_of_each_group_stays(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    data = [(1, texts[0]), (7, texts[1]), (7, texts[2]), (9, texts[1]), (None, texts[3]), (None, texts[3]), (None, texts[0]), (3, texts[2]), (3, texts[2]), (5, None), (5, None), (None, "")]
+    df = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(data)], "doc_id long, text string, kept_id long, gone_id string").repartition(3)
+    kept = got(ngram_join.keep_one(df))
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, texts[0]), (7, texts[1]), (3, texts[2]), (None, texts[3]), (5, None), (5, None), (None, "")])
+    assert all(data[r["kept_id"]] == (r["doc_id"], r["text"]) and r["gone_id"] == "x" for r in kept)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(3)
+    x, y = ([rng.choice(3000 if k % 3 else 60, rng.integers(0, 50), replace=False).astype(np.uint64) for k in range(n)] for n in (150, 90))
+    assert (ngram_join.overlaps(x, y) == [[len(np.intersect1d(a, b)) for b in y] for a in x]).all()
+
+
+def test_many_sets_under_one_signature(spark):
+    """5,000 sets that share a shingle and hardly link: every link is found, none is written twice over."""
+    rng = np.random.default_rng(4)
+    made = [np.unique(np.concatenate([[7], rng.choice(2000, 30, replace=False) + 100])).astype(np.uint64) for _ in range(5000)]
+    for k in range(40):
+        made[4000 + k] = np.unique(np.concatenate([made[k][:-2], [5000 + k]])).astype(np.uint64)
+    sets = spark.createDataFrame([(k, len(t), bytearray(t.tobytes())) for k, t in enumerate(made)], "cls long, n long, tokens binary")
+    rows = sets.select(F.lit(1).cast("long").alias("key"), F.lit(len(made)).cast("long").alias("m"), "cls", F.col("cls").alias("root"), F.lit(1).cast("long").alias("size"))
+    found = {tuple(sorted((r.a, r.b))) for r in ngram_join.in_blocks(rows, sets, ngram_join._connect(75), "a long, b long").collect()}
+    assert found == {(k, 4000 + k) for k in range(40)}
+    links = {r.cls: r.links for r in ngram_join.in_blocks(rows, sets, ngram_join._count(75), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links")).where("links > 0").collect()}
+    assert links == {k: 1 for k in [*range(40), *range(4000, 4040)]}
 
 
 @pytest.mark.parametrize("rare", [0, 2, 5])
@@ -371,25 +409,47 @@ def test_components(spark):
 # 10 Substrings
 
 
-def test_substring_dedup(spark):
-    data = [r for r in rows() if r[0] != 14 or r not in rows()[:13]]
-    found = got(substring_dedup.substring_dedup(table(spark, data)))
+def plain_substrings(spark, data):
+    """(words, removed, kept text) of each (doc_id, text); texts of one doc_id go by Spark's hash of them."""
+    order = {r.t: r.h for r in spark.createDataFrame([(t,) for t in {t or "" for _, t, *_ in data}], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    docs = sorted({(i is not None, i or 0, order[t or ""], t or "") for i, t, *_ in data})
     seen, want = {}, {}
-    ids = sorted({(i is not None, i or 0) for i, *_ in data})
-    texts = {(i is not None, i or 0): words(t) for i, t, *_ in data}
-    for d in ids:
-        for k in range(len(texts[d]) - 19):
-            seen.setdefault(tuple(texts[d][k : k + 20]), (d, k))
-    for d in ids:
-        w, gone = texts[d], [False] * len(texts[d])
+    for key in docs:
+        w = words(key[3])
         for k in range(len(w) - 19):
-            if seen[tuple(w[k : k + 20])] < (d, k):
+            seen.setdefault(tuple(w[k : k + 20]), (key, k))
+    for key in docs:
+        w = words(key[3])
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if seen[tuple(w[k : k + 20])] < (key, k):
                 gone[k : k + 20] = [True] * 20
-        want[d[1] if d[0] else None] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+        want[key[1] if key[0] else None, key[3]] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    return want
+
+
+@pytest.mark.parametrize("at_once", [2_000_000, 300])
+def test_substring_dedup(spark, at_once):
+    one = " ".join(f"w{k}" for k in range(30))
+    data = rows() + [(201, one, "en", "a", 0), (207, one, "en", "a", 0), (207, one.replace("w", "z"), "en", "a", 0), (207, "x y " + one, "en", "a", 0), (None, one, "en", "a", 0)]
+    want = plain_substrings(spark, data)
+    found = got(substring_dedup.substring_dedup(table(spark, data), at_once=at_once))
     assert len(found) == len(data) and sum(n for _, n, _ in want.values()) > 300
-    for r in found:
-        n, gone, text = want[r["doc_id"]]
-        assert (r["n_words"], r["n_removed"], r["kept_text"], r["kept_sha256"]) == (n, gone, text, hashlib.sha256(text.encode()).hexdigest())
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"], r["kept_sha256"]) for r in found) == Counter((i, *want[i, t or ""], hashlib.sha256(want[i, t or ""][2].encode()).hexdigest()) for i, t, *_ in data)
+    assert sum(want[207, t][1] for t in {t for i, t, *_ in data if i == 207}) == 60 and want[201, one][1] == 30
+
+
+def test_substrings_of_a_hot_passage(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    data = [(i, f"a{i} b{i} {passage} c{i}" if i % 3 else prose(i, 40), "en", "a", 0) for i in range(900)]
+    want = plain_substrings(spark, data)
+    for n in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            found = got(substring_dedup.substring_dedup(table(spark, data)))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in found} == {i: want[i, t] for i, t, *_ in data}
 
 
 # 8 Languages
@@ -546,7 +606,7 @@ def test_pipeline(spark):
     first = set(ids["quality classifier"])
     assert np.mean([i in first for i, q in labels.items() if q]) >= 0.97
     data = [(i, before[i]) for i in sorted(first)]
-    component = {i: c for _, i, _, c in plain_components(data)}
+    component = {i: c for _, i, _, c, _ in plain_components(data)}
     assert sorted(ids["n-gram Jaccard join"]) == sorted({c for c in component.values()})
     items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     assert sorted(ids["benchmark decontamination"]) == sorted(i for i in ids["n-gram Jaccard join"] if not any(t in before[i] for t in items))

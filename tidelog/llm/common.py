@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of all contracts; ``bytes.split()`` and Arrow's ASCII split use exactly this set.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -26,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset on a local master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -37,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, so that what follows restarts from there.
 
-    The table survives the loss of executors and goes when the driver ends.
+    The table survives the loss of executors and goes with ``release`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidelog/{uuid.uuid4().hex}"
@@ -46,21 +49,84 @@ def cut(df: DataFrame) -> DataFrame:
         _written[spark] = []
         atexit.register(drop_tables, spark)
     _written[spark].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._tidelog_path = path
+    return back
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables ``cut`` wrote that are still there: a place to ``release`` back to."""
+    return len(_written.get(spark, []))
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Remove the tables written after ``written`` gave ``since``, but for those to keep. Nothing that is still to be read may hang on them."""
+    paths = _written.get(spark, [])
+    kept = {k._tidelog_path for k in keep}
+    _delete(spark, [p for p in paths[since:] if p not in kept])
+    paths[since:] = [p for p in paths[since:] if p in kept]
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Remove the tables that ``cut`` wrote in this session."""
     with contextlib.suppress(Exception):  # at exit the JVM may be gone already
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _written.pop(spark, []):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        _delete(spark, _written.pop(spark, []))
+
+
+def doc_key(docs: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(``docs(doc_id, text)`` with ``id`` and ``dk``, bytes of all texts, whether ``dk`` is in use). Rows that agree in id and dk are copies of one document: same doc_id, same text.
+
+    ``dk`` hashes the text, but is 0 for all where no doc_id has two different texts: keys that
+    travel with each piece of a text then cost nothing. One narrow pass tells which case it is.
+    """
+    i, k = key_of(True)
+    told = docs.select(i.alias("id"), k.alias("dk"), F.octet_length("text").alias("b")).groupBy("id").agg(F.sum("b").alias("b"), (F.min("dk") != F.max("dk")).alias("two"))
+    told = told.agg(F.sum("b").alias("b"), F.bool_or("two").alias("two")).first()
+    i, k = key_of(bool(told.two))
+    return docs.select("*", i.alias("id"), k.alias("dk")), told.b or 0, bool(told.two)
+
+
+def key_of(two: bool) -> tuple:
+    """The expressions of ``id`` and ``dk`` over rows with doc_id and text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce("text", F.lit(""))) if two else F.lit(0).cast("long")
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    """The session's shuffle partitions: the number of ranges into which hashes are packed."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``docs`` has too."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+def shield(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """(``docs`` without columns of these names, which get others; the old name of each), for operators that would replace them."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    other = dict(zip(fresh(docs, *[f"user_{c}" for c in clash]), clash, strict=True))
+    return docs.withColumnsRenamed({old: new for new, old in other.items()}), other
+
+
+#: Rows of two or three numbers that are broadcast at most (some 50 MB as a hash table).
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_merged(written: DataFrame) -> DataFrame:
+    """A written table, for a join: broadcast where it has at most ``BROADCAST_ROWS`` rows, else merged."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("merge")
+
+
+def ranges_for(size: int, each: int, least: int = 8) -> int:
+    """Ranges of hashes, so that each holds ``each`` bytes of ``size`` on average."""
+    return max(least, -(-size // each))
 
 
 def as_bytes(column) -> list[bytes]:
@@ -111,29 +177,18 @@ def word_hashes(words: pa.Array, seeds: tuple[int, ...]) -> list[np.ndarray]:
     return [string_hashes(coded.dictionary, s)[at] for s in seeds]
 
 
-def narrow(x: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each 64-bit number."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def widen(data: bytes, width: int) -> np.ndarray:
-    """What ``narrow`` packed."""
-    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.view("<u8").reshape(-1).astype(np.uint64)
-
-
 def squeeze(x: np.ndarray) -> bytes:
     """Differences of an integer array, compressed; for ascending runs about a byte each."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(x.astype(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(x.astype(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()) if len(x) else b""
 
 
 def stretch(data: bytes) -> np.ndarray:
     """What ``squeeze`` packed."""
     import zstandard
 
+    if not data:
+        return np.zeros(0, np.int64)
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1))

@@ -8,9 +8,9 @@ ones that fall into the same subclass. A prefix is long enough when more signatu
 destroyed than the threshold allows shingles to differ, so linked sets share a signature.
 
 Sets under one signature are verified against one leader first, the one with the smallest part
-of its own; sets that links already connect need no more, and all pairs that are still apart
-are verified in a last round. Only
-shared shingles can lie in an intersection, so those alone travel for the verification.
+of its own; sets that links already connect need no more, and those that are still apart are
+verified block by block. Only shared shingles can lie in an intersection, so those alone travel
+for the verification. All links lie inside the components, where they are counted, block by block too.
 """
 
 from __future__ import annotations
@@ -23,21 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, cut, mix, narrow, shuffle_width, split_words, widen, word_hashes
+from tidelog.llm.common import NULL_ID, as_bytes, cut, doc_key, fresh, key_of, mix, ranges_for, small_or_merged, split_words, word_hashes
 from tidelog.llm.components import components
 from tidelog.llm.rolling import span_hashes, window_starts
-from tidelog.llm.substring_dedup import _one, gathered
+from tidelog.llm.substring_dedup import AT_ONCE, _one, _parts, gathered
 
 WORDS = 5
 #: Jaccard similarity from which two sets link, in hundredths.
 PERCENT = 75
 #: Shingles of fewer than 2**RARE classes index alone; more frequent ones in pairs, from sets of 2**FIRST_LEVEL shingles on.
 RARE, FIRST_LEVEL = 5, 4
-#: Members of a group that meet as many others at a time, when all pairs are tested.
-BLOCK = 128
-#: Bytes of a shingle hash within its range.
-TOKEN_BYTES = 5
-TOKEN_BITS = 8 * TOKEN_BYTES
+#: Bytes of text whose shingles one range holds, signatures of one range, members in one row of a group.
+RANGE_BYTES, RANGE_SIGNATURES, SEGMENT = 24 << 20, 2_000_000, 4096
+#: Sets that are compared with as many others at a time; in how many of them a shingle is frequent, and columns of frequent shingles at a time.
+BLOCK, OFTEN, COLUMNS = 2048, 32, 4096
 
 
 def _sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,55 +57,46 @@ def _sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return classes, doc[new], one[new], two[new]
 
 
-def _classes(width: int):
-    def run(batches):
-        for t in gathered(batches, "text"):
-            classes, owner, _, _ = _sets(t.column("text"), width)
-            n = np.bincount(owner, minlength=t.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.concat_arrays(t.column("doc_id").chunks), "cls": pa.array(classes), "n": pa.array(n)})
-
-    return run
+DEALT = "p int, cls binary, n binary, k binary, f binary, ids binary, dks binary"
 
 
-def _deal(ranges: int, width: int):
-    """Packed rows (p, cls, n, k, f): for each class its size, how many shingles follow, and their hashes."""
+def _deal(ranges: int, width: int, at_once: int):
+    """Packed rows of one pass over the texts: (p, cls, n, k, f), for each class its size, how many shingles follow, and their hashes;
+    and lists of documents (cls, n, ids, dks), as ranges from ``ranges`` on."""
 
     def run(batches):
-        for t in gathered(batches, "text"):
+        for t in gathered(batches, "text", at_once):
             classes, owner, one, two = _sets(t.column("text"), width)
+            n = np.bincount(owner, minlength=len(classes)).astype("<i4")
+            home = ranges + int(classes[0] % ranges)
+            yield pa.RecordBatch.from_pydict({"p": pa.array([home], pa.int32()), "cls": [classes.tobytes()], "n": [n.tobytes()], "k": [b""], "f": [b""], "ids": [t.column("id").to_numpy().tobytes()], "dks": [t.column("dk").to_numpy().tobytes()]})
             _, first = np.unique(classes, return_index=True)  # copies in one run travel once
             keep = np.isin(owner, first)
             owner, one, two = owner[keep], one[keep], two[keep]
-            n = np.bincount(owner, minlength=len(classes))
-            to = (two % np.uint64(ranges)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            owner, one, to = owner[order], one[order], to[order]
-            edges = np.searchsorted(to, np.arange(ranges + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                own = slice(edges[p], edges[p + 1])
+            for p, own in _parts((two % np.uint64(ranges)).astype(np.int32), ranges):
                 who, k = np.unique(owner[own], return_counts=True)
-                yield pa.RecordBatch.from_pydict(
-                    {"p": pa.array([p], pa.int32()), "cls": [classes[who].tobytes()], "n": [n[who].astype("<i4").tobytes()], "k": [k.astype("<i4").tobytes()], "f": [narrow(one[own], TOKEN_BYTES)]}
-                )
+                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "cls": [classes[who].tobytes()], "n": [n[who].tobytes()], "k": [k.astype("<i4").tobytes()], "f": [one[own].tobytes()], "ids": [b""], "dks": [b""]})
 
     return run
 
 
-def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    cls = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["cls"]])
-    n, k = (np.concatenate([np.frombuffer(x, "<i4") for x in pdf[c]]).astype(np.int64) for c in "nk")
-    f = np.concatenate([widen(x, TOKEN_BYTES) for x in pdf["f"]])
-    return cls, n, k, f
+def _joined(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
+
 
+SHARED = "home int, cls binary, n binary, k binary, f binary, log binary, ids binary, dks binary"
 
-def _shared(homes: int):
-    """Of one range: the shingles of two classes or more, with the log of their number, by home of the class."""
+
+def _shared(ranges: int):
+    """Of one range: the shingles of two classes or more, with the log of their number, by home of the class; lists pass through."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = int(pdf["p"].iloc[0])
-        cls, n, k, f = _unpack(pdf)
+        if p >= ranges:
+            return pdf.assign(home=p, log=b"")[["home", "cls", "n", "k", "f", "log", "ids", "dks"]]
+        cls, n, k, f = (_joined(pdf[c], kind) for c, kind in (("cls", "<i8"), ("n", "<i4"), ("k", "<i4"), ("f", "<u8")))
         del pdf
-        row = np.repeat(np.arange(len(cls)), k)
+        row = np.repeat(np.arange(len(cls), dtype=np.int32), k)
         order = np.argsort(f, kind="stable")
         same = f[order][1:] == f[order][:-1]
         order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
@@ -117,15 +107,13 @@ def _shared(homes: int):
         log = np.frexp(df)[1].astype(np.uint8)[at]  # bits of the number
         order, log = order[df[at] >= 2], log[df[at] >= 2]
         c, f, n = cls[row[order]], f[order], n[row[order]]
-        home = (mix(c.view(np.uint64)) % np.uint64(homes)).astype(np.int32)
-        by = np.lexsort((f, c, home))
-        c, f, n, log, home = c[by], f[by], n[by], log[by], home[by]
+        by = np.lexsort((f, c))
+        c, f, n, log = c[by], f[by], n[by], log[by]
         out = []
-        to, first = np.unique(home, return_index=True)
-        for h, own in zip(to, np.split(np.arange(len(c)), first[1:]), strict=True) if len(to) else ():
+        for home, own in _parts((mix(c.view(np.uint64)) % np.uint64(ranges)).astype(np.int32), ranges):
             who, at, k = np.unique(c[own], return_index=True, return_counts=True)
-            out.append((int(h), p, who.tobytes(), n[own][at].astype("<i4").tobytes(), k.astype("<i4").tobytes(), narrow(f[own], TOKEN_BYTES), log[own].tobytes()))
-        return pd.DataFrame(out, columns=["home", "p", "cls", "n", "k", "f", "log"])
+            out.append((home, who.tobytes(), n[own][at].astype("<i4").tobytes(), k.astype("<i4").tobytes(), f[own].tobytes(), log[own].tobytes(), b"", b""))
+        return pd.DataFrame(out, columns=["home", "cls", "n", "k", "f", "log", "ids", "dks"])
 
     return run
 
@@ -190,15 +178,21 @@ def signatures(tokens: np.ndarray, log: np.ndarray, n: int, percent: int, rare:
     return sigs[once], left[once]
 
 
-def _index(percent: int):
-    """Of the classes of one home: (cls, n, tokens, sigs, left) where a partner is possible."""
+SETS = "cls long, n long, tokens binary, sigs binary, left binary"
+#: ``n`` of rows that list documents: tokens, sigs and left then hold their classes and sizes, ids and dks.
+LIST = -1
+
+
+def _index(ranges: int, percent: int):
+    """Of the classes of one home: (cls, n, tokens, sigs, left) where a partner is possible; and the lists."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.repeat(pdf["p"].to_numpy(), [len(x) // TOKEN_BYTES for x in pdf["f"]]).astype(np.uint64)
-        cls, n, k, f = _unpack(pdf)
-        log = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["log"]])
+        if pdf["home"].iloc[0] >= ranges:
+            both = [c + n for c, n in zip(pdf["cls"], pdf["n"], strict=True)]
+            return pd.DataFrame({"cls": 0, "n": LIST, "tokens": both, "sigs": pdf["ids"].to_numpy(), "left": pdf["dks"].to_numpy()})
+        cls, n, k, token, log = (_joined(pdf[c], kind) for c, kind in (("cls", "<i8"), ("n", "<i4"), ("k", "<i4"), ("f", "<u8"), ("log", np.uint8)))
         del pdf
-        cls, n, token = np.repeat(cls, k), np.repeat(n, k), (p << np.uint64(TOKEN_BITS)) | f
+        cls, n = np.repeat(cls, k), np.repeat(n, k)
         order = np.lexsort((token, log, cls))
         cls, n, token, log = cls[order], n[order], token[order], log[order]
         who, first = np.unique(cls, return_index=True)
@@ -213,6 +207,15 @@ def _index(percent: int):
     return run
 
 
+def _listed(batches):
+    """(id, dk, cls, n) of each document on the lists."""
+    for b in batches:
+        for both, ids, dks in zip(b.column("tokens").to_pylist(), b.column("sigs").to_pylist(), b.column("left").to_pylist(), strict=True):
+            m = len(ids) // 8
+            cols = np.frombuffer(ids, "<i8"), np.frombuffer(dks, "<i8"), np.frombuffer(both, "<i8", m), np.frombuffer(both, "<i4", m, 8 * m).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "dk", "cls", "n"])
+
+
 def _deal_signatures(ranges: int):
     """Packed rows (p, sig, cls, n, left, own): ``own`` counts a set's shingles that no other class has."""
 
@@ -221,11 +224,7 @@ def _deal_signatures(ranges: int):
 
         def flush():
             sigs, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
-            to = (mix(sigs) % np.uint64(ranges)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(ranges + 1))
-            for p in np.flatnonzero(np.diff(edges)):
-                at = order[edges[p] : edges[p + 1]]
+            for p, at in _parts((mix(sigs) % np.uint64(ranges)).astype(np.int32), ranges):
                 cls, *small = (x[at] for x in rest)
                 yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "sig": [sigs[at].tobytes()], "cls": [cls.tobytes()]} | {k: [x.astype("<i4").tobytes()] for k, x in zip(("n", "left", "own"), small, strict=True)})
 
@@ -250,13 +249,15 @@ def may_link(n, m, left, percent: int):
     return (100 + percent) * left >= percent * (n + m)
 
 
+GROUPS = "key long, part int, a long, na long, ma long, members array<long>, sizes array<long>, shared array<long>"
+
+
 def _groups(percent: int):
-    """Sets of classes under one signature, each different one once: (key, members, sizes, shared) in order of priority."""
+    """Sets of classes under one signature, each different one once, in order of priority: (key, part, leader, its size and shared shingles, members, sizes, shared)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["sig"]])
-        cls = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["cls"]])
-        n, left, own = (np.concatenate([np.frombuffer(x, "<i4") for x in pdf[k]]).astype(np.int64) for k in ("n", "left", "own"))
+        sig, cls = _joined(pdf["sig"], "<u8"), _joined(pdf["cls"], "<i8")
+        n, left, own = (_joined(pdf[k], "<i4").astype(np.int64) for k in ("n", "left", "own"))
         del pdf
         for _ in range(3):  # who cannot link with the smallest set that is large enough has no partner here
             order = np.lexsort((n, sig))
@@ -274,9 +275,12 @@ def _groups(percent: int):
         sums = np.add.reduceat(mix(cls.view(np.uint64) + np.uint64(0x51)), at) if len(at) else np.zeros(0, np.uint64)
         two = size >= 2
         _, once = np.unique(sums[two], return_index=True)  # groups of equal members share this sum
-        at, size, sums = at[two][once], size[two][once], sums[two][once]
-        cut_at = lambda x: [x[a : a + s] for a, s in zip(at, size, strict=True)]
-        return pd.DataFrame({"key": sums.view(np.int64), "members": cut_at(cls), "sizes": cut_at(n), "shared": cut_at(n - own)})
+        out = []
+        for a, s, key in zip(at[two][once].tolist(), size[two][once].tolist(), sums[two][once].view(np.int64).tolist(), strict=True):
+            for part, x in enumerate(range(a, a + s, SEGMENT)):
+                own_rows = slice(x, min(x + SEGMENT, a + s))
+                out.append((key, part, int(cls[a]), int(n[a]), int(n[a] - own[a]), cls[own_rows], n[own_rows], (n - own)[own_rows]))
+        return pd.DataFrame(out, columns=["key", "part", "a", "na", "ma", "members", "sizes", "shared"])
 
     return run
 
@@ -302,100 +306,195 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the classes that links connect, over ``sets(cls, n, tokens, sigs, left)``."""
-    ranges = shuffle_width(sets.sparkSession)
     signed = sets.select("cls", "n", "sigs", "left", (F.octet_length("tokens") / 8).cast("int").alias("m"))
+    ranges = ranges_for(sets.agg(F.sum(F.octet_length("sigs") / 8).cast("long")).first()[0] or 0, RANGE_SIGNATURES)
     dealt = signed.mapInArrow(_deal_signatures(ranges), "p int, sig binary, cls binary, n binary, left binary, own binary")
-    groups = cut(dealt.groupBy("p").applyInPandas(_groups(percent), "key long, members array<long>, sizes array<long>, shared array<long>").dropDuplicates(["key"]))
+    groups = cut(dealt.repartition(ranges, "p").groupBy("p").applyInPandas(_groups(percent), GROUPS).dropDuplicates(["key", "part"]))
     # no more than the shingles that other classes have can be in both sets
     near = may_link(F.col("na"), F.col("nb"), F.least("ma", "mb"), percent)
+    members = groups.select("key", "a", "na", "ma", F.explode(F.arrays_zip("members", "sizes", "shared")).alias("x"))
+    members = members.select("key", "a", "na", "ma", F.col("x.members").alias("b"), F.col("x.sizes").alias("nb"), F.col("x.shared").alias("mb"))
     # the first member leads; the order of priority is the same in all groups, so leaders coincide
-    rows = groups.select("key", F.col("members")[0].alias("a"), F.col("sizes")[0].alias("na"), F.col("shared")[0].alias("ma"), F.posexplode(F.arrays_zip("members", "sizes", "shared")).alias("no", "x"))
-    rows = rows.select("no", "a", "na", "ma", F.col("x.members").alias("b"), F.col("x.sizes").alias("nb"), F.col("x.shared").alias("mb"))
-    first = cut(rows.where((F.col("no") > 0) & near).select("a", "b").distinct())
-    links = verify(first, sets, percent)
+    links = verify(cut(members.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()), sets, percent)
     roots = cut(components(links))
-    # groups that links don't connect yet
-    members = groups.select("key", F.explode(F.arrays_zip("members", "sizes", "shared")).alias("x")).select("key", F.col("x.members").alias("cls"), F.col("x.sizes").alias("n"), F.col("x.shared").alias("m"))
-    members = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    apart = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
-    rest = cut(members.join(apart, "key"))
-    more = cut(_link_rest(rest, sets, percent))
+    # groups that links don't connect yet; their rows hold many members each, so none is a hot key
+    known = roots.select(F.col("node").alias("b"), "root")
+    told = members.join(known, "b", "left").groupBy("key").agg(F.min(F.coalesce("root", "b")).alias("lo"), F.max(F.coalesce("root", "b")).alias("hi"), F.count(F.lit(1)).alias("m"))
+    apart = cut(told.where("lo < hi").select("key", "m"))
+    rest = groups.join(apart, "key").select("key", "m", F.explode("members").alias("cls"))
+    rest = rest.join(known.withColumnRenamed("b", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    more = cut(in_blocks(rest.withColumn("size", F.lit(1).cast("long")), sets, _connect(percent), "a long, b long").distinct())
     if more.isEmpty():
         return roots
     # what is connected already comes as stars
     return components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
-def _link_rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the sets of one group that are still apart, over ``rest(key, cls, n, m, root, blocks)``.
+def in_blocks(rows: DataFrame, sets: DataFrame, compare, schema: str) -> DataFrame:
+    """What ``compare`` says of all pairs of sets under one key, over ``rows(key, m, cls, root, size)`` with m rows of a key.
 
-    Members are dealt to blocks of about ``BLOCK``, and each pair of blocks is a task's work: all its
-    pairs that may link are tested, but only links come out.
+    Members are dealt to blocks of about ``BLOCK``, and each pair of blocks is a task's work: shingles
+    travel once for each block of their key, and no pair is written. Keys of few members share tasks.
     """
-    dealt = rest.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = cut(rows)
+    tasks = ranges_for(rows.count(), 4 * BLOCK)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "n", "m", "root")
-    return met.join(sets.select("cls", "tokens"), "cls").groupBy("key", "i", "j").applyInPandas(_link_blocks(percent), "a long, b long").distinct()
+    met = met.select("task", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "root", "size")
+    return met.join(sets.select("cls", "n", "tokens"), "cls").groupBy("task", "i", "j").applyInPandas(_each_key(compare), schema)
 
 
-def _link_blocks(percent: int):
+def _each_key(compare):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        cls, n, m, block = (pdf[k].to_numpy() for k in ("cls", "n", "m", "block"))
-        tokens = [np.frombuffer(t, "<u8") for t in pdf["tokens"]]
-        _, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
         out = []
-        for x in np.flatnonzero(block == i):
-            for y in np.flatnonzero((root != root[x]) & (block == j) & may_link(n[x], n, np.minimum(m[x], m), percent)):
-                if root[x] == root[y] or i == j and y < x:
-                    continue
-                both = len(np.intersect1d(tokens[x], tokens[y], assume_unique=True))
-                if 100 * both >= percent * (n[x] + n[y] - both):
-                    out.append((cls[x], cls[y]))
-                    root[root == root[y]] = root[x]  # what this connects needs no further test
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for _, own in pdf.groupby("key", sort=False):
+            left, right = own[own["block"] == i], own[own["block"] == j]
+            if len(left) and len(right):
+                out.append(compare(left, right, i == j))
+        return pd.concat(out) if out else pd.DataFrame()
 
     return run
 
 
-def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, class_id.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another; each set has distinct numbers.
+
+    Frequent numbers count as products of 0-1 matrices, the rest pair by pair.
+    """
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(left) or not len(right):
+        return out
+    x, y = (np.repeat(np.arange(len(s), dtype=np.int64), [len(t) for t in s]) for s in (left, right))
+    tokens, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    p, q = at[: len(x)], at[len(x) :]
+    nx, ny = np.bincount(p, minlength=len(tokens)), np.bincount(q, minlength=len(tokens))
+    often = np.flatnonzero((nx * ny > OFTEN * np.maximum(nx, ny)) & (nx > 0) & (ny > 0))
+    for k in range(0, len(often), COLUMNS):
+        place = np.full(len(tokens), -1)
+        place[often[k : k + COLUMNS]] = np.arange(len(often[k : k + COLUMNS]))
+        made = []
+        for of, t, n in ((x, p, len(left)), (y, q, len(right))):
+            m = np.zeros((n, len(often[k : k + COLUMNS])), np.float32)
+            m[of[place[t] >= 0], place[t][place[t] >= 0]] = 1
+            made.append(m)
+        out += made[0] @ made[1].T
+    seldom = (nx > 0) & (ny > 0)
+    seldom[often] = False
+    i, j = np.flatnonzero(seldom[p]), np.flatnonzero(seldom[q])
+    j = j[np.argsort(q[j], kind="stable")]
+    first = np.searchsorted(q[j], p[i])
+    n = ny[p[i]]
+    other = j[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    out += np.bincount(np.repeat(x[i], n) * len(right) + y[other], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _hits(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> np.ndarray:
+    both = overlaps(*[[np.frombuffer(t, "<u8") for t in x["tokens"]] for x in (left, right)]).astype(np.int64)
+    n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None]
+    hit = 100 * both >= percent * (n + m - both)
+    return hit & (left["cls"].to_numpy()[:, None] != right["cls"].to_numpy()[None])
+
+
+def _connect(percent: int):
+    """Links (a, b) that connect what is still apart: of many between two connected parts, one."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        hit = _hits(left, right, percent)
+        _, root = np.unique(np.concatenate([left["root"], right["root"]]), return_inverse=True)
+        a, b, out = left["cls"].to_numpy(), right["cls"].to_numpy(), []
+        while True:
+            x, y = root[: len(left)], root[len(left) :]
+            i, j = np.nonzero(hit & (x[:, None] != y[None]))
+            if not len(i):
+                return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+            # each part gives one of its links and takes the least number of the two
+            _, once = np.unique(x[i], return_index=True)
+            i, j = i[once], j[once]
+            out.append(np.stack([a[i], b[j]], 1))
+            for p, q in zip(i.tolist(), (len(left) + j).tolist(), strict=True):
+                root[root == max(root[p], root[q])] = min(root[p], root[q])
+
+    return run
+
+
+def _count(percent: int):
+    """(cls, links): for each set the documents of the sets it links to."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        hit = _hits(left, right, percent)
+        out = [pd.DataFrame({"cls": left["cls"].to_numpy(), "links": hit @ right["size"].to_numpy()})]
+        if not same:
+            out.append(pd.DataFrame({"cls": right["cls"].to_numpy(), "links": hit.T @ left["size"].to_numpy()}))
+        return pd.concat(out)
+
+    return run
+
+
+def _components(docs: DataFrame, width: int, percent: int, at_once: int, links: bool) -> tuple[DataFrame, DataFrame, bool]:
+    """(documents (id, dk, cls, n); classes with words (cls, size, class_id, root, component_id[, links]); whether dk is in use)."""
+    keyed, size, two = doc_key(docs.select("doc_id", "text"))
+    ranges = ranges_for(size, RANGE_BYTES)
+    dealt = keyed.select("id", "dk", "text").mapInArrow(_deal(ranges, width, at_once), DEALT)
+    shared = dealt.repartition(2 * ranges, "p").groupBy("p").applyInPandas(_shared(ranges), SHARED)
+    made = cut(shared.repartition(2 * ranges, "home").groupBy("home").applyInPandas(_index(ranges, percent), SETS))
+    sets = made.where(F.col("n") >= 0)
+    listed = cut(made.where(F.col("n") == LIST).select("tokens", "sigs", "left").mapInArrow(_listed, "id long, dk long, cls long, n long"))
+    roots = link_classes(sets, percent)
+    known = F.when(F.col("id") != NULL_ID, F.col("id"))
+    classes = cut(listed.where("n > 0").groupBy("cls").agg(F.min(known).alias("class_id"), F.count(F.lit(1)).alias("size")))
+    named = cut(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    lowest = named.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    named = cut(named.join(lowest, "root"))
+    if links:
+        inside = named.where("m > 1").select(F.col("root").alias("key"), "m", "cls", "root", "size")
+        counted = in_blocks(inside, sets, _count(percent), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+        named = cut(named.join(counted, "cls", "left"))
+    return listed, named, two
+
+
+def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, at_once: int = AT_ONCE) -> DataFrame:
+    """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, class_id, n_links.
 
     A-Z are lowered; words are runs of other characters than ``[\\x20\\x09-\\x0D]``. A document's set
     holds its distinct shingles of ``width`` words, or its whole sequence if it has fewer. Two
     documents link when 100 * intersection >= percent * union; a component takes the smallest doc_id
-    that links reach. ``class_id`` is the smallest doc_id with the same words. A null or blank text has an empty
+    that links reach. ``class_id`` is the smallest doc_id with the same words, ``n_links`` the number
+    of other rows that a row links to. A null or blank text has an empty
     set and is linked with nothing: it is its own component, even where several rows carry that
     doc_id. A null doc_id never names a component unless all its members are null. Repeated rows
-    each get a row. Extra columns are ignored; an empty table gives an empty result.
+    each get a row. Extra columns are ignored; an empty table gives an empty result. Shingles are
+    64-bit hashes, at every size and in every session.
     """
-    spark, ranges = docs.sparkSession, shuffle_width(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    listed = cut(rows.mapInArrow(_classes(width), "doc_id long, cls long, n long"))
-    dealt = rows.mapInArrow(_deal(ranges, width), "p int, cls binary, n binary, k binary, f binary")
-    shared = dealt.groupBy("p").applyInPandas(_shared(ranges), "home int, p int, cls binary, n binary, k binary, f binary, log binary")
-    sets = cut(shared.groupBy("home").applyInPandas(_index(percent), "cls long, n long, tokens binary, sigs binary, left binary"))
-    roots = link_classes(sets, percent)
-    classes = cut(listed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id")))
-    named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lowest = cut(named.groupBy("root").agg(F.min("class_id").alias("component_id")))
-    named = cut(named.join(lowest, "root").select("cls", "class_id", "component_id"))
-    full = listed.where("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
-    empty = listed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    return full.unionByName(empty)
+    listed, named, _ = _components(docs, width, percent, at_once, True)
+    doc_id = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
+    links = (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")
+    full = listed.where("n > 0").join(named, "cls").select(doc_id, F.col("n").alias("n_shingles"), "component_id", "class_id", links)
+    return full.unionByName(listed.where("n = 0").select(doc_id, F.col("n").alias("n_shingles"), doc_id.alias("component_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
-def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest doc_id of each component; all columns stay.
+def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, at_once: int = AT_ONCE) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` without all but one of each component; all columns stay.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id stay: nothing would name them.
-    Rows with a null or blank text are linked with nothing and stay.
+    The row with the smallest doc_id stays (a null id last, and of one doc_id the text with the
+    smallest hash); of rows that agree in doc_id and text any one. Rows with a null or blank text are
+    linked with nothing and stay, repeated ones too. Whole documents are shuffled only where the list of
+    those that go is too long to broadcast.
     """
-    named = cut(ngram_join(docs, width, percent).where("doc_id = component_id").select("doc_id"))
-    once = named.distinct()
-    # a merge at every size: the list of ids grows with the table and is never broadcast
-    kept = docs.join(once.withColumnRenamed("doc_id", "kept_id").hint("merge"), F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    if named.count() != once.count():
-        kept = kept.dropDuplicates(["doc_id"])
-    # without an id nothing tells which of its rows are linked
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    listed, named, two = _components(docs, width, percent, at_once, False)
+    of = listed.where("n > 0").join(named.select("cls", "root"), "cls")
+    place = F.struct((F.col("id") == NULL_ID).alias("z"), "id", "dk")
+    best = of.groupBy("root").agg(F.min(place).alias("best"))
+    rows = of.groupBy("root", "id", "dk").agg(F.count(F.lit(1)).alias("n"))
+    told = cut(rows.join(best, "root").select("id", "dk", "n", (place == F.col("best")).alias("stays")))
+    gone = told.where("NOT stays").select("id", "dk")
+    again = told.where("stays AND n > 1").select("id", "dk")
+    i, k = fresh(docs, "gone_id", "gone_dk")
+    on = lambda: (key_of(two)[0] == F.col(i)) & (key_of(two)[1] == F.col(k))
+    kept = docs.join(small_or_merged(gone.withColumnsRenamed({"id": i, "dk": k})), on(), "left_anti")
+    if again.isEmpty():
+        return kept
+    again = small_or_merged(again.withColumnsRenamed({"id": i, "dk": k}))
+    return kept.join(again, on(), "left_anti").unionByName(kept.join(again, on()).dropDuplicates([i, k]).select(*docs.columns))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tidelog.llm.common import table
 from tidelog.llm.decontaminate import decontaminate
 from tidelog.llm.exact_dedup import exact_dedup
@@ -63,7 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality_classifier, op4_ngram_join, op5_exact_dedup, op6_sharding, op7_mixing, op8_language_id, op9_decontamination, op10_substring_dedup)} | {"pipeline": corpus_pipeline.run}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_quality_classifier, op4_ngram_join, op5_exact_dedup, op6_sharding, op7_mixing, op8_language_id, op9_decontamination, op10_substring_dedup)}
 
 #: The words of a text, in DuckDB's SQL.
 _WORDS = r"""list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
@@ -81,7 +80,7 @@ SQL = {
         links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL)
             JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
-        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, CASE WHEN len(words) = 0 THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY array_to_string(words, ' ')) END AS class_id
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, (SELECT count(*) FROM links l WHERE l.a = w.doc_id) AS n_links, CASE WHEN len(words) = 0 THEN w.doc_id ELSE min(w.doc_id) OVER (PARTITION BY array_to_string(words, ' ')) END AS class_id
         FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = w.doc_id""",
     "op10_substring_dedup": rf"""
         WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
