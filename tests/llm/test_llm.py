@@ -1,6 +1,7 @@
 """Every training-data operator against a plain version, over odd cases; registered queries over the driver's tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -156,6 +157,69 @@ def test_mixing(spark):
         assert abs(taken[s] - goal[s]) <= 0.01 * goal[s] + 2
 
 
+def plain_taken(spark, data, block, shards=8, seed=17):
+    """{(doc_id, text, source): words by shard}, block by block and copy by copy."""
+    keys = spark.createDataFrame([(k, i, len(words(t))) for k, (i, t, *_) in enumerate(data)], "k long, doc_id long, size long").select("k", F.xxhash64(F.lit(seed), "doc_id", "size").alias("h")).collect()
+    h = {r.k: r.h for r in keys}
+    size = Counter()
+    for _, t, _, s, _ in data:
+        size[s] += len(words(t))
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    goal = mixing.targets([size[s] for s in order])
+    buckets = max(64, len(data) // mixing.TOGETHER)
+    quotas = mixing.shard_quotas(goal, round(sum(goal) / block), shards)
+    out = {}
+    for n, s in enumerate(order):
+        if not size[s]:
+            continue
+        line = []  # the row of each word, along the source's line
+        for k in sorted((k for k, r in enumerate(data) if r[3] == s), key=lambda k: (h[k] % buckets, h[k], data[k][0] is not None, data[k][0] or 0, len(words(data[k][1])))):
+            line += [k] * len(words(data[k][1]))
+        blocks = [line[x : x + block] for x in range(0, len(line), block)]
+        a, c = mixing._permutation(s, len(blocks), seed)
+        ranked = [blocks[j] for j in sorted(range(len(blocks)), key=lambda j: (a * j + c) % len(blocks))]
+        left, ends = min(round(goal[n]), 3 * size[s]), np.cumsum([q[n] for q in quotas])
+        for rank in range(3 * len(blocks)):
+            block_words = ranked[rank % len(blocks)][:left]
+            whole = len(block_words) == len(ranked[rank % len(blocks)])
+            shard = min(int(np.searchsorted(ends, rank, "right")), shards - 1) if whole else shards - 1
+            for k in block_words:
+                out.setdefault(k, [0] * shards)[shard] += 1
+            left -= len(block_words)
+    return Counter((*data[k][:2], data[k][3], ",".join(map(str, out.get(k, [0] * shards)))) for k in range(len(data)))
+
+
+@pytest.mark.parametrize("block", [1, 16, 300])
+def test_mixing_equals_a_walk_over_blocks(spark, block):
+    data = [r for r in rows() if r[0] != 12]
+    texts = table(spark, data)
+    found = got(mixing.mix_sources(texts.withColumn("t", F.col("text")), block_words=block, carry=("t",)))
+    assert Counter((r["doc_id"], r["t"], r["source"], r["shard_words"]) for r in found) == plain_taken(spark, data, block)
+    assert all(sum(map(int, r["shard_words"].split(","))) == r["taken"] for r in found)
+
+
+def test_small_sources_meet_their_targets(spark):
+    data = [(k, "w " * 3000, "en", "ab"[k % 2], 0) for k in range(400)] + [(1000 + k, "w " * 150, "en", "c", 0) for k in range(10)] + [(2000, "w " * 10, "en", "d", 0), (2001, "w", "en", None, 0)]
+    found = got(mixing.mix_sources(table(spark, data), block_words=1024))
+    taken, goal = Counter(), {}
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        goal[r["source"]] = r["target"]
+        assert r["taken"] <= 3 * r["size"]
+    assert goal["c"] == 4500 and goal["d"] == 30 and all(abs(taken[s] - goal[s]) <= 1 for s in goal)
+
+
+def test_exact_quota():
+    for n, block in ((1, 4), (10, 4), (12, 4), (37, 5)):
+        blocks = -(-n // block)
+        for last in range(blocks):
+            size = [block] * blocks
+            size[last] = n - (blocks - 1) * block
+            for target in range(3 * n + 1):
+                whole, part = mixing.exact_quota(n, target, block, last)
+                assert sum((size * 4)[:whole]) + part == target and part < (size * 4)[whole]
+
+
 def test_mixing_empties(spark):
     assert [r["taken"] for r in got(mixing.mix_sources(table(spark, [(1, None, "en", None, 0), (2, "", "en", "a", 0)])))] == [0, 0]
 
@@ -204,6 +268,52 @@ def test_secret_scan(spark):
     assert {text[int(s.split(":")[1]) : int(s.split(":")[2])] for r in found if r["doc_id"] is None and r["spans"] for s in r["spans"].split(",")} >= {"ASIAABCDEFGHIJKLMNOP"}
 
 
+CANDIDATES = (
+    ("endpoint", r"""\b[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]{3,}"""),
+    ("ident", r"""(?i:user|username|login|client_?id|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}|\b(?:ASIA|AIDA|AROA)[A-Z0-9]{12,}"""),
+    ("weak", r"""\b(?i:pass|pwd|pw|key|auth|bearer)["']?(?:\x20*[:=]|\x20)\x20*["']?(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.=-]{6,}"""),
+)
+SECRET_SIDE, NAME_SIDE = ("assign", "hex", "weak"), ("access", "ident", "endpoint")
+
+
+def plain_links(text, scope=256):
+    """All spans to report, by a test of every pair of candidates."""
+    text = text or ""
+    base = [(m.start(), m.end(), name) for name, pattern, good in PATTERNS for m in re.finditer(pattern, text) if good(m)]
+    weak = [(m.start(), m.end(), name) for name, pattern in CANDIDATES for m in re.finditer(pattern, text)]
+    keyed = [c for c in weak if c[2] == "weak"]
+    bare = [(m.start(), m.end(), "weak") for m in re.finditer(r"[A-Za-z0-9+/]{32,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0])]
+    weak += [b for b in bare if not any(k[0] < b[0] < k[1] for k in keyed)]
+    near = lambda x, y: y[0] - x[1] <= scope and x[0] - y[1] <= scope
+    shown = [c for c in weak if any((o[2] in SECRET_SIDE) != (c[2] in SECRET_SIDE) and near(c, o) for o in base + weak + bare) and not any(o[0] < c[1] and c[0] < o[1] for o in base)]
+    names = ("assign", "access", "hex", "endpoint", "ident", "weak")
+    return ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted((a, names.index(n), b, n) for a, b, n in base + shown))
+
+
+def test_links_equal_a_test_of_all_pairs(spark):
+    r = np.random.default_rng(8)
+    parts = ["user=bob", "user: 'al'", "login = carol_9", "pwd: hunter22", "pass x1y2z3w", "key\x20\x20=\x20abc", "bearer a.b-c9_d", "https://db.example.org/x", "ftp://h", "AKIA" + "Z9" * 8, "ASIA" + "Q" * 14,
+             "token=abcdefgh12", "secret:'" + "k" * 9, "0123456789abcdef" * 2, "Zm9vYmFy" * 5 + "1A", "Ab1" * 24, "key=" + "Zm9vYmFy" * 5 + "1A", "\x01\x02", "é😀", "\n"]
+    data = [(k, " ".join(r.choice(parts) if r.random() < 0.25 else "far" * int(r.integers(1, 25)) for _ in range(int(r.integers(1, 60)))), None, None, None) for k in range(150)]
+    data += [(900, "user=bob " + "Ab1" * 20 + "a", None, None, None), (901, "user=bob " + "Ab1" * 24, None, None, None), (902, "Ab1" * 2000 + " user=bob", None, None, None)]
+    data += [(i, t, None, None, None) for i, t, *_ in SECRETS if i is not None]
+    found = Counter((x["doc_id"], x["spans"]) for x in got(secret_scan.secret_scan(table(spark, data))))
+    want = Counter((i, plain_links(t)) for i, t, *_ in data)
+    assert found == want and sum(s.count("weak") for _, s in want) > 50
+    assert all("weak" in plain_links(t) for i, t, *_ in data if i in (900, 901, 902))
+
+
+@pytest.mark.parametrize("text", ["key" + " " * 1_000_000, "a/" * 500_000, "password" + " " * 1_000_000, "user" + " " * 1_000_000, "key=" + "a" * 1_000_000, "key " * 250_000, "Aa1/" * 250_000, "a1" * 500_000, "key=a." * 170_000])
+def test_long_texts_are_scanned_in_linear_time(spark, text):
+    import time
+
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    secret_scan.secret_scan(docs.limit(1)).collect()
+    began = time.time()
+    secret_scan.secret_scan(docs.limit(1)).collect()
+    assert time.time() - began < 5
+
+
 def test_secret_scan_is_native(spark):
     plan = secret_scan.secret_scan(table(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -567,6 +677,69 @@ def test_quality_odd_cases(spark):
     assert all(r["p"] == "clash" for r in found)
 
 
+def plain_votes(text):
+    """The votes of one text, word by word."""
+    ws = words(text)
+    n = len(ws)
+    if not n:
+        return [0] * 8
+    upper = lambda c: "A" <= c <= "Z" or "À" <= c <= "Þ"
+    symbol = lambda c: c.isascii() and not c.isalnum()
+    noisy = sum(sum(map(symbol, w)) >= 2 for w in ws) / n
+    lone = sum(all(map(symbol, w)) for w in ws) / n
+    caps = sum(len(x := [c for c in w if not symbol(c) and not (c.isascii() and c.isdigit())]) > 1 and all(map(upper, x)) for w in ws) / n
+    again = sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / n
+    def stop(w):
+        for _ in range(2):
+            w = w[:-1] if w[-1] in "\"')]" and len(w) > 1 else w
+        return w[-1] in ".!?"
+    def is_short(w):
+        x = w
+        for _ in range(2):
+            x = x[:-1] if x[-1] in ".,;:" and len(x) > 1 else x
+        letters = [c for c in w if not symbol(c) and not (c.isascii() and c.isdigit())]
+        return 0 < len(letters) <= 3 and len(x) == len(letters)
+    ends, short = sum(map(stop, ws)) / n, sum(map(is_short, ws)) / n
+    length, distinct = sum(min(len(w), 64) for w in ws) / n, len(set(ws)) / n**0.8
+    vote = lambda good, bad: 2 if bad else 1 if good else 0
+    out = [vote(noisy < 0.05, noisy > 0.2), vote(lone < 0.03, lone > 0.15), vote(caps < 0.1, caps > 0.3), vote(again < 0.03, again > 0.2)]
+    if n < 20:
+        return out + [0] * 4
+    return out + [vote(0.02 <= ends <= 0.3, ends < 0.005 or ends > 0.6), vote(short > 0.15, short < 0.08), vote(3 <= length <= 8, length < 2 or length > 15), vote(distinct > 0.7, distinct < 0.25)]
+
+
+def plain_posteriors(votes):
+    """Expectation-maximisation over documents, one by one."""
+    q = [0.95 if 2 not in v else 0.3 / v.count(2) for v in votes]
+    prior = 0.5
+    for _ in range(200):
+        prior = min(max(sum(q) / len(q), 0.01), 0.99)
+        chance = [[[0.5 + sum(w for w, v in zip(ws, votes, strict=True) if v[j] == x) for x in (1, 2)] for j in range(8)] for ws in ([1 - x for x in q], q)]
+        new = []
+        for v in votes:
+            odds = [math.log(1 - prior), math.log(prior)]
+            for c in (0, 1):
+                odds[c] += sum(math.log(chance[c][j][x - 1] / sum(chance[c][j])) for j, x in enumerate(v) if x)
+            new.append(1 / (1 + math.exp(odds[0] - odds[1])))
+        if max(abs(a - b) for a, b in zip(new, q, strict=True)) < 1e-9:
+            return new, prior
+        q = new
+    return q, prior
+
+
+def test_weak_labels_equal_a_plain_version(spark):
+    data = rows() + [(r.doc_id, r.text, r.lang, r.source, 0) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if len(r.text) < 8000]
+    found = got(quality.classify_quality(table(spark, data)))
+    voted = [plain_votes(t) for _, t, *_ in data]
+    posterior, prior = plain_posteriors([v for v in voted if any(v)])
+    by_votes = {tuple(v): p for v, p in zip([v for v in voted if any(v)], posterior, strict=True)}
+    by_text = {(i, t): by_votes.get(tuple(v), prior) for (i, t, *_), v in zip(data, voted, strict=True)}
+    assert len(found) == len(data)
+    for r in found:
+        assert r["weak_posterior"] == pytest.approx(by_text[r["doc_id"], r["text"]], abs=1e-4)
+        assert r["keep"] == (r["quality_score"] >= 0.5) and (r["quality_score"] > 0 or not words(r["text"]))
+
+
 def test_expectation_maximisation_recovers_accuracies():
     rng = np.random.default_rng(2)
     truth = rng.random(20000) < 0.8
@@ -616,6 +789,35 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).count() == len(ids["sharding"])
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_keep_all_columns_as_they_are(spark, tmp_path):
+    """Columns of any name, null and repeated ids, repeated rows: what a stage keeps, it keeps unchanged."""
+    import corpus_pipeline
+
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ("copy", "n_copies", "mixed_id", "keep", "quality_score", "quality_votes", "leaks", "contaminated", "item_ids", "taken", "dk", "gone_id", "s", "h", "root", "user_keep", "weak_posterior")
+    data = rows() + rows()[:3] + [(None, prose(77, 60), "en", "b", 1), (None, prose(77, 60), "en", "b", 1), (101, prose(78, 50), "en", "a", 1)]
+    docs = table(spark, data).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in names})
+    whole = Counter(tuple(r) for r in docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        found = Counter(tuple(r) for r in kept.collect())
+        assert found and set(found) <= set(whole), name
+        if name in ("quality classifier", "benchmark decontamination"):  # repeated rows share a fate
+            assert all(n == whole[r] for r, n in found.items()), name
+        if name == "n-gram Jaccard join":
+            assert sum(r[0] is None and r[1] == prose(77, 60) for r in found.elements()) == 1 and sum(r[0] == 101 for r in found.elements()) == 2
+    assert corpus_pipeline.sharding(spark, docs, "").count() == sum(whole.values())
+
+
 def test_pipeline_mixing_meets_targets(spark):
     import corpus_pipeline
 

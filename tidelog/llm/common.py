@@ -109,10 +109,15 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
 
 
 def shield(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
-    """(``docs`` without columns of these names, which get others; the old name of each), for operators that would replace them."""
+    """(``docs`` whose columns of these names got others; the new name of each), for operators that would replace them."""
     clash = [c for c in docs.columns if c.lower() in names]
-    other = dict(zip(fresh(docs, *[f"user_{c}" for c in clash]), clash, strict=True))
-    return docs.withColumnsRenamed({old: new for new, old in other.items()}), other
+    other = dict(zip(clash, fresh(docs, *[f"user_{c}" for c in clash]), strict=True))
+    return docs.withColumnsRenamed(other), other
+
+
+def unshield(result: DataFrame, docs: DataFrame, other: dict[str, str]) -> DataFrame:
+    """The columns of ``docs`` alone, under their own names again."""
+    return result.select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns])
 
 
 #: Rows of two or three numbers that are broadcast at most (some 50 MB as a hash table).
@@ -124,6 +129,23 @@ def small_or_merged(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("merge")
 
 
+#: Part of all rows from which a key is hot, and tasks that share one.
+HOT_PART, SALTS = 1000, 64
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, tie: str) -> DataFrame:
+    """``left`` joined with ``right``, a written table of one row a key with ``count`` rows on the left, of ``total`` in all.
+
+    Keys of more than a thousandth of all rows are at most a thousand, so their list is broadcast
+    whatever the size of the table; ``tie`` deals their rows to several tasks.
+    """
+    hot = F.col(count) > max(total // HOT_PART, HOT_PART)
+    listed = F.broadcast(right.where(hot).select(key, F.lit(True).alias("_hot")))
+    dealt = left.join(listed, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(tie), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    spread = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def ranges_for(size: int, each: int, least: int = 8) -> int:
     """Ranges of hashes, so that each holds ``each`` bytes of ``size`` on average."""
     return max(least, -(-size // each))

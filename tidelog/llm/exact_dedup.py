@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import SPACE, as_bytes, cut
+from tidelog.llm.common import SPACE, as_bytes, cut, salted_join
 
 #: Cells of the filter: a power of two, about 32 for each row, within these bounds (512 KB as bits on every executor at most 64 MB).
 CELLS_PER_ROW, LEAST_CELLS, MOST_CELLS = 32, 1 << 16, 1 << 29
@@ -77,7 +77,7 @@ def exact_dedup(docs: DataFrame, cells_per_row: int = CELLS_PER_ROW, most_cells:
     most code points in its original text stays, then the smallest doc_id (a null id first); of
     rows that agree in both exactly one stays. Other columns are ignored; an empty table gives
     an empty result. Beyond ``most_cells`` the filter lets more unique rows through to the
-    shuffle, never fewer repeated ones.
+    shuffle (a few dozen bytes each), never fewer repeated ones.
     """
     spark = docs.sparkSession
     digests = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests, "doc_id long, sha binary, n_chars long").withColumn("rid", F.monotonically_increasing_id()))
@@ -94,8 +94,8 @@ def exact_dedup(docs: DataFrame, cells_per_row: int = CELLS_PER_ROW, most_cells:
 
     looked = digests.mapInArrow(look_up, "doc_id long, sha binary, n_chars long, rid long, maybe boolean")
     maybe = looked.where("maybe").drop("maybe")
-    groups = maybe.groupBy("sha").agg(F.min(F.struct((-F.col("n_chars")).alias("n"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = cut(maybe.groupBy("sha").agg(F.min(F.struct((-F.col("n_chars")).alias("n"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size")))
     sha = F.lower(F.hex("sha")).alias("text_sha256")
-    shuffled = maybe.join(groups, "sha").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), sha)
+    shuffled = salted_join(maybe, groups, "sha", "group_size", rows, "rid").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), sha)
     straight = looked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     return straight.unionByName(shuffled)

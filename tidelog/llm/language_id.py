@@ -82,7 +82,14 @@ def _pieces(texts: list[str | None]):
 
 def _count(batches):
     """Counts of n-grams by language over a task's training texts."""
-    counts: dict[str, np.ndarray] = {}
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(lang: str, codes: np.ndarray, n: np.ndarray) -> None:
+        parts = held.setdefault(lang, [])
+        parts.append((codes, n))
+        if len(parts) > 8:  # memory follows the different n-grams, not the possible ones
+            parts[:] = [_sum(parts)]
+
     for b in batches:
         for run in _pieces(texts := b.column("text").to_pylist()):
             ids, langs = b.column("doc_id").to_pylist(), b.column("lang").to_pylist()
@@ -90,14 +97,20 @@ def _count(batches):
             owner, codes = trigrams([texts[i] for i in use])
             of = np.array([langs[i] for i in use], object)
             for lang in set(of.tolist()):
-                got = np.bincount(codes[(of == lang)[owner]], minlength=CODES).astype(np.int64)
-                counts[lang] = counts[lang] + got if lang in counts else got
-    for lang, n in counts.items():
-        seen = np.flatnonzero(n)
+                add(lang, *np.unique(codes[(of == lang)[owner]], return_counts=True))
+    for lang, parts in held.items():
+        seen, n = _sum(parts)
         for k in range(SLICES):
-            own = seen[seen % SLICES == k]
-            if len(own):
-                yield pa.RecordBatch.from_pydict({"lang": [lang], "slice": pa.array([k], pa.int32()), "codes": [own.astype("<i4").tobytes()], "counts": [n[own].astype("<i8").tobytes()]})
+            own = seen % SLICES == k
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "slice": pa.array([k], pa.int32()), "codes": [seen[own].astype("<i4").tobytes()], "counts": [n[own].astype("<i8").tobytes()]})
+
+
+def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    out = np.zeros(len(codes), np.int64)
+    np.add.at(out, at, np.concatenate([n for _, n in parts]))
+    return codes, out
 
 
 def _add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -142,7 +155,7 @@ def learn(docs: DataFrame, seed: int = 5, dimensions: int = DIMENSIONS) -> tuple
 
 def _predict(langs: list[str], made: np.ndarray, seed: int):
     def run(batches):
-        known, dots = np.zeros(CODES, bool), np.zeros((CODES, len(langs)), np.float32)
+        place, dots = np.full(CODES, -1, np.int32), np.zeros((0, len(langs)), np.float32)  # products of the n-grams seen so far
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             best, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -151,11 +164,11 @@ def _predict(langs: list[str], made: np.ndarray, seed: int):
                 if not len(codes) or not langs:
                     continue
                 new = np.unique(codes)
-                new = new[~known[new]]
-                for i in range(0, len(new), 4096):
-                    dots[new[i : i + 4096]] = gram_vectors(new[i : i + 4096], seed, made.shape[1]).astype(np.float32) @ made.T
-                known[new] = True
-                sums = np.stack([np.bincount(owner, dots[codes, k], len(run)) for k in range(len(langs))], 1)
+                new = new[place[new] < 0]
+                place[new] = len(dots) + np.arange(len(new))
+                dots = np.concatenate([dots, *[gram_vectors(new[i : i + 4096], seed, made.shape[1]).astype(np.float32) @ made.T for i in range(0, len(new), 4096)]])
+                at = place[codes]
+                sums = np.stack([np.bincount(owner, dots[at, k], len(run)) for k in range(len(langs))], 1)
                 has = np.bincount(owner, minlength=len(run)) > 0
                 for j, i in enumerate(run):
                     if has[j]:

@@ -21,8 +21,8 @@ from tidelog.llm.common import cut, mix, split_words
 from tidelog.llm.rolling import span_hashes
 from tidelog.llm.substring_dedup import _one, gathered
 
-#: Hashed features, and documents that train the scorer at most (the ones with the smallest hashes of their ids).
-FEATURES, SAMPLE = 1 << 13, 20_000
+#: Hashed features, documents that train the scorer at most (the ones with the smallest hashes of their ids), and features of one of them (the heaviest).
+FEATURES, SAMPLE, MOST_FEATURES = 1 << 13, 20_000, 1024
 ABSTAIN, GOOD, BAD = 0, 1, 2
 #: Words from which shares mean something.
 LEAST_WORDS = 20
@@ -117,11 +117,11 @@ def statistics(text: pa.Array) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
 
 
 def votes(s: pd.DataFrame) -> np.ndarray:
-    """A row of votes for each document; texts of few words get votes on what few words can show."""
-    enough = s["n"] >= LEAST_WORDS
+    """A row of votes for each document; texts of few words get votes on what few words can show, and blank ones none."""
+    enough, some = s["n"] >= LEAST_WORDS, s["n"] > 0
 
     def vote(good, bad, when=True):
-        return np.where(when & bad, BAD, np.where(when & good, GOOD, ABSTAIN))
+        return np.where(when & some & bad, BAD, np.where(when & some & good, GOOD, ABSTAIN))
 
     return np.stack(
         [
@@ -162,13 +162,19 @@ def _vote(threshold: int):
         for t in gathered(batches, "text"):
             s, doc, shape = statistics(_one(t.column("text")))
             pattern = votes(s) @ (3 ** np.arange(8))
-            chosen = t.column("h").to_numpy() < threshold
-            d, f, v = features(s, doc, shape)
-            order = np.argsort(d, kind="stable")
-            d, f, v = d[order], f[order], v[order]
-            edges = np.searchsorted(d, np.arange(len(s) + 1))
-            feats = [f[a:b].astype("<i4").tobytes() if c else None for a, b, c in zip(edges, edges[1:], chosen, strict=False)]
-            values = [v[a:b].astype("<f4").tobytes() if c else None for a, b, c in zip(edges, edges[1:], chosen, strict=False)]
+            chosen = (t.column("h").to_numpy() < threshold) & (pattern > 0)
+            feats, values = [None] * len(s), [None] * len(s)
+            own = np.flatnonzero(chosen)
+            if len(own):
+                of = np.full(len(s), -1)
+                of[own] = np.arange(len(own))
+                d, f, v = features(s.iloc[own].reset_index(drop=True), of[doc][chosen[doc]], shape[chosen[doc]])
+                order = np.lexsort((-v, d))
+                d, f, v = d[order], f[order], v[order]
+                edges = np.searchsorted(d, np.arange(len(own) + 1))
+                for i, a, b in zip(own, edges, edges[1:], strict=False):
+                    b = min(b, a + MOST_FEATURES)
+                    feats[i], values[i] = f[a:b].astype("<i4").tobytes(), (v[a:b] / np.sqrt((v[a:b] ** 2).sum())).astype("<f4").tobytes()
             yield pa.RecordBatch.from_pydict({"pattern": pa.array(pattern.astype(np.int32)), "h": pa.array(t.column("h").to_numpy()), "feats": pa.array(feats, pa.binary()), "vals": pa.array(values, pa.binary())})
 
     return run
@@ -239,9 +245,10 @@ def _score(weights):
 def classify_quality(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)``, one row for each, with ``quality_score`` (0 to 1), ``weak_posterior`` and ``keep``.
 
-    ``keep`` is whether the score reaches ``least``. A null or blank text scores 0 and goes. Votes of
-    all rows set the labellers' accuracies; ``sample`` bounds the rows that train the scorer, chosen
-    by a hash of the id. Repeated rows each get a row. Columns of ``docs`` with the names of results
+    ``keep`` is whether the score reaches ``least``. A null or blank text scores 0 and goes; it gets no
+    vote, so its posterior is the prior, and it trains nothing. Votes of all other rows set the
+    labellers' accuracies; ``sample`` bounds the rows that train the scorer, chosen by a hash of the
+    id, and ``MOST_FEATURES`` the features of each, so that the driver holds some 160 MB at most. Repeated rows each get a row. Columns of ``docs`` with the names of results
     are replaced. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -252,9 +259,10 @@ def classify_quality(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5)
     threshold = min(1 << 40, (1 << 40) * sample * 11 // 10 // max(n, 1))
     voted = cut(keyed.mapInArrow(_vote(threshold), "pattern int, h long, feats binary, vals binary"))
     counted = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3**8 rows
+    counted = counted[counted["pattern"] > 0]  # a document without a vote says nothing of the labellers
     patterns = counted["pattern"].to_numpy()[:, None] // 3 ** np.arange(8) % 3
-    posterior, _, _ = expectation_maximisation(patterns, counted["n"].to_numpy(np.float64))
-    by_pattern = np.zeros(3**8)
+    posterior, _, prior = expectation_maximisation(patterns, counted["n"].to_numpy(np.float64))
+    by_pattern = np.full(3**8, prior)
     by_pattern[counted["pattern"].to_numpy(np.int64)] = posterior
     chosen = voted.where(F.col("feats").isNotNull()).orderBy("h").limit(sample).toPandas()
     weights = spark.sparkContext.broadcast(train(list(chosen["feats"]), list(chosen["vals"]), by_pattern[chosen["pattern"].to_numpy(np.int64)]))

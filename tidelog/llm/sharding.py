@@ -154,10 +154,10 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES) -> DataFrame:
     cuts = find_cuts(digests.groupBy("gk").agg(F.sum("size").alias("size")), shards, ranges)
     number = sum((F.when(F.col("gk") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     placed = digests.withColumn("shard", number).withColumn("part", F.shiftright("rid", 33))
-    # rows before a part within its shard: as many numbers as parts times shards
-    counts = placed.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["shard", "part"])
-    counts["before"] = counts.groupby("shard")["n"].cumsum() - counts["n"]
-    starts = spark.createDataFrame(counts[["part", "shard", "before"]], "part long, shard int, before long") if len(counts) else spark.createDataFrame([], "part long, shard int, before long")
+    # rows before a part within its shard
+    counts = placed.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.select("part", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")))
     within = F.row_number().over(Window.partitionBy("part", "shard").orderBy("rid")) - 1
     return placed.withColumn("within", within).join(starts, ["part", "shard"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("within")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
