@@ -13,7 +13,7 @@ from conftest import DATA
 from fixtures import SCHEMA, prose, rows, table, words
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, queries, secret_scan, sharding, substring_dedup
+from tidelog.llm import common, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality, queries, secret_scan, sharding, substring_dedup
 from tidelog.llm.components import components
 
 
@@ -395,6 +395,18 @@ def test_line_dedup_of_every_run(spark):
     assert sum(r["n_removed"] for r in found if (r["doc_id"] or 0) >= 1000) >= 6 * (2 + 4 + 8 + 12)
 
 
+def test_line_dedup_of_one_id_and_clashing_columns(spark, monkeypatch):
+    shared = "\n".join(f"line {j}" for j in range(12))
+    data = [(7, shared, "a"), (7, "own\nhead\n" + shared, "b"), (7, "quite\nother\ntext", "c"), (7, "quite\nother\ntext", "d"), (None, shared, "e"), (9, None, "f"), (9, "", "g")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lines string").withColumns({c: F.col("lines") for c in ("id", "dk", "gone", "work", "span_id", "ends")})
+    for rows_ in (1_000_000, 0):  # broadcast and merged
+        monkeypatch.setattr(common, "BROADCAST_ROWS", rows_)
+        found = {r["lines"]: r for r in got(line_dedup.line_dedup(df, every_run=True))}
+        assert all(r[c] == r["lines"] for r in found.values() for c in ("id", "dk", "gone", "work", "span_id", "ends"))
+        assert sorted(r["n_removed"] for r in (found["a"], found["b"], found["e"])) == [0, 12, 12] and found["e"]["n_removed"] == 0  # a null id comes first
+        assert found["c"]["n_removed"] == found["d"]["n_removed"] == 0 and found["f"]["clean_text"] is None and found["g"]["clean_text"] == "" and found["b"]["clean_text"] == "own\nhead"
+
+
 def test_registered_line_dedup_removes_every_repeated_line(spark):
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     want = plain_repeated_lines(data)
@@ -605,7 +617,7 @@ ITEMS = [
 ]
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     inside = lambda x: f"some prose before it. {x} and prose after it."
     data = rows() + [
         (301, inside(ITEMS[0][1]), "en", "a", 0),
@@ -616,8 +628,9 @@ def test_decontamination(spark):
         (306, "Well, SHORT item.", "en", "a", 0),
     ]
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for block in (1_000_000, 10):
-        found = {r["doc_id"]: r for r in got(decontaminate.decontaminate(table(spark, data), bench, block_words=block))}
+    for at_once, broadcast in ((2_000_000, 200_000), (200, 0)):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+        found = {r["doc_id"]: r for r in got(decontaminate.decontaminate(table(spark, data), bench, at_once=at_once))}
         hits = {i: r["item_ids"] for i, r in found.items() if r["contaminated"]}
         assert hits == {301: [1], 302: [1], 303: [2], 306: [3]}  # 304 fills a name in two ways
     leak = found[301]["leaks"][0]
@@ -652,6 +665,95 @@ def test_decontamination_keeps_the_consistent_part_of_a_run(spark):
     assert decontaminate.consistent_runs(0, 20, [(2, "a", "x"), (5, "b", "y"), (9, "a", "z"), (12, "b", "y")]) == [(0, 9), (3, 20)]
 
 
+def test_decontamination_of_leading_names(spark):
+    items = ["Alice has 4 apples and buys 3 more apples from the store.", "There are 12 boxes. Karl moves 5 of them to Oslo. Nora moves the rest to Bergen by train."]
+    texts = [f"If {items[0]}", items[0].replace("Alice", "Bob").replace("4", "9").replace("3", "5"), "Then " + items[0].replace("Alice", "Bob").replace("4", "9"), items[1].replace("Karl", "Mona").replace("Oslo", "Rome").replace("12", "31"), items[0].lower(), items[1].replace("Oslo", "Bergen"), "Bob has 9 pears and sells 5 more pears to the store."]
+    assert leaked(spark, items, texts) == [[0], [0], [0], [1], [0], [1], []]
+
+
+QUESTIONS = (
+    "{A} buys {n} {u} of flour and {m} eggs at the market in {P}. {B} buys twice as much. How much flour do {A} and {B} have together?",
+    "A train leaves {P} at a speed of {n} {u} and reaches {Q} after {m} hours. How far apart are {P} and {Q}?",
+    "{A} reads {n} pages on Monday and {m} pages on Tuesday. The book has {k} pages in all. How many pages are left for {A} to read?",
+    "If {A} earns {n} dollars in a week and saves {m} dollars of it, how long does {A} need to save {k} dollars for a bicycle?",
+    "The garden of {B} is {n} {u} long and {m} {u} wide. {B} puts a fence around it. What length of fence does {B} need?",
+    "Write down the sum of {n} and {m} and multiply the result by {k} before you divide by the smaller number of the two.",
+    "{A}, {B} and {P} are three friends who share {n} sweets so that {A} gets {m} more than the others. How many does each get?",
+    "Water flows into a tank at {n} {u} and out of it at {m} {u}. After how many minutes does the tank hold {k} liters of water?",
+)
+
+
+def filled(r, template):
+    names = r.choice("Alice Robert Clara Dmitri Elena Farid Greta Hiro Ines Jonas Katya Liam Maria Nadia Oskar Paula".split(), 4, replace=False)
+    return template.format(A=names[0], B=names[1], P=names[2], Q=names[3], n=r.integers(2, 99), m=r.integers(100, 999), k=r.integers(1000, 9999), u=r.choice(["km", "kg", "meters", "liters", "mph"]))
+
+
+def test_recall_of_questions_with_other_parameters(spark):
+    r = np.random.default_rng(11)
+    items = [filled(r, q) for q in QUESTIONS]
+    texts = [f"{prose(1000 + k, int(r.integers(0, 40)))} {filled(r, QUESTIONS[k % len(QUESTIONS)])} {prose(2000 + k, 20)}" for k in range(160)]
+    others = [prose(3000 + k, 60) + f" {r.integers(2, 99)} km from Paris to Rome in 3 hours" for k in range(100)]
+    found = leaked(spark, items, texts + others)
+    right = [found[k] == [k % len(QUESTIONS)] for k in range(len(texts))]
+    assert np.mean(right) >= 0.95 and not any(found[len(texts) :])
+
+
+def plain_templates(text):
+    """(kinds, cores in lower case) of a text, word by word."""
+    kinds, cores = [], []
+    for w in words(text):
+        kind, core = decontaminate._kind(w)
+        kinds.append(0 if kind == decontaminate.UNIT and (not kinds or kinds[-1] != decontaminate.NUM) else kind)
+        cores.append(core.lower())
+    return kinds, cores
+
+
+def plain_leaks(item, text, window=8, least_run=13):
+    """Spans of ``text`` that leak ``item``: each alignment of the two, window by window."""
+    (ik, iw), (dk, dw), out = plain_templates(item), plain_templates(text), set()
+    if not iw:
+        return out
+    width, least = min(window, len(iw)), min(len(iw), least_run)
+    for shift in range(-len(iw) + 1, len(dw)):
+        both = [p for p in range(len(iw)) if 0 <= p + shift < len(dw)]
+        fits = {p for p in both if ik[p] == dk[p + shift] and (ik[p] or iw[p] == dw[p + shift])}
+        same = {p for p in both if iw[p] == dw[p + shift]}
+        hit = [p for p in both if all(q in same for q in range(p, p + width)) or all(q in fits for q in range(p, p + width)) and sum(not ik[q] for q in range(p, p + width)) >= min(4, width)]
+        runs = []
+        for p in hit:
+            if runs and p <= runs[-1][1]:
+                runs[-1][1] = p + width
+            else:
+                runs.append([p, p + width])
+        for a, b in runs:
+            slots = [(p + shift, (ik[p] or dk[p + shift], iw[p]), dw[p + shift]) for p in range(a, b) if ik[p] or dk[p + shift]]
+            out |= {(u, v) for u, v in decontaminate.consistent_runs(a + shift, b + shift, slots) if v - u >= least}
+    return out
+
+
+def test_decontamination_equals_a_plain_matcher(spark):
+    r = np.random.default_rng(12)
+    items = [filled(r, q) for q in QUESTIONS] + ["7 + 5", "no", "12 km 3 hours", "Alice Bob Carol Dora Emma", "", "the the the the the the the the the", "Kilometers are longer than miles by none at all"]
+    texts = ["", "7 + 5 no", "no no the the the the the the the the the the the", "12 Kilometers are longer than miles by none at all", *items]
+    for k in range(120):
+        w = words(" ".join(filled(r, QUESTIONS[i]) for i in r.choice(len(QUESTIONS), 2)))
+        for i in r.integers(0, len(w), int(r.integers(0, 6))):
+            w[i] = str(r.choice(["9", "Zoe", "word", "km", "the", w[int(r.integers(0, len(w)))]]))
+        texts.append(" ".join(w[int(r.integers(0, 10)) :]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = got(decontaminate.decontaminate(table(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)]), bench))
+    want = {i: sorted((k, *span) for k, item in enumerate(items) for span in plain_leaks(item, t)) for i, t in enumerate(texts)}
+    assert {x["doc_id"]: [tuple(y) for y in x["leaks"]] for x in found} == want and sum(map(len, want.values())) > 100
+
+
+def test_decontamination_by_a_long_benchmark_and_repeated_ids(spark):
+    bench = spark.range(20000).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{j}x"), F.col("id").cast("string")) for j in range(16)]).alias("text"))
+    line = " ".join(f"w{j}x777" for j in range(16))
+    data = [(1, f"so {line}", "en", "a", 0), (1, "other text", "en", "a", 0), (None, line, "en", "a", 0), (2, line[:60], "en", "a", 0)]
+    found = got(decontaminate.decontaminate(table(spark, data), bench.unionByName(spark.createDataFrame([(777, "another text of one id"), (None, line)], "item_id long, text string"))))
+    assert sorted((r["doc_id"] or -1, r["item_ids"]) for r in found) == [(-1, [777]), (1, []), (1, [777]), (2, [])]
+
+
 def test_decontamination_of_the_driver_tables(spark):
     docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: r.text for r in bench.collect()}

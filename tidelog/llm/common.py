@@ -133,17 +133,18 @@ def small_or_merged(written: DataFrame) -> DataFrame:
 HOT_PART, SALTS = 1000, 64
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, count: str, total: int, tie: str) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: str | list[str], count: str, total: int, tie: str) -> DataFrame:
     """``left`` joined with ``right``, a written table of one row a key with ``count`` rows on the left, of ``total`` in all.
 
     Keys of more than a thousandth of all rows are at most a thousand, so their list is broadcast
     whatever the size of the table; ``tie`` deals their rows to several tasks.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     hot = F.col(count) > max(total // HOT_PART, HOT_PART)
-    listed = F.broadcast(right.where(hot).select(key, F.lit(True).alias("_hot")))
-    dealt = left.join(listed, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(tie), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    listed = F.broadcast(right.where(hot).select(*keys, F.lit(True).alias("_hot")))
+    dealt = left.join(listed, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(tie), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
     spread = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+    return dealt.join(spread, [*keys, "_salt"]).drop("_salt")
 
 
 def ranges_for(size: int, each: int, least: int = 8) -> int:

@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows.
 
 Words become templates: numbers, units and names turn into typed placeholders, other words
-into their lower case without outer punctuation. Hashes of template windows of the benchmark
-join those of the documents; aligned hits form runs, and a run counts as far as its placeholders
-are filled consistently, so the same question with other parameters is found too. Windows
-whose first word reads differently elsewhere, or with too few literal words, join word by word.
+into their lower case without outer punctuation. Windows of the benchmark, as templates and word
+by word, are hash-joined with those of the documents; a Bloom filter of the benchmark's hashes, of
+bounded size, keeps all other windows of the documents out of the shuffle. Aligned hits form
+runs, and a run counts as far as its placeholders are filled consistently, so the same
+question with other parameters is found too. Hits bring hashes of their words along, so texts stay where they are.
 """
 
 from __future__ import annotations
@@ -13,19 +14,22 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import mix, split_words, string_hashes
+from tidelog.llm.common import cut, doc_key, fresh, key_of, mix, ranges_for, small_or_merged, split_words, string_hashes
 from tidelog.llm.rolling import span_hashes, window_starts
-from tidelog.llm.substring_dedup import _one, gathered
+from tidelog.llm.substring_dedup import AT_ONCE, _one, gathered
 
-#: Words of a window, words that stay literal in it at least, and words of an aligned run from which an item counts as leaked (the whole item if shorter).
+#: Words of a window, words that stay literal in one that is matched as a template, and words of an aligned run from which an item counts as leaked (the whole item if shorter).
 WINDOW, LEAST_LITERAL, LEAST_RUN = 8, 4, 13
-#: Words of benchmark text that are broadcast at a time (some 50 bytes each); a larger benchmark goes in blocks.
-BLOCK_WORDS = 1_000_000
+#: Cells of the filter: a power of two, about 64 for each window, within these bounds (64 MB as bits at most); cells of one part of it.
+CELLS_PER_WINDOW, LEAST_CELLS, MOST_CELLS, SEGMENT = 64, 1 << 22, 1 << 29, 1 << 16
+#: Windows of the benchmark that are broadcast at most (some 200 bytes each), and hits that one task follows.
+BROADCAST_WINDOWS, TASK_HITS = 200_000, 100_000
 
 # Unit words that follow a number.
 UNITS = frozenset(
@@ -38,19 +42,32 @@ PLAIN, NUM, UNIT, NAME, MIXED = range(5)
 EXACT = 1 << 32
 
 
-def _kind(word: str) -> tuple[int, str, bool]:
-    """(what the word can be, its core, whether a sentence ends with it)."""
+# Words that open sentences and aren't names, though they have a capital there.
+COMMON = frozenset(
+    "the a an this that these those there here it its he she they we you i my your his her our their if when while after before because since although though as at by for from in into of on to with without within "
+    "what which who whom whose where why how and or but nor so yet not no yes let lets given suppose assume consider find calculate compute determine solve write explain show prove answer choose select name list state "
+    "is are was were be been do does did can could will would shall should may might must have has had one two three four five six seven eight nine ten each every all some many most both any other another then next now "
+    "how's what's first second last only also during under over between through per than once until about".split()
+)
+NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
+MEASURE = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([A-Za-z/%]+)")
+PLAIN, NUM, UNIT, NAME, MIXED = range(5)
+#: Sets hashes of exact windows apart from those of templates.
+EXACT = 1 << 32
+
+
+def _kind(word: str) -> tuple[int, str]:
+    """(what the word can be, its core): the same wherever the word stands, but that a unit follows a number."""
     core = word.strip(".,;:!?\"'()[]{}<>«»“”‘’¿¡")
-    ends = word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", "")
     if NUMBER.fullmatch(core):
-        return NUM, core, ends
+        return NUM, core
     if (m := MEASURE.fullmatch(core)) and m[2].lower() in UNITS:
-        return MIXED, core, ends
+        return MIXED, core
     if core.lower() in UNITS:
-        return UNIT, core, ends
-    if len(core) > 1 and core[0].isupper() and core[1:].islower():
-        return NAME, core, ends
-    return PLAIN, core, ends
+        return UNIT, core
+    if len(core) > 1 and core[0].isupper() and core[1:].islower() and core.lower() not in COMMON:
+        return NAME, core
+    return PLAIN, core
 
 
 @lru_cache(1)
@@ -58,82 +75,104 @@ def _placeholders() -> np.ndarray:
     return string_hashes(pa.array(["\0plain", "\0number", "\0unit", "\0name", "\0measure"]), 7)
 
 
-def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(words per row, template hashes, placeholder kinds, distinct cores, core of each word, word hashes, kinds apart from the word before)."""
+def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words per row, template hashes, kinds, hashes of the words' cores in lower case)."""
     counts, words = split_words(text, lower=False)
     coded = pc.dictionary_encode(words)
     at = coded.indices.to_numpy()
     known = [_kind(w) for w in coded.dictionary.to_pylist()]
-    kind = np.array([k for k, _, _ in known], np.int8)[at] if known else np.zeros(0, np.int8)
-    ends = np.array([e for _, _, e in known], bool)[at] if known else np.zeros(0, bool)
-    cores = pa.array([c for _, c, _ in known], pa.string())
-    literal = string_hashes(pc.utf8_lower(cores).cast(pa.string()), 7)[at] if known else np.zeros(0, np.uint64)
-    opens = np.concatenate([[True], ends[:-1]])[: len(kind)]
-    opens[(np.cumsum(counts) - counts)[counts > 0]] = True
+    kind = np.array([k for k, _ in known], np.int8)[at] if known else np.zeros(0, np.int8)
+    literal = string_hashes(pc.utf8_lower(pa.array([c for _, c in known], pa.string())).cast(pa.string()), 7)[at] if known else np.zeros(0, np.uint64)
     after = np.concatenate([[False], kind[:-1] == NUM])[: len(kind)]
-    alone, kind = kind, np.where((kind == NAME) & opens | (kind == UNIT) & ~after, PLAIN, kind)
-    return counts, np.where(kind == PLAIN, literal, _placeholders()[kind]), kind, cores, at, literal, alone
+    after[(np.cumsum(counts) - counts)[counts > 0]] = False
+    kind = np.where((kind == UNIT) & ~after, PLAIN, kind)
+    return counts, np.where(kind == PLAIN, literal, _placeholders()[kind]), kind, literal
 
 
-def _enough(kind, at, width):
+def _windows(counts, hashes, kind, literal, width):
+    """(document, position, hash) of the windows as templates, if they have enough literal words, and word by word."""
+    doc, at = window_starts(counts, width)
     plain = np.concatenate([[0], np.cumsum(kind == PLAIN)])
-    return plain[at + width] - plain[at] >= min(LEAST_LITERAL, width)
+    enough = plain[at + width] - plain[at] >= min(LEAST_LITERAL, width)
+    exact = mix(span_hashes(literal, at, at + width) + np.uint64(width + EXACT))
+    template = mix(span_hashes(hashes, at[enough], at[enough] + width) + np.uint64(width))
+    return np.concatenate([doc[enough], doc]), np.concatenate([at[enough], at]), np.concatenate([template, exact])
 
 
-def _windows(counts, hashes, kind, width):
-    doc, at = window_starts(counts, width)
-    enough = _enough(kind, at, width)
-    doc, at = doc[enough], at[enough]
-    return doc, at, mix(span_hashes(hashes, at, at + width) + np.uint64(width))
+def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h & np.uint64(cells - 1)).astype(np.int64), (mix(h ^ np.uint64(0x5BD1)) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def _exact_windows(counts, literal, width):
-    doc, at = window_starts(counts, width)
-    return doc, at, mix(span_hashes(literal, at, at + width) + np.uint64(width + EXACT))
-
-
-def _table(item, pos, h):
-    """Window hashes in order, their items and positions, and a filter of hashes."""
-    order = np.argsort(h, kind="stable")
-    bits = np.zeros(1 << 20, bool)
-    bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    return h[order], item[order], pos[order], bits
-
-
-def _hits(table, doc, at, h):
-    """(doc, position, item, item's position) of equal window hashes."""
-    known, item, pos, bits = table
-    may = bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-    doc, at, h = doc[may], at[may], h[may]
-    lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-    n = hi - lo
-    which = np.repeat(np.arange(len(h)), n)
-    hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-    return doc[which], at[which], item[hit], pos[hit]
-
-
-class Items:
-    """A block of the benchmark: its words, kinds and sorted window hashes (of templates and of exact words), by window width."""
-
-    def __init__(self, ids: list, texts: list[str], window: int):
-        self.ids = ids
-        self.counts, hashes, self.kind, cores, at, literal, alone = templates(pa.array(texts, pa.large_string()))
-        self.words = np.array(cores.to_pylist(), object)[at] if len(at) else np.zeros(0, object)
-        # the first word of an item may be a name or unit where another word stands before it
-        first = (np.cumsum(self.counts) - self.counts)[self.counts > 0]
-        other = first[alone[first] != self.kind[first]]
-        hashes2, kind2 = hashes.copy(), self.kind.copy()
-        hashes2[other], kind2[other] = _placeholders()[alone[other]], alone[other]
-        self.by_width = {}
-        for width in sorted({window, *(int(c) for c in self.counts if 0 < c < window)}):
-            own = np.where(self.counts >= window, window, self.counts) == width
-            item, pos, h = _windows(self.counts, hashes, self.kind, width)
-            item2, pos2, h2 = _windows(self.counts, hashes2, kind2, width)
-            again = np.isin(pos2, other)
-            item, pos, h = np.concatenate([item, item2[again]]), np.concatenate([pos, pos2[again]]), np.concatenate([h, h2[again]])
-            exact, at, g = _exact_windows(self.counts, literal, width)
-            needed = own[exact] & (np.isin(alone[at], (NAME, UNIT)) | ~_enough(self.kind, at, width) | ~_enough(kind2, at, width))
-            self.by_width[width] = _table(item[own[item]], pos[own[item]], h[own[item]]), _table(exact[needed], at[needed], g[needed])
+FOUND = "h long, at int, width int, kinds binary, words binary"
+
+
+def _found(counts, kind, literal, doc, at, h, width, keys: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Rows of windows with the kinds and hashes of their words; ``keys`` are columns by document."""
+    span = at[:, None] + np.arange(width)
+    words, kinds = literal[span].astype("<u8"), kind[span].astype(np.int8)
+    cols = {k: pa.array(v[doc]) for k, v in keys.items()}
+    cols |= {"h": pa.array(h.view(np.int64)), "at": pa.array((at - (np.cumsum(counts) - counts)[doc]).astype(np.int32)), "width": pa.array(np.full(len(at), width, np.int32))}
+    cols |= {"kinds": pa.array([x.tobytes() for x in kinds], pa.binary()), "words": pa.array([x.tobytes() for x in words], pa.binary())}
+    return pa.RecordBatch.from_pydict(cols)
+
+
+def _item_windows(window: int):
+    def run(batches):
+        for t in gathered(batches, "text"):
+            counts, hashes, kind, literal = templates(_one(t.column("text")))
+            keys = {"item_id": t.column("item_id").to_numpy(), "ik": t.column("ik").to_numpy(), "n": counts}
+            for width in sorted({min(window, int(c)) for c in counts if c}):
+                doc, at, h = _windows(counts, hashes, kind, literal, width)
+                own = np.minimum(counts[doc], window) == width
+                if own.any():
+                    yield _found(counts, kind, literal, doc[own], at[own], h[own], width, keys)
+
+    return run
+
+
+def _bits(cells: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(SEGMENT, bool)
+        hit[pdf["cell"].to_numpy() % SEGMENT] = True
+        return pd.DataFrame({"seg": [int(pdf["seg"].iloc[0])], "bits": [np.packbits(hit).tobytes()]})
+
+    return run
+
+
+def _cell_rows(cells: int):
+    def run(batches):
+        for b in batches:
+            hit = np.unique(np.concatenate(_cells(b.column("h").to_numpy().view(np.uint64), cells)))
+            yield pa.RecordBatch.from_pydict({"seg": pa.array((hit // SEGMENT).astype(np.int32)), "cell": pa.array(hit)})
+
+    return run
+
+
+def window_filter(windows: DataFrame, n: int) -> tuple[bytes, int]:
+    """(bits, cells) of a Bloom filter of the hashes of n windows: ``cells / 8`` bytes, whatever n."""
+    cells = 1 << max(LEAST_CELLS.bit_length() - 1, min(MOST_CELLS.bit_length() - 1, (max(n, 1) * CELLS_PER_WINDOW).bit_length()))
+    bits = bytearray(cells // 8)
+    rows = windows.select("h").mapInArrow(_cell_rows(cells), "seg int, cell long")
+    for r in rows.groupBy("seg").applyInPandas(_bits(cells), "seg int, bits binary").toLocalIterator():
+        bits[r.seg * SEGMENT // 8 : (r.seg + 1) * SEGMENT // 8] = r.bits
+    return bytes(bits), cells
+
+
+def _doc_windows(filter_, cells: int, widths: list[int], at_once: int):
+    def run(batches):
+        packed = np.frombuffer(filter_.value, np.uint8)
+        for t in gathered(batches, "text", at_once):
+            counts, hashes, kind, literal = templates(_one(t.column("text")))
+            keys = {"id": t.column("id").to_numpy(), "dk": t.column("dk").to_numpy()}
+            for width in widths:
+                doc, at, h = _windows(counts, hashes, kind, literal, width)
+                may = np.ones(len(h), bool)
+                for cell in _cells(h, cells):
+                    may[may] = (packed[cell[may] >> 3] >> (7 - (cell[may] & 7)).astype(np.uint8)) & 1 == 1
+                if may.any():
+                    yield _found(counts, kind, literal, doc[may], at[may], h[may], width, keys)
+
+    return run
 
 
 def consistent_runs(start: int, end: int, slots) -> list[tuple[int, int]]:
@@ -149,75 +188,77 @@ def consistent_runs(start: int, end: int, slots) -> list[tuple[int, int]]:
     return [*out, (start, end)]
 
 
-def leaks(items: Items, text: pa.Array, least_run: int) -> list[list[tuple]]:
-    """For each text the (item, start, end) of verified runs; positions are words."""
-    counts, hashes, kind, cores, core_at, literal, _ = templates(text)
-    first, out = np.cumsum(counts) - counts, [[] for _ in range(len(counts))]
-    for width, (by_template, by_words) in items.by_width.items():
-        found = [_hits(by_template, *_windows(counts, hashes, kind, width))]
-        if len(by_words[0]):
-            found.append(_hits(by_words, *_exact_windows(counts, literal, width)))
-        d, a, i, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not len(d):
-            continue
-        order = np.lexsort((a, a - b, i, d))
-        d, a, i, b = d[order], a[order], i[order], b[order]
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | ((a - b)[1:] != (a - b)[:-1]) | (a[1:] > a[:-1] + width)])
-        last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(d) - 1]])
-        for x, y in zip(np.flatnonzero(new), last, strict=True):
-            k, start, end, shift = int(i[x]), int(a[x]), int(a[y]) + width, int(b[x] - a[x])
-            least = min(int(items.counts[k]), least_run)
-            if end - start < least:
-                continue
-            known = items.kind[start + shift : end + shift]
-            kinds = np.where(known != PLAIN, known, kind[start:end])
-            slots = ((start + s, (int(kinds[s]), items.words[start + s + shift]), cores[int(core_at[start + s])].as_py().lower()) for s in np.flatnonzero(kinds != PLAIN).tolist())
-            f = int(first[d[x]])
-            out[d[x]] += [(items.ids[k], u - f, v - f) for u, v in consistent_runs(start, end, slots) if v - u >= least]
-    return out
-
-
-def _search(items, least_run: int):
-    def run(batches):
-        for t in gathered(batches, "text"):
-            t = t.combine_chunks()
-            found = leaks(items.value, _one(t.column("text")), least_run)
-            so_far = t.column("leaks").to_pylist()
-            both = [[(x["item_id"], x["start"], x["end"]) for x in a or []] + b for a, b in zip(so_far, found, strict=True)]
-            column = pa.array([[{"item_id": i, "start": s, "end": e} for i, s, e in sorted(x)] for x in both], LEAKS)
-            yield from t.set_column(t.schema.get_field_index("leaks"), "leaks", column).to_batches()
+def _run(own: pd.DataFrame, least_run: int) -> list[tuple[int, int]]:
+    """The consistent parts, long enough, of one run: hits of one document and item, in order, that overlap or touch and are aligned alike."""
+    start, end = int(own["at"].iloc[0]), int(own["at"].iloc[-1] + own["width"].iloc[-1])
+    least = min(int(own["n"].iloc[0]), least_run)
+    if end - start < least:
+        return []
+    mine, theirs = {}, {}
+    for at, kinds, words, item_kinds, item_words in own[["at", "kinds", "words", "item_kinds", "item_words"]].itertuples(index=False):
+        for into, k, w in ((mine, kinds, words), (theirs, item_kinds, item_words)):
+            into.update(zip(range(at, at + len(k)), zip(k, np.frombuffer(w, "<u8").tolist(), strict=True), strict=True))
+    slots = []
+    for p in range(start, end):
+        kind, filling = mine[p]
+        item_kind, slot = theirs[p]
+        if item_kind != PLAIN or kind != PLAIN:
+            slots.append((p, (item_kind if item_kind != PLAIN else kind, slot), filling))
+    return [(u, v) for u, v in consistent_runs(start, end, slots) if v - u >= least]
+
+
+def _leaks(least_run: int):
+    """(id, dk, leaks) of the documents of one task, from their hits."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf["shift"] = pdf["at"] - pdf["pos"]
+        by = ["id", "dk", "item_id", "ik", "shift"]
+        pdf = pdf.drop_duplicates([*by, "at"]).sort_values([*by, "at"], kind="stable")
+        key, at = pdf[by].to_numpy(), pdf["at"].to_numpy()
+        new = np.concatenate([[True], (key[1:] != key[:-1]).any(1) | (at[1:] > at[:-1] + pdf["width"].to_numpy()[:-1])])
+        edges = [*np.flatnonzero(new).tolist(), len(pdf)]
+        # most runs are too short to matter
+        first, last = np.array(edges[:-1]), np.array(edges[1:]) - 1
+        long = at[last] + pdf["width"].to_numpy()[last] - at[first] >= np.minimum(pdf["n"].to_numpy()[first], least_run)
+        found: dict[tuple[int, int], set] = {}
+        for a, b in zip(first[long].tolist(), last[long].tolist(), strict=True):
+            for u, v in _run(pdf.iloc[a : b + 1], least_run):
+                found.setdefault((int(key[a, 0]), int(key[a, 1])), set()).add((int(key[a, 2]), u, v))
+        return pd.DataFrame([(i, k, [{"item_id": x, "start": u, "end": v} for x, u, v in sorted(rows)]) for (i, k), rows in found.items()], columns=["id", "dk", "leaks"])
 
     return run
 
 
-LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 LEAKS_SQL = "array<struct<item_id:bigint,start:bigint,end:bigint>>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run: int = LEAST_RUN, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run: int = LEAST_RUN, at_once: int = AT_ONCE) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)``, one row for each, with ``leaks`` (item_id, start, end in words), ``item_ids`` and ``contaminated``.
 
     A document is contaminated by an item of ``benchmark(item_id, text)`` when an aligned run of
     matching windows covers ``least_run`` words or the whole item, and fills the
-    placeholders consistently on that length. Null and blank texts, on either side, match nothing. Columns of
-    ``docs`` with the names of results are replaced. Nothing is shuffled: the benchmark is
-    broadcast in blocks of at most ``block_words`` words (or one item), whatever its size.
-    Repeated rows are each judged; with no benchmark nothing is contaminated.
+    placeholders consistently on that length. Null and blank texts, on either side, match nothing, nor do items
+    of a null id. Columns of ``docs`` with the names of results are replaced. Repeated rows share
+    their leaks; with no benchmark nothing is contaminated. Texts are read once and are shuffled only where the list
+    of contaminated documents is too long to broadcast.
     """
     spark = docs.sparkSession
-    rows = docs.drop("leaks", "item_ids", "contaminated").withColumn("leaks", F.array().cast(LEAKS_SQL))
-    schema = rows.schema
-    held, n = [], 0
-
-    def search(rows, held):
-        items = spark.sparkContext.broadcast(Items([i for i, _ in held], [t for _, t in held], window))
-        return rows.mapInArrow(_search(items, least_run), schema)
-
-    for r in benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        held.append((r.item_id, r.text))
-        n += len(r.text) // 2 + 1  # words at most
-        if n >= block_words:
-            rows, held, n = search(rows, held), [], 0
-    if held:
-        rows = search(rows, held)
-    return rows.withColumn("item_ids", F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item_id"])))).withColumn("contaminated", F.size("leaks") > 0)
+    rows = docs.drop("leaks", "item_ids", "contaminated")
+    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("ik"), "text")
+    windows = cut(items.mapInArrow(_item_windows(window), f"item_id long, ik long, n long, {FOUND}").dropDuplicates(["item_id", "ik", "h", "at"]))
+    told = windows.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each width up to the window's
+    n = sum(r.n for r in told)
+    keyed, _, two = doc_key(rows.select("doc_id", "text"))
+    bits, cells = window_filter(windows, n)
+    filter_ = spark.sparkContext.broadcast(bits)
+    theirs = windows.select("h", "item_id", "ik", "n", F.col("at").alias("pos"), F.col("kinds").alias("item_kinds"), F.col("words").alias("item_words"))
+    theirs = F.broadcast(theirs) if n <= BROADCAST_WINDOWS else theirs.hint("merge")
+    mine = keyed.select("id", "dk", "text").mapInArrow(_doc_windows(filter_, cells, sorted(r.width for r in told), at_once), f"id long, dk long, {FOUND}")
+    hits = cut(mine.join(theirs, "h").drop("h"))
+    tasks = ranges_for(hits.count(), TASK_HITS)
+    found = hits.withColumn("task", F.pmod(F.xxhash64("id", "dk"), F.lit(tasks))).groupBy("task").applyInPandas(_leaks(least_run), f"id long, dk long, leaks {LEAKS_SQL}")
+    i, k = fresh(rows, "leak_id", "leak_dk")
+    found = small_or_merged(cut(found).withColumnsRenamed({"id": i, "dk": k}))
+    joined = rows.join(found, (key_of(two)[0] == F.col(i)) & (key_of(two)[1] == F.col(k)), "left").drop(i, k)
+    joined = joined.withColumn("leaks", F.coalesce("leaks", F.array().cast(LEAKS_SQL)))
+    return joined.withColumn("item_ids", F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item_id"])))).withColumn("contaminated", F.size("leaks") > 0)
