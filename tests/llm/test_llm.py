@@ -478,6 +478,13 @@ def test_one_row_of_each_group_stays(spark):
     assert all(data[r["kept_id"]] == (r["doc_id"], r["text"]) and r["gone_id"] == "x" for r in kept)
 
 
+def test_labels_deal_evenly(spark):
+    for n in (1, 8, 70, 211):
+        names = common.labels(n)
+        df = spark.createDataFrame([(int(x),) for x in names], "p int").repartition(n, "p")
+        assert sorted(r.part for r in df.select(F.spark_partition_id().alias("part")).collect()) == list(range(n))
+
+
 def test_overlaps():
     rng = np.random.default_rng(3)
     x, y = ([rng.choice(3000 if k % 3 else 60, rng.integers(0, 50), replace=False).astype(np.uint64) for k in range(n)] for n in (150, 90))

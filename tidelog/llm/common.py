@@ -215,3 +215,26 @@ def stretch(data: bytes) -> np.ndarray:
         return np.zeros(0, np.int64)
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).reshape(-1))
+
+
+def labels(n: int) -> np.ndarray:
+    """n whole numbers of which each lies in another of n partitions when rows are dealt by a hash of them (Murmur3 of 32 bits, seed 42, as Spark deals integers)."""
+    out, start = np.full(n, -1, np.int32), 0
+    while (out < 0).any():
+        x = np.arange(start, start + 4 * n, dtype=np.uint32)
+        turn = lambda v, by: (v << np.uint32(by)) | (v >> np.uint32(32 - by))
+        h = np.uint32(42) ^ (turn(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+        h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+        for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(times)
+        to = h.view(np.int32).astype(np.int64) % n
+        first = np.unique(to, return_index=True)
+        new = out[first[0]] < 0
+        out[first[0][new]] = x[first[1][new]].astype(np.int32)
+        start += 4 * n
+    return out
+
+
+def numbers(names: np.ndarray) -> dict[int, int]:
+    """The place of each label."""
+    return {int(x): i for i, x in enumerate(names)}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import NULL_ID, as_bytes, cut, doc_key, fresh, key_of, mix, ranges_for, small_or_merged, split_words, word_hashes
+from tidelog.llm.common import NULL_ID, as_bytes, cut, doc_key, fresh, key_of, labels, mix, numbers, ranges_for, small_or_merged, split_words, word_hashes
 from tidelog.llm.components import components
 from tidelog.llm.rolling import span_hashes, window_starts
 from tidelog.llm.substring_dedup import AT_ONCE, _one, _parts, gathered
@@ -34,7 +34,7 @@ PERCENT = 75
 #: Shingles of fewer than 2**RARE classes index alone; more frequent ones in pairs, from sets of 2**FIRST_LEVEL shingles on.
 RARE, FIRST_LEVEL = 5, 4
 #: Bytes of text whose shingles one range holds, signatures of one range, members in one row of a group.
-RANGE_BYTES, RANGE_SIGNATURES, SEGMENT = 24 << 20, 2_000_000, 4096
+RANGE_BYTES, RANGE_SIGNATURES, SEGMENT = 12 << 20, 1_000_000, 4096
 #: Sets that are compared with as many others at a time; in how many of them a shingle is frequent, and columns of frequent shingles at a time.
 BLOCK, OFTEN, COLUMNS = 2048, 32, 4096
 
@@ -60,22 +60,23 @@ def _sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 DEALT = "p int, cls binary, n binary, k binary, f binary, ids binary, dks binary"
 
 
-def _deal(ranges: int, width: int, at_once: int):
+def _deal(names: np.ndarray, width: int, at_once: int):
     """Packed rows of one pass over the texts: (p, cls, n, k, f), for each class its size, how many shingles follow, and their hashes;
-    and lists of documents (cls, n, ids, dks), as ranges from ``ranges`` on."""
+    and lists of documents (cls, n, ids, dks). The first half of ``names`` are ranges, the rest places of lists."""
+    ranges = len(names) // 2
 
     def run(batches):
         for t in gathered(batches, "text", at_once):
             classes, owner, one, two = _sets(t.column("text"), width)
             n = np.bincount(owner, minlength=len(classes)).astype("<i4")
-            home = ranges + int(classes[0] % ranges)
+            home = names[ranges + int(classes[0] % ranges)]
             yield pa.RecordBatch.from_pydict({"p": pa.array([home], pa.int32()), "cls": [classes.tobytes()], "n": [n.tobytes()], "k": [b""], "f": [b""], "ids": [t.column("id").to_numpy().tobytes()], "dks": [t.column("dk").to_numpy().tobytes()]})
             _, first = np.unique(classes, return_index=True)  # copies in one run travel once
             keep = np.isin(owner, first)
             owner, one, two = owner[keep], one[keep], two[keep]
             for p, own in _parts((two % np.uint64(ranges)).astype(np.int32), ranges):
                 who, k = np.unique(owner[own], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "cls": [classes[who].tobytes()], "n": [n[who].tobytes()], "k": [k.astype("<i4").tobytes()], "f": [one[own].tobytes()], "ids": [b""], "dks": [b""]})
+                yield pa.RecordBatch.from_pydict({"p": pa.array(names[p : p + 1]), "cls": [classes[who].tobytes()], "n": [n[who].tobytes()], "k": [k.astype("<i4").tobytes()], "f": [one[own].tobytes()], "ids": [b""], "dks": [b""]})
 
     return run
 
@@ -87,13 +88,13 @@ def _joined(column, kind: str) -> np.ndarray:
 SHARED = "home int, cls binary, n binary, k binary, f binary, log binary, ids binary, dks binary"
 
 
-def _shared(ranges: int):
+def _shared(names: np.ndarray):
     """Of one range: the shingles of two classes or more, with the log of their number, by home of the class; lists pass through."""
+    ranges, number = len(names) // 2, numbers(names)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["p"].iloc[0])
-        if p >= ranges:
-            return pdf.assign(home=p, log=b"")[["home", "cls", "n", "k", "f", "log", "ids", "dks"]]
+        if number[int(pdf["p"].iloc[0])] >= ranges:
+            return pdf.assign(home=pdf["p"], log=b"")[["home", "cls", "n", "k", "f", "log", "ids", "dks"]]
         cls, n, k, f = (_joined(pdf[c], kind) for c, kind in (("cls", "<i8"), ("n", "<i4"), ("k", "<i4"), ("f", "<u8")))
         del pdf
         row = np.repeat(np.arange(len(cls), dtype=np.int32), k)
@@ -112,7 +113,7 @@ def _shared(ranges: int):
         out = []
         for home, own in _parts((mix(c.view(np.uint64)) % np.uint64(ranges)).astype(np.int32), ranges):
             who, at, k = np.unique(c[own], return_index=True, return_counts=True)
-            out.append((home, who.tobytes(), n[own][at].astype("<i4").tobytes(), k.astype("<i4").tobytes(), f[own].tobytes(), log[own].tobytes(), b"", b""))
+            out.append((int(names[home]), who.tobytes(), n[own][at].astype("<i4").tobytes(), k.astype("<i4").tobytes(), f[own].tobytes(), log[own].tobytes(), b"", b""))
         return pd.DataFrame(out, columns=["home", "cls", "n", "k", "f", "log", "ids", "dks"])
 
     return run
@@ -183,11 +184,12 @@ SETS = "cls long, n long, tokens binary, sigs binary, left binary"
 LIST = -1
 
 
-def _index(ranges: int, percent: int):
+def _index(names: np.ndarray, percent: int):
     """Of the classes of one home: (cls, n, tokens, sigs, left) where a partner is possible; and the lists."""
+    number = numbers(names)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["home"].iloc[0] >= ranges:
+        if number[int(pdf["home"].iloc[0])] >= len(names) // 2:
             both = [c + n for c, n in zip(pdf["cls"], pdf["n"], strict=True)]
             return pd.DataFrame({"cls": 0, "n": LIST, "tokens": both, "sigs": pdf["ids"].to_numpy(), "left": pdf["dks"].to_numpy()})
         cls, n, k, token, log = (_joined(pdf[c], kind) for c, kind in (("cls", "<i8"), ("n", "<i4"), ("k", "<i4"), ("f", "<u8"), ("log", np.uint8)))
@@ -216,8 +218,9 @@ def _listed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["id", "dk", "cls", "n"])
 
 
-def _deal_signatures(ranges: int):
+def _deal_signatures(names: np.ndarray):
     """Packed rows (p, sig, cls, n, left, own): ``own`` counts a set's shingles that no other class has."""
+    ranges = len(names)
 
     def run(batches):
         held = []
@@ -226,7 +229,7 @@ def _deal_signatures(ranges: int):
             sigs, *rest = (np.concatenate(x) for x in zip(*held, strict=True))
             for p, at in _parts((mix(sigs) % np.uint64(ranges)).astype(np.int32), ranges):
                 cls, *small = (x[at] for x in rest)
-                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "sig": [sigs[at].tobytes()], "cls": [cls.tobytes()]} | {k: [x.astype("<i4").tobytes()] for k, x in zip(("n", "left", "own"), small, strict=True)})
+                yield pa.RecordBatch.from_pydict({"p": pa.array(names[p : p + 1]), "sig": [sigs[at].tobytes()], "cls": [cls.tobytes()]} | {k: [x.astype("<i4").tobytes()] for k, x in zip(("n", "left", "own"), small, strict=True)})
 
         size = 0
         for b in batches:
@@ -235,7 +238,7 @@ def _deal_signatures(ranges: int):
                 same = lambda v: np.full(len(sigs), v, np.int64)
                 held.append((sigs, same(r["cls"]), same(r["n"]), left, same(r["n"] - r["m"])))
                 size += len(sigs)
-                if size >= 1_000_000:
+                if size >= 500_000:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -307,9 +310,9 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the classes that links connect, over ``sets(cls, n, tokens, sigs, left)``."""
     signed = sets.select("cls", "n", "sigs", "left", (F.octet_length("tokens") / 8).cast("int").alias("m"))
-    ranges = ranges_for(sets.agg(F.sum(F.octet_length("sigs") / 8).cast("long")).first()[0] or 0, RANGE_SIGNATURES)
-    dealt = signed.mapInArrow(_deal_signatures(ranges), "p int, sig binary, cls binary, n binary, left binary, own binary")
-    groups = cut(dealt.repartition(ranges, "p").groupBy("p").applyInPandas(_groups(percent), GROUPS).dropDuplicates(["key", "part"]))
+    names = labels(ranges_for(sets.agg(F.sum(F.octet_length("sigs") / 8).cast("long")).first()[0] or 0, RANGE_SIGNATURES))
+    dealt = signed.mapInArrow(_deal_signatures(names), "p int, sig binary, cls binary, n binary, left binary, own binary")
+    groups = cut(dealt.repartition(len(names), "p").groupBy("p").applyInPandas(_groups(percent), GROUPS).dropDuplicates(["key", "part"]))
     # no more than the shingles that other classes have can be in both sets
     near = may_link(F.col("na"), F.col("nb"), F.least("ma", "mb"), percent)
     members = groups.select("key", "a", "na", "ma", F.explode(F.arrays_zip("members", "sizes", "shared")).alias("x"))
@@ -433,13 +436,13 @@ def _count(percent: int):
     return run
 
 
-def _components(docs: DataFrame, width: int, percent: int, at_once: int, links: bool) -> tuple[DataFrame, DataFrame, bool]:
+def _components(docs: DataFrame, width: int, percent: int, at_once: int, range_bytes: int, links: bool) -> tuple[DataFrame, DataFrame, bool]:
     """(documents (id, dk, cls, n); classes with words (cls, size, class_id, root, component_id[, links]); whether dk is in use)."""
     keyed, size, two = doc_key(docs.select("doc_id", "text"))
-    ranges = ranges_for(size, RANGE_BYTES)
-    dealt = keyed.select("id", "dk", "text").mapInArrow(_deal(ranges, width, at_once), DEALT)
-    shared = dealt.repartition(2 * ranges, "p").groupBy("p").applyInPandas(_shared(ranges), SHARED)
-    made = cut(shared.repartition(2 * ranges, "home").groupBy("home").applyInPandas(_index(ranges, percent), SETS))
+    names = labels(2 * ranges_for(size, range_bytes))
+    dealt = keyed.select("id", "dk", "text").mapInArrow(_deal(names, width, at_once), DEALT)
+    shared = dealt.repartition(len(names), "p").groupBy("p").applyInPandas(_shared(names), SHARED)
+    made = cut(shared.repartition(len(names), "home").groupBy("home").applyInPandas(_index(names, percent), SETS))
     sets = made.where(F.col("n") >= 0)
     listed = cut(made.where(F.col("n") == LIST).select("tokens", "sigs", "left").mapInArrow(_listed, "id long, dk long, cls long, n long"))
     roots = link_classes(sets, percent)
@@ -455,7 +458,7 @@ def _components(docs: DataFrame, width: int, percent: int, at_once: int, links:
     return listed, named, two
 
 
-def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, at_once: int = AT_ONCE) -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, at_once: int = AT_ONCE, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, class_id, n_links.
 
     A-Z are lowered; words are runs of other characters than ``[\\x20\\x09-\\x0D]``. A document's set
@@ -468,14 +471,14 @@ def ngram_join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, at_o
     each get a row. Extra columns are ignored; an empty table gives an empty result. Shingles are
     64-bit hashes, at every size and in every session.
     """
-    listed, named, _ = _components(docs, width, percent, at_once, True)
+    listed, named, _ = _components(docs, width, percent, at_once, range_bytes, True)
     doc_id = F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id")
     links = (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")
     full = listed.where("n > 0").join(named, "cls").select(doc_id, F.col("n").alias("n_shingles"), "component_id", "class_id", links)
     return full.unionByName(listed.where("n = 0").select(doc_id, F.col("n").alias("n_shingles"), doc_id.alias("component_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
-def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, at_once: int = AT_ONCE) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, at_once: int = AT_ONCE, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)`` without all but one of each component; all columns stay.
 
     The row with the smallest doc_id stays (a null id last, and of one doc_id the text with the
@@ -483,7 +486,7 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, at_onc
     linked with nothing and stay, repeated ones too. Whole documents are shuffled only where the list of
     those that go is too long to broadcast.
     """
-    listed, named, two = _components(docs, width, percent, at_once, False)
+    listed, named, two = _components(docs, width, percent, at_once, range_bytes, False)
     of = listed.where("n > 0").join(named.select("cls", "root"), "cls")
     place = F.struct((F.col("id") == NULL_ID).alias("z"), "id", "dk")
     best = of.groupBy("root").agg(F.min(place).alias("best"))

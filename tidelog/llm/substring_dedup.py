@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, doc_key, mix, ranges_for, split_words, squeeze, stretch, word_hashes
+from tidelog.llm.common import as_bytes, doc_key, labels, mix, numbers, ranges_for, split_words, squeeze, stretch, word_hashes
 from tidelog.llm.rolling import span_hashes, window_starts
 
 WINDOW = 20
 #: Words that a task hashes at a time, and bytes of text (some 6 for a word) whose windows one range holds.
-AT_ONCE, RANGE_BYTES = 2_000_000, 24 << 20
+AT_ONCE, RANGE_BYTES = 1_000_000, 12 << 20
 
 
 def gathered(batches, size, at_once=AT_ONCE):
@@ -69,8 +69,9 @@ def _parts(of: np.ndarray, n: int):
         yield int(p), order[edges[p] : edges[p + 1]]
 
 
-def _deal(ranges: int, window: int, at_once: int):
-    """Packed rows (p, h, x, ...): the first of equal windows by range of their hash; the rest, with no hash, by home of their document, from ``ranges`` on."""
+def _deal(names: np.ndarray, window: int, at_once: int):
+    """Packed rows (p, h, x, ...): the first of equal windows by range of their hash; the rest, with no hash, by home of their document. The first half of ``names`` are ranges, the rest homes."""
+    ranges = len(names) // 2
 
     def run(batches):
         for t in gathered(batches, "text", at_once):
@@ -90,11 +91,11 @@ def _deal(ranges: int, window: int, at_once: int):
             own = np.flatnonzero(~known)
             for p, i in _parts(to[own], ranges):
                 i = own[i]
-                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "h": [one[i].tobytes()], "x": [extra[i].tobytes()]} | _pack(ids, dks, doc[i], start[i]))
+                yield pa.RecordBatch.from_pydict({"p": pa.array(names[p : p + 1]), "h": [one[i].tobytes()], "x": [extra[i].tobytes()]} | _pack(ids, dks, doc[i], start[i]))
             own = np.flatnonzero(known)
             for p, i in _parts(_home(ids, dks, ranges)[doc[own]], ranges):
                 i = own[i]
-                yield pa.RecordBatch.from_pydict({"p": pa.array([ranges + p], pa.int32()), "h": [b""], "x": [b""]} | _pack(ids, dks, doc[i], start[i]))
+                yield pa.RecordBatch.from_pydict({"p": pa.array(names[ranges + p : ranges + p + 1]), "h": [b""], "x": [b""]} | _pack(ids, dks, doc[i], start[i]))
 
     return run
 
@@ -114,11 +115,13 @@ def later(h: np.ndarray, extra: np.ndarray, d: np.ndarray, s: np.ndarray, *tie:
 PACKED = "d binary, dk binary, k binary, s binary"
 
 
-def _count(ranges: int):
+def _count(names: np.ndarray, homes: np.ndarray):
+    ranges, number = len(homes), numbers(names)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["p"].iloc[0])
+        p = number[int(pdf["p"].iloc[0])]
         if p >= ranges:
-            return pdf[["d", "dk", "k", "s"]].assign(home=p - ranges)
+            return pdf[["d", "dk", "k", "s"]].assign(home=homes[p - ranges])
         h = np.frombuffer(b"".join(pdf["h"]), "<u8")
         extra = np.frombuffer(b"".join(pdf["x"]), np.uint8)
         d, dk, s = _unpack(pdf)
@@ -129,7 +132,7 @@ def _count(ranges: int):
         d, dk, s = d[order], dk[order], s[order]
         doc = np.cumsum(np.concatenate([[False], (d[1:] != d[:-1]) | (dk[1:] != dk[:-1])])[: len(d)])
         _, first = np.unique(doc, return_index=True)
-        out = [pd.DataFrame({"home": [home]} | _pack(d[first], dk[first], doc[i], s[i])) for home, i in _parts(_home(d, dk, ranges), ranges)]
+        out = [pd.DataFrame({"home": homes[home : home + 1]} | _pack(d[first], dk[first], doc[i], s[i])) for home, i in _parts(_home(d, dk, ranges), ranges)]
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("home", "d", "dk", "k", "s")})
 
     return run
@@ -157,11 +160,12 @@ def _merge(window: int):
     return run
 
 
-def removal_intervals(keyed: DataFrame, size: int, window: int = WINDOW, at_once: int = AT_ONCE) -> DataFrame:
+def removal_intervals(keyed: DataFrame, size: int, window: int = WINDOW, at_once: int = AT_ONCE, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(id, dk, starts, ends): for each document of ``keyed(id, dk, text)`` with repeated windows, the word intervals to remove."""
-    ranges = ranges_for(size, RANGE_BYTES)
-    dealt = keyed.select("id", "dk", "text").mapInArrow(_deal(ranges, window, at_once), f"p int, h binary, x binary, {PACKED}")
-    counted = dealt.repartition(2 * ranges, "p").groupBy("p").applyInPandas(_count(ranges), f"home int, {PACKED}")
+    ranges = ranges_for(size, range_bytes)
+    names, homes = labels(2 * ranges), labels(ranges)
+    dealt = keyed.select("id", "dk", "text").mapInArrow(_deal(names, window, at_once), f"p int, h binary, x binary, {PACKED}")
+    counted = dealt.repartition(2 * ranges, "p").groupBy("p").applyInPandas(_count(names, homes), f"home int, {PACKED}")
     return counted.repartition(ranges, "home").groupBy("home").applyInPandas(_merge(window), "id long, dk long, starts array<long>, ends array<long>")
 
 
@@ -187,7 +191,7 @@ def _rewrite(batches):
         yield pa.RecordBatch.from_arrays([b.column(c) for c in b.schema.names if c not in ("starts", "ends")] + list(extra.values()), [c for c in b.schema.names if c not in ("starts", "ends")] + list(extra))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, at_once: int = AT_ONCE) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True, at_once: int = AT_ONCE, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, ...)``: doc_id, [kept_text, removed,] n_words, n_removed, kept_sha256.
 
     A word goes if a window of ``window`` words over it also starts earlier: in a smaller
@@ -201,7 +205,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     """
     keyed, size, _ = doc_key(docs.select("doc_id", "text"))
     ids = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "id", "dk", "text")
-    joined = ids.join(removal_intervals(keyed, size, window, at_once), ["id", "dk"], "left").select("doc_id", "text", "starts", "ends", F.transform(F.arrays_zip("starts", "ends"), lambda x: F.concat_ws(":", x["starts"].cast("string"), x["ends"].cast("string"))).alias("spans"))
+    joined = ids.join(removal_intervals(keyed, size, window, at_once, range_bytes), ["id", "dk"], "left").select("doc_id", "text", "starts", "ends", F.transform(F.arrays_zip("starts", "ends"), lambda x: F.concat_ws(":", x["starts"].cast("string"), x["ends"].cast("string"))).alias("spans"))
     joined = joined.withColumn("removed", F.coalesce(F.array_join("spans", ","), F.lit(""))).drop("spans")
     if not with_text:
         return joined.drop("removed").mapInArrow(_digest_only, "doc_id long, n_words long, n_removed long, kept_sha256 string")
