@@ -276,13 +276,13 @@ def _groups(percent: int):
         at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[: len(sig)])
         size = np.diff(np.concatenate([at, [len(sig)]]))
         sums = np.add.reduceat(mix(cls.view(np.uint64) + np.uint64(0x51)), at) if len(at) else np.zeros(0, np.uint64)
-        two = size >= 2
+        two, shared = size >= 2, n - own
         _, once = np.unique(sums[two], return_index=True)  # groups of equal members share this sum
         out = []
         for a, s, key in zip(at[two][once].tolist(), size[two][once].tolist(), sums[two][once].view(np.int64).tolist(), strict=True):
             for part, x in enumerate(range(a, a + s, SEGMENT)):
                 own_rows = slice(x, min(x + SEGMENT, a + s))
-                out.append((key, part, int(cls[a]), int(n[a]), int(n[a] - own[a]), cls[own_rows], n[own_rows], (n - own)[own_rows]))
+                out.append((key, part, int(cls[a]), int(n[a]), int(shared[a]), cls[own_rows], n[own_rows], shared[own_rows]))
         return pd.DataFrame(out, columns=["key", "part", "a", "na", "ma", "members", "sizes", "shared"])
 
     return run
