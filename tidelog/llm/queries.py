@@ -21,44 +21,54 @@ from tidelog.llm.substring_dedup import substring_dedup
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base spans always, weak parts where they complete one another. A null text has none."""
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that stand earlier together with a neighbour: chunks first, then the pairs that chunks leave. A null text has no lines."""
     found = line_dedup(table(spark, sf_dir, "documents"), every_run=True)
     return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision of every document. Null and blank texts score 0 and are rejected."""
     return classify_quality(table(spark, sf_dir, "documents")).select("doc_id", "keep", "quality_score", "weak_posterior")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component, class and number of links of every document. Null and blank texts link with nothing."""
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and survivor of every document, by its text without white space. A null text counts as empty."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by the law of bytes. Null texts are one group."""
     return shard(table(spark, sf_dir, "documents"), shards=8)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document. A null text has none, a null source comes last."""
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document. A null text, and one without a letter, is und."""
     return identify_language(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that leak into every document. Null texts hold none."""
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", F.array_join(F.transform("item_ids", lambda x: x.cast("string")), ",").alias("item_ids"), F.size("leaks").cast("long").alias("n_leaks"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a window covers which starts earlier elsewhere. A null text has none."""
     return substring_dedup(table(spark, sf_dir, "documents"), with_text=False)
 
 
