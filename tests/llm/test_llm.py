@@ -705,11 +705,33 @@ def test_recall_of_questions_with_other_parameters(spark):
     assert np.mean(right) >= 0.95 and not any(found[len(texts) :])
 
 
+def plain_kind(word):
+    core = word.strip(decontaminate.PUNCTUATION)
+    if re.fullmatch(r"[+-]?[$€£]?\d[\d.,:/]*%?", core):
+        return decontaminate.NUM, core
+    m = re.fullmatch(r"([+-]?[$€£]?\d[\d.,]*)([A-Za-z/%]+)", core)
+    if m and m[2].lower() in decontaminate.UNITS:
+        return decontaminate.MIXED, core
+    if core.lower() in decontaminate.UNITS:
+        return decontaminate.UNIT, core
+    if len(core) > 1 and core[0].isupper() and core[1:].islower() and core.lower() not in decontaminate.COMMON:
+        return decontaminate.NAME, core
+    return decontaminate.PLAIN, core
+
+
+def test_kinds_of_words():
+    import pyarrow as pa
+
+    told = ["Alice", "Alice's", "(Bob)", "A", "NASA", "McDonald", "Éva", "the", "The", "12", "-3.5%", "12km", "$5", "12x", "3kg,", "km", "Km", "%", "...", "!", "O'Neil", "x2", "X2a", "7:30", "1/2", "5%", "ñandú", "Über-uns"]
+    kinds, low = decontaminate.kinds_of(pa.array(told))
+    assert [(int(k), c) for k, c in zip(kinds, low.to_pylist(), strict=True)] == [(k, c.lower()) for k, c in map(plain_kind, told)]
+
+
 def plain_templates(text):
     """(kinds, cores in lower case) of a text, word by word."""
     kinds, cores = [], []
     for w in words(text):
-        kind, core = decontaminate._kind(w)
+        kind, core = plain_kind(w)
         kinds.append(0 if kind == decontaminate.UNIT and (not kinds or kinds[-1] != decontaminate.NUM) else kind)
         cores.append(core.lower())
     return kinds, cores

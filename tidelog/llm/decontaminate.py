@@ -10,7 +10,6 @@ question with other parameters is found too. Hits bring hashes of their words al
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -35,13 +34,6 @@ BROADCAST_WINDOWS, TASK_HITS = 200_000, 100_000
 UNITS = frozenset(
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers g kg mg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons l ml liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent % dollar dollars usd eur euro euros cent cents mph kmh km/h m/s hz khz mhz w kw v kwh degree degrees c f k".split()
 )
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
-MEASURE = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([A-Za-z/%]+)")
-PLAIN, NUM, UNIT, NAME, MIXED = range(5)
-#: Sets hashes of exact windows apart from those of templates.
-EXACT = 1 << 32
-
-
 # Words that open sentences and aren't names, though they have a capital there.
 COMMON = frozenset(
     "the a an this that these those there here it its he she they we you i my your his her our their if when while after before because since although though as at by for from in into of on to with without within "
@@ -49,25 +41,30 @@ COMMON = frozenset(
     "is are was were be been do does did can could will would shall should may might must have has had one two three four five six seven eight nine ten each every all some many most both any other another then next now "
     "how's what's first second last only also during under over between through per than once until about".split()
 )
-NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
-MEASURE = re.compile(r"([+-]?[$€£]?\d[\d.,]*)([A-Za-z/%]+)")
+PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’¿¡"
+NUMBER = r"^[+-]?[$€£]?[0-9][0-9.,:/]*%?$"
+MEASURE_HEAD = r"^[+-]?[$€£]?[0-9][0-9.,]*"
+MEASURE = MEASURE_HEAD + r"[A-Za-z/%]+$"
+NAMED = r"^\p{Lu}[^\p{Lu}\p{Lt}]*\p{Ll}[^\p{Lu}\p{Lt}]*$"
 PLAIN, NUM, UNIT, NAME, MIXED = range(5)
 #: Sets hashes of exact windows apart from those of templates.
 EXACT = 1 << 32
 
 
-def _kind(word: str) -> tuple[int, str]:
-    """(what the word can be, its core): the same wherever the word stands, but that a unit follows a number."""
-    core = word.strip(".,;:!?\"'()[]{}<>«»“”‘’¿¡")
-    if NUMBER.fullmatch(core):
-        return NUM, core
-    if (m := MEASURE.fullmatch(core)) and m[2].lower() in UNITS:
-        return MIXED, core
-    if core.lower() in UNITS:
-        return UNIT, core
-    if len(core) > 1 and core[0].isupper() and core[1:].islower() and core.lower() not in COMMON:
-        return NAME, core
-    return PLAIN, core
+def kinds_of(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(what each word can be, its core in lower case): the same wherever a word stands, but that a unit follows a number."""
+    core = pc.utf8_trim(words, characters=PUNCTUATION)
+    low = pc.utf8_lower(core)
+    is_ = lambda pattern: np.asarray(pc.match_substring_regex(core, pattern))
+    one_of = lambda x, known: np.asarray(pc.is_in(x, pa.array(sorted(known), x.type)))
+    unit, common = one_of(low, UNITS), one_of(low, COMMON)
+    kind = np.where(is_(NAMED) & ~common, NAME, PLAIN)
+    kind[unit] = UNIT
+    mixed = np.flatnonzero(is_(MEASURE))
+    tail = pc.replace_substring_regex(low.take(pa.array(mixed)), MEASURE_HEAD, "")
+    kind[mixed[one_of(tail, UNITS)]] = MIXED
+    kind[is_(NUMBER)] = NUM
+    return kind.astype(np.int8), low
 
 
 @lru_cache(1)
@@ -80,9 +77,9 @@ def templates(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     counts, words = split_words(text, lower=False)
     coded = pc.dictionary_encode(words)
     at = coded.indices.to_numpy()
-    known = [_kind(w) for w in coded.dictionary.to_pylist()]
-    kind = np.array([k for k, _ in known], np.int8)[at] if known else np.zeros(0, np.int8)
-    literal = string_hashes(pc.utf8_lower(pa.array([c for _, c in known], pa.string())).cast(pa.string()), 7)[at] if known else np.zeros(0, np.uint64)
+    kinds, low = kinds_of(coded.dictionary.cast(pa.string()))
+    kind = kinds[at]
+    literal = string_hashes(low, 7)[at] if len(low) else np.zeros(0, np.uint64)
     after = np.concatenate([[False], kind[:-1] == NUM])[: len(kind)]
     after[(np.cumsum(counts) - counts)[counts > 0]] = False
     kind = np.where((kind == UNIT) & ~after, PLAIN, kind)
@@ -232,7 +229,7 @@ def _leaks(least_run: int):
 LEAKS_SQL = "array<struct<item_id:bigint,start:bigint,end:bigint>>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run: int = LEAST_RUN, at_once: int = AT_ONCE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_run: int = LEAST_RUN, at_once: int = AT_ONCE // 2) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)``, one row for each, with ``leaks`` (item_id, start, end in words), ``item_ids`` and ``contaminated``.
 
     A document is contaminated by an item of ``benchmark(item_id, text)`` when an aligned run of
