@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import NULL_ID, as_bytes, cut, doc_key, fresh, key_of, labels, mix, numbers, ranges_for, small_or_merged, split_words, word_hashes
+from tidelog.llm.common import NULL_ID, as_bytes, cut, doc_key, fresh, key_of, labels, mix, numbers, ranges_for, small_or_merged, split_words, tidy, word_hashes
 from tidelog.llm.components import components
 from tidelog.llm.rolling import span_hashes, window_starts
 from tidelog.llm.substring_dedup import AT_ONCE, _one, _parts, gathered
@@ -95,6 +95,7 @@ def _shared(names: np.ndarray):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if number[int(pdf["p"].iloc[0])] >= ranges:
             return pdf.assign(home=pdf["p"], log=b"")[["home", "cls", "n", "k", "f", "log", "ids", "dks"]]
+        tidy()
         cls, n, k, f = (_joined(pdf[c], kind) for c, kind in (("cls", "<i8"), ("n", "<i4"), ("k", "<i4"), ("f", "<u8")))
         del pdf
         row = np.repeat(np.arange(len(cls), dtype=np.int32), k)
@@ -192,6 +193,7 @@ def _index(names: np.ndarray, percent: int):
         if number[int(pdf["home"].iloc[0])] >= len(names) // 2:
             both = [c + n for c, n in zip(pdf["cls"], pdf["n"], strict=True)]
             return pd.DataFrame({"cls": 0, "n": LIST, "tokens": both, "sigs": pdf["ids"].to_numpy(), "left": pdf["dks"].to_numpy()})
+        tidy()
         cls, n, k, token, log = (_joined(pdf[c], kind) for c, kind in (("cls", "<i8"), ("n", "<i4"), ("k", "<i4"), ("f", "<u8"), ("log", np.uint8)))
         del pdf
         cls, n = np.repeat(cls, k), np.repeat(n, k)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut, mix, split_words
 from tidelog.llm.rolling import span_hashes
-from tidelog.llm.substring_dedup import _one, gathered
+from tidelog.llm.substring_dedup import AT_ONCE, _one, gathered
 
 #: Hashed features, documents that train the scorer at most (the ones with the smallest hashes of their ids), and features of one of them (the heaviest).
 FEATURES, SAMPLE, MOST_FEATURES = 1 << 13, 20_000, 1024
@@ -159,7 +159,7 @@ def _vote(threshold: int):
     """(doc_id, pattern, feats, values): features only of documents whose hash lies below the threshold."""
 
     def run(batches):
-        for t in gathered(batches, "text"):
+        for t in gathered(batches, "text", AT_ONCE // 2):
             s, doc, shape = statistics(_one(t.column("text")))
             pattern = votes(s) @ (3 ** np.arange(8))
             chosen = (t.column("h").to_numpy() < threshold) & (pattern > 0)
@@ -231,7 +231,7 @@ def train(feats: list[bytes], values: list[bytes], target: np.ndarray, rounds: i
 def _score(weights):
     def run(batches):
         w = weights.value
-        for t in gathered(batches, "text"):
+        for t in gathered(batches, "text", AT_ONCE // 2):
             s, doc, shape = statistics(_one(t.column("text")))
             d, f, v = features(s, doc, shape)
             z = np.bincount(d, v * w[f], len(s)) + w[-1]

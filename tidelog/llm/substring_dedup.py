@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import as_bytes, doc_key, labels, mix, numbers, ranges_for, split_words, squeeze, stretch, word_hashes
+from tidelog.llm.common import as_bytes, doc_key, labels, mix, numbers, ranges_for, split_words, squeeze, stretch, tidy, word_hashes
 from tidelog.llm.rolling import span_hashes, window_starts
 
 WINDOW = 20
@@ -37,8 +37,11 @@ def gathered(batches, size, at_once=AT_ONCE):
             if n >= at_once:
                 yield pa.Table.from_batches(held)
                 held, n = [], 0
+                tidy()
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+    tidy()
 
 
 def _one(column) -> pa.Array:
@@ -122,6 +125,7 @@ def _count(names: np.ndarray, homes: np.ndarray):
         p = number[int(pdf["p"].iloc[0])]
         if p >= ranges:
             return pdf[["d", "dk", "k", "s"]].assign(home=homes[p - ranges])
+        tidy()
         h = np.frombuffer(b"".join(pdf["h"]), "<u8")
         extra = np.frombuffer(b"".join(pdf["x"]), np.uint8)
         d, dk, s = _unpack(pdf)
