@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import NULL_ID, as_bytes, cut, doc_key, fresh, key_of, labels, mix, numbers, ranges_for, small_or_merged, split_words, tidy, word_hashes
+from tidelog.llm.common import NULL_ID, as_bytes, cut, doc_key, fresh, key_of, labels, mix, numbers, ranges_for, salted_join, small_or_merged, split_words, tidy, word_hashes
 from tidelog.llm.components import components
 from tidelog.llm.rolling import span_hashes, window_starts
 from tidelog.llm.substring_dedup import AT_ONCE, _one, _parts, gathered
@@ -491,9 +491,9 @@ def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, at_onc
     listed, named, two = _components(docs, width, percent, at_once, range_bytes, False)
     of = listed.where("n > 0").join(named.select("cls", "root"), "cls")
     place = F.struct((F.col("id") == NULL_ID).alias("z"), "id", "dk")
-    best = of.groupBy("root").agg(F.min(place).alias("best"))
+    best = cut(of.groupBy("root").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("m")))
     rows = of.groupBy("root", "id", "dk").agg(F.count(F.lit(1)).alias("n"))
-    told = cut(rows.join(best, "root").select("id", "dk", "n", (place == F.col("best")).alias("stays")))
+    told = cut(salted_join(rows, best, "root", "m", listed.count(), "id").select("id", "dk", "n", (place == F.col("best")).alias("stays")))
     gone = told.where("NOT stays").select("id", "dk")
     again = told.where("stays AND n > 1").select("id", "dk")
     i, k = fresh(docs, "gone_id", "gone_dk")
