@@ -53,6 +53,13 @@ def hotness(operations: DataFrame, shard: Column, seconds: float, is_write: Colu
     return counts.withColumn("rate", (F.col("reads") + F.col("writes")) / F.lit(float(seconds)))
 
 
+def hotness_over(operations: DataFrame, shard: Column, at_ticks: Column, width_ticks: int, is_write: Column) -> DataFrame:
+    """(shard, window, reads, writes, rate): the same for each window of so many ticks; ``window`` is its first tick."""
+    window = at_ticks - F.pmod(at_ticks, F.lit(width_ticks))
+    counts = operations.groupBy(shard.alias("shard"), window.alias("window")).agg(F.count_if(~is_write).alias("reads"), F.count_if(is_write).alias("writes"))
+    return counts.withColumn("rate", (F.col("reads") + F.col("writes")) / F.lit(width_ticks / 1e7))
+
+
 def hot_shards(rates: DataFrame, owners: DataFrame, busy: DataFrame, most: int, threshold: float = HOT_RATE) -> DataFrame:
     """The ``most`` hottest shards that are neither splitting nor cooling down (``busy(shard)``) and own two slots at least."""
     return rates.where(F.col("rate") >= threshold).join(busy.select("shard"), "shard", "left_anti").join(owners.where(F.size("slots") >= LEAST_SLOTS).select("shard"), "shard", "left_semi").orderBy(F.desc("rate"), "shard").limit(most)

@@ -101,6 +101,15 @@ def peer_lag(log: DataFrame, peers: DataFrame) -> DataFrame:
     return peers.join(behind, "peer").select("peer", "entries_behind", "bytes_behind", since.alias("seconds_since_contact"))
 
 
+def peer_errors(contacts: DataFrame) -> DataFrame:
+    """(peer, contacts, errors, errors_in_a_row, last_success_ticks) of ``contacts(peer, at_ticks, ok)``; the row of errors is the one since the last success."""
+    last = F.max(F.when(F.col("ok"), F.col("at_ticks")))
+    ends = contacts.groupBy("peer").agg(F.count(F.lit(1)).alias("contacts"), F.count_if(~F.col("ok")).alias("errors"), last.alias("last_success_ticks"))
+    late = contacts.join(ends.select("peer", "last_success_ticks"), "peer").where(F.col("last_success_ticks").isNull() | (F.col("at_ticks") > F.col("last_success_ticks")))
+    row = late.groupBy("peer").agg(F.count(F.lit(1)).alias("errors_in_a_row"))
+    return ends.join(row, "peer", "left").select("peer", "contacts", "errors", F.coalesce("errors_in_a_row", F.lit(0)).cast("long").alias("errors_in_a_row"), "last_success_ticks")
+
+
 def collect_garbage(log: DataFrame, peers: DataFrame, retention_ticks: int) -> DataFrame:
     """Log entries that every peer is past by the retention: what may go."""
     cutoff = peers.agg((F.min("cursor.wall_ticks") - F.lit(retention_ticks)).alias("cutoff"))

@@ -316,6 +316,11 @@ def tree_diagnostics(spark, d):
     return aggregate.diagnostics(evlog(spark, d), NOW, F.col("user_id") % 8)
 
 
+@query(f"""SELECT user_id % 8 AS shard, wall // {TICKS_PER_DAY} * {TICKS_PER_DAY} AS "window", count(*) FILTER (event_type NOT IN ('purchase', 'signup')) AS reads, count(*) FILTER (event_type IN ('purchase', 'signup')) AS writes, count(*) / 86400.0::DOUBLE AS rate FROM evlog GROUP BY 1, 2""")
+def hotness_by_day(spark, d):
+    return aggregate.hotness_over(evlog(spark, d), F.col("user_id") % 8, F.col("hlc.wall_ticks"), TICKS_PER_DAY, F.col("event_type").isin("purchase", "signup"))
+
+
 HOT = "SELECT user_id % 8 AS shard, count(*) FILTER (event_type NOT IN ('purchase', 'signup')) AS reads, count(*) FILTER (event_type IN ('purchase', 'signup')) AS writes, count(*) / 2.0::DOUBLE AS rate FROM evlog GROUP BY 1"
 
 
@@ -445,6 +450,26 @@ def delta_for_slots(spark, d):
     return flat(resolve.delta_for_slots(evlog(spark, d), hlc(CURSOR, 0), spark.range(1, 8, 4).select(F.col("id").alias("slot")), F.col("user_id") % 8))
 
 
+@query("""SELECT event_id, CASE WHEN wall + event_id % 3 - 1 > wall THEN wall + event_id % 3 - 1 ELSE wall END AS wall, CAST(CASE WHEN event_id % 3 = 2 THEN 0 ELSE ctr + 1 END AS INTEGER) AS ctr FROM evlog""")
+def clock_tick(spark, d):
+    h = clock.tick(F.col("hlc"), F.col("hlc.wall_ticks") + F.col("event_id") % 3 - 1)
+    return evlog(spark, d).select("event_id", h["wall_ticks"].alias("wall"), h["counter"].alias("ctr"))
+
+
+@query("""SELECT event_id, greatest(w, wall, v) AS wall, CAST(greatest(CASE WHEN wall = greatest(w, wall, v) THEN ctr + 1 ELSE 0 END, CASE WHEN v = greatest(w, wall, v) THEN event_id % 5 + 1 ELSE 0 END) AS INTEGER) AS ctr
+    FROM (SELECT *, wall + event_id % 4 - 2 AS w, wall + event_id % 3 - 1 AS v FROM evlog)""")
+def clock_merge(spark, d):
+    wall, n = F.col("hlc.wall_ticks"), F.col("event_id")
+    h = clock.merge_clocks(F.col("hlc"), hlc(wall + n % 3 - 1, n % 5), wall + n % 4 - 2)
+    return evlog(spark, d).select("event_id", h["wall_ticks"].alias("wall"), h["counter"].alias("ctr"))
+
+
+@query("SELECT event_id, ['none', 'splitting', 'split'][greatest(event_id % 3, (event_id // 3) % 3) + 1] AS state FROM evlog")
+def split_state_merge(spark, d):
+    state = lambda i: F.element_at(F.array(*map(F.lit, clock.SPLIT_STATES)), (i + 1).cast("int"))
+    return evlog(spark, d).select("event_id", clock.merge_split_states(state(F.col("event_id") % 3), state(F.expr("(event_id div 3) % 3"))).alias("state"))
+
+
 # Capture
 
 
@@ -521,9 +546,20 @@ def peers(spark: SparkSession) -> DataFrame:
 
 
 @query(f"""+ peers AS (SELECT * FROM (VALUES ('east', {CURSOR}), ('north', 0), ('west', {NOW})) t(peer, cursor))
-    SELECT peer, count(key) AS entries_behind, CAST(coalesce(sum(strlen(value)), 0) AS BIGINT) AS bytes_behind FROM peers LEFT JOIN evlog ON wall > cursor GROUP BY peer""")
+    SELECT peer, count(key) AS entries_behind, CAST(coalesce(sum(strlen(value)), 0) AS BIGINT) AS bytes_behind, CASE WHEN peer = 'north' THEN 'nan'::DOUBLE ELSE ({NOW} - cursor) / 1e7 END AS seconds_since_contact FROM peers LEFT JOIN evlog ON wall > cursor GROUP BY peer, cursor""")
 def peer_lag(spark, d):
-    return capture.peer_lag(log(spark, d), peers(spark)).drop("seconds_since_contact")
+    return capture.peer_lag(log(spark, d), peers(spark))
+
+
+@query("""+ c AS (SELECT event_type AS peer, wall AS at_ticks, event_id % 7 <> 0 AS ok FROM evlog), l AS (SELECT peer, max(at_ticks) FILTER (ok) AS s FROM c GROUP BY peer)
+    SELECT c.peer, count(*) AS contacts, count(*) FILTER (NOT ok) AS errors, count(*) FILTER (s IS NULL OR at_ticks > s) AS errors_in_a_row, any_value(s) AS last_success_ticks FROM c JOIN l ON l.peer = c.peer GROUP BY c.peer""")
+def peer_errors(spark, d):
+    return capture.peer_errors(evlog(spark, d).select(F.col("event_type").alias("peer"), F.col("hlc.wall_ticks").alias("at_ticks"), (F.col("event_id") % 7 != 0).alias("ok")))
+
+
+@query("SELECT event_id, lpad(CAST(wall AS VARCHAR), 20, '0') || lpad(CAST(ctr + 1 AS VARCHAR), 10, '0') || '|' || origin || '|' AS log_key FROM evlog WHERE origin = 'site-a'")
+def replog_start_after(spark, d):
+    return evlog(spark, d).where("origin_cluster_id = 'site-a'").select("event_id", facts.start_after(F.col("hlc"), "site-a").alias("log_key"))
 
 
 @query(f"SELECT key, event_id FROM evlog WHERE wall < {CURSOR} - {TICKS_PER_DAY}")

@@ -19,6 +19,9 @@ COUNTERS = (
 HISTOGRAMS = ("leaf.write.duration", "leaf.scan.duration", "leaf.compaction.duration")
 EVENT_KINDS = ("Set", "Delete", "DeleteRange", "SplitCommitted", "CompactionCompleted", "TreeDeleted", "TreeRecovered", "TreePurged", "SnapshotCompleted", "ResizeCompleted", "ReshardCompleted", "AtomicWriteCompleted")
 
+#: Events that go to one file at most.
+ONE_FILE = 100_000
+
 EVENTS = T.StructType([T.StructField(n, T.StringType()) for n in ("tree_id", "kind", "key", "operation_id")] + [T.StructField("at_ticks", T.LongType())])
 
 
@@ -79,7 +82,7 @@ class Publisher:
         if not n:
             return
         try:
-            rows.coalesce(1).write.mode("append").parquet(self.path)
+            (rows.coalesce(1) if n <= ONE_FILE else rows).write.mode("append").parquet(self.path)
             self.metrics.add("events.published", n)
         except Exception:  # the commit stands, whatever becomes of its events
             self.metrics.add("events.dropped", n)
