@@ -59,23 +59,18 @@ def live_divergence(pairs: DataFrame, max_late: str | None = None) -> DataFrame:
     Keeps the last pair of each part as state; rows of a micro-batch are taken in order of ``at``.
     State grows with the number of parts and isn't dropped by a watermark.
     """
+    import numpy as np
     import pandas as pd
 
     def step(key, batches, state):
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("at")
-        out = []
-        for at, a, b in rows[["at", "a", "b"]].itertuples(index=False):
-            differed = last is not None and last[0] != last[1]
-            if a != b:
-                kind = "entered" if not differed else "changed" if (a, b) != tuple(last) else None
-            else:
-                kind = "resolved" if differed else None
-            if kind:
-                out.append((key[0], at, kind))
-            last = (int(a), int(b))
-        state.update(last)
-        yield pd.DataFrame(out, columns=["serial", "at", "kind"])
+        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+        last = state.get if state.exists else (0, 0)  # two states agree before the first pair
+        was_a, was_b = np.concatenate([[last[0]], a[:-1]]), np.concatenate([[last[1]], b[:-1]])
+        differs, differed, moved = a != b, was_a != was_b, (a != was_a) | (b != was_b)
+        kind = np.select([differs & ~differed, differs & moved, ~differs & differed], ["entered", "changed", "resolved"], "")
+        state.update((int(a[-1]), int(b[-1])))
+        yield pd.DataFrame({"serial": key[0], "at": rows["at"].to_numpy(), "kind": kind})[kind != ""]
 
     schema = T.StructType([pairs.schema["serial"], pairs.schema["at"], T.StructField("kind", T.StringType())])
     return pairs.groupBy("serial").applyInPandasWithState(step, schema, "a long, b long", "append", "NoTimeout")
