@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of all contracts; ``bytes.split()`` and Arrow's ASCII split use exactly this set.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -121,13 +122,15 @@ def unshield(result: DataFrame, docs: DataFrame, other: dict[str, str]) -> DataF
     return result.select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns])
 
 
-#: Rows of two or three numbers that are broadcast at most (some 50 MB as a hash table).
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers, and items of their arrays, that are broadcast at most (some 50 MB each, and 100 MB).
+BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 4_000_000
 
 
 def small_or_merged(written: DataFrame) -> DataFrame:
-    """A written table, for a join: broadcast where it has at most ``BROADCAST_ROWS`` rows, else merged."""
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("merge")
+    """A written table, for a join: broadcast where it has at most ``BROADCAST_ROWS`` rows and ``BROADCAST_ITEMS`` items in their arrays, else merged."""
+    items = [F.size(f.name) for f in written.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    told = written.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(sum(items, F.lit(0))), F.lit(0)).alias("items")).first()
+    return F.broadcast(written) if told.rows <= BROADCAST_ROWS and told["items"] <= BROADCAST_ITEMS else written.hint("merge")
 
 
 #: Part of all rows from which a key is hot, and tasks that share one.
