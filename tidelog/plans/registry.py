@@ -545,6 +545,12 @@ def peers(spark: SparkSession) -> DataFrame:
     return rows.select("peer", hlc(F.col("wall"), F.col("ctr")).alias("cursor"), "last_contact_ticks", F.lit(NOW).alias("now_ticks"))
 
 
+@query(f"SELECT key, {NOW} AS wall, 'site-b' AS origin, 'Delete' AS op FROM live WHERE key >= 'u00010/' AND key < 'u00020/'")
+def range_apply(spark, d):
+    gone = capture.apply_range(evlog(spark, d), "u00010/", "u00020/", NOW, hlc(NOW, 0), "site-b")
+    return gone.select("key", F.col("hlc.wall_ticks").alias("wall"), F.col("origin_cluster_id").alias("origin"), F.when(F.col("is_tombstone"), "Delete").otherwise("Set").alias("op"))
+
+
 @query(f"""+ peers AS (SELECT * FROM (VALUES ('east', {CURSOR}), ('north', 0), ('west', {NOW})) t(peer, cursor))
     SELECT peer, count(key) AS entries_behind, CAST(coalesce(sum(strlen(value)), 0) AS BIGINT) AS bytes_behind, CASE WHEN peer = 'north' THEN 'nan'::DOUBLE ELSE ({NOW} - cursor) / 1e7 END AS seconds_since_contact FROM peers LEFT JOIN evlog ON wall > cursor GROUP BY peer, cursor""")
 def peer_lag(spark, d):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.operators import resolve
 from tidelog.plans.registry import FLAT, evlog, flat, query, text
 from tidelog.plans.schema import ENTRIES
 from tidelog.sources.cursor import Cursors
@@ -150,3 +151,70 @@ def store_cursor_delete(spark, d):
     while not done:
         _, _, done = cursors.delete_step(name, 12)
     return tree.scan_keys()
+
+
+@query(f"SELECT key, value FROM resolved WHERE {ALIVE}")
+def store_read_cache(spark, d):
+    """Reads through the cache: the first fills it, the second brings it up to the entries that came meanwhile."""
+    tree = scratch(spark, cache=True).tree("log")
+    for half in (0, 1):
+        tree.bulk_load_raw(evlog(spark, d).where(F.col("event_id") % 2 == half).select(*ENTRIES.names))
+        found = text(tree.scan_entries(), "key", "value")
+        found.isEmpty()
+    return found
+
+
+@query(f"SELECT key, row_number() OVER (ORDER BY key DESC) - 1 AS i FROM resolved WHERE {ALIVE} AND key >= 'u00003/' AND key < 'u00009/'")
+def store_resilient_scan(spark, d):
+    """A small range from its end, page by page, while the tree is resized under the scan."""
+    tree = loaded(spark, d)
+    rows = []
+    for i, (key, _) in enumerate(tree.scan_resilient("u00003/", "u00009/", reverse=True, page_size=16)):
+        if i == 16:
+            tree.store.resize("log", 64, 32)
+        rows.append((key, i))
+    return spark.createDataFrame(rows, "key string, i long")
+
+
+@query(f"SELECT {FLAT} FROM resolved")
+def store_undo_resize(spark, d):
+    tree = loaded(spark, d)
+    tree.store.resize("log", 64, 32)
+    tree.store.undo_resize("log")
+    return flat(resolve.resolve(tree.entries()))
+
+
+@query(f"SELECT 'before' AS state, 64 AS shards, count(*) AS n FROM resolved WHERE {ALIVE} UNION ALL SELECT 'after', 71, count(*) FROM resolved WHERE {ALIVE}")
+def store_reshard(spark, d):
+    """Shards and keys of a tree before its map grows to 70 shards, one of which splits again, and after: no key is lost."""
+    tree = loaded(spark, d)
+    told = lambda state: tree.count_per_shard().agg(F.lit(state).alias("state"), F.count(F.lit(1)).cast("int").alias("shards"), F.sum("n").alias("n"))
+    before = told("before")
+    tree.store.reshard("log", 70)
+    tree.store.split_shard("log", 0)
+    return before.unionByName(told("after"))
+
+
+@query(f"SELECT key, value FROM resolved WHERE {ALIVE}")
+def store_recover(spark, d):
+    """A tree that was deleted and recovered, beside an alias of it that was purged."""
+    tree = loaded(spark, d)
+    store = tree.store
+    store.tree("other")
+    store.catalog.set_alias("other", "log")
+    store.soft_delete("other")
+    store.purge("other")
+    store.soft_delete("log")
+    store.recover("log")
+    return text(tree.scan_entries(), "key", "value")
+
+
+@query("SELECT 'Set' AS kind, 'batch/' || lpad(CAST(i AS VARCHAR), 2, '0') AS key, 'op' AS operation_id, 'first' AS value FROM range(20) r(i) UNION ALL SELECT 'AtomicWriteCompleted', NULL, 'op', NULL")
+def store_atomic(spark, d):
+    """The events of a batch that came twice under one operation id, with the values that its keys have."""
+    store = scratch(spark, publish_events=True)
+    tree = store.tree("log")
+    for value in (b"first", b"again"):
+        tree.set_many_atomic({f"batch/{i:02d}": value for i in range(20)}, operation_id="op")
+    events = spark.read.parquet(f"{store.root}/events").select("kind", "key", "operation_id")
+    return events.join(text(tree.scan_entries(), "key", "value"), "key", "left").select("kind", "key", "operation_id", "value")
