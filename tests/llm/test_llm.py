@@ -407,6 +407,28 @@ def test_line_dedup_of_one_id_and_clashing_columns(spark, monkeypatch):
         assert found["c"]["n_removed"] == found["d"]["n_removed"] == 0 and found["f"]["clean_text"] is None and found["g"]["clean_text"] == "" and found["b"]["clean_text"] == "own\nhead"
 
 
+def test_lines_are_compared_byte_by_byte(spark, monkeypatch):
+    class Weak:  # hashes of a few values, so that different chunks and pairs often agree in all of them
+        def __getattr__(self, name):
+            return (lambda *c: F.pmod(F.xxhash64(*c), F.lit(3))) if name == "xxhash64" else getattr(F, name)
+
+    data = rows() + [(1000 + k, "\n".join(f"line {k * j * j % 11}" for j in range(12)), "en", "a", 0) for k in range(24)]
+    want = plain_repeated_lines(data)
+    monkeypatch.setattr(line_dedup, "F", Weak())
+    found = got(line_dedup.line_dedup(table(spark, data), every_run=True))
+    assert len(found) == len(data) and sum(r["n_removed"] for r in found) > 20
+    for r in found:
+        gone, lines = want[r["doc_id"], r["text"] or ""], (r["text"] or "").split("\n")
+        assert r["n_removed"] == len(gone) and r["clean_text"] == (None if r["text"] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
+
+
+def test_every_line_stands_in_a_chunk_that_is_counted(spark):
+    data = [(k, "\n".join(f"line {k} {j}" for j in range(k)), "en", "a", 0) for k in range(1, 60)]
+    for r in line_dedup.chunk_arrays(table(spark, data), merged=True).collect():
+        assert r["ends"][-1] == len(r["lines"]) and (len(r["lines"]) == 1 or all(b - a >= 2 for a, b in zip([0, *r["ends"]], r["ends"], strict=False)))
+    assert max(len(r["ends"]) for r in line_dedup.chunk_arrays(table(spark, data), merged=True).collect()) > 8
+
+
 def test_registered_line_dedup_removes_every_repeated_line(spark):
     data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     want = plain_repeated_lines(data)

@@ -4,7 +4,8 @@ A rolling hash over the hashes of neighbouring lines decides where a chunk ends,
 line moves only the boundaries beside it. Chunk hashes are counted over all documents; chunks
 whose hash repeats are compared byte by byte, and all but the first of equal ones go. Chunks
 whose edges differ hide what they share: with ``every_run`` an exact check follows, over those pairs
-of neighbouring lines that no removed chunk covers, and finds each line of each repeated run.
+of neighbouring lines that no removed chunk covers. It counts and compares as for chunks, and finds each
+line of each repeated run. Chunks of one line are then merged into a neighbour, so that every line is in one that is counted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import cut, fresh, key_of, salted_join, small_or_merged
+from tidelog.llm.common import cut, fresh, key_of, release, salted_join, small_or_merged, written
 
 #: Lines that the rolling hash sees, one boundary for so many lines on average, and lines of a chunk that may be removed at least.
 WINDOW, DIVISOR, LEAST_LINES = 2, 3, 2
@@ -29,13 +30,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(i.alias("id"), k.alias("dk"), _lines(F.col("text")).alias("lines"))
 
 
-def chunk_arrays(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """(id, dk, lines, ends) of ``docs(doc_id, text)``; ``ends`` holds the number of lines up to the end of each chunk."""
+def chunk_arrays(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, merged: bool = False) -> DataFrame:
+    """(id, dk, lines, ends) of ``docs(doc_id, text)``; ``ends`` holds the number of lines up to the end of each chunk.
+
+    With ``merged`` no chunk of one line is cut off: of boundaries in a row the first counts, and none right after the first line or right before the last.
+    """
     rolled = lambda i: sum((F.coalesce(F.get("hashes", i - 1 - k), F.lit(0).cast("long")) * BASE**k for k in range(window)), F.lit(0).cast("long"))
+    falls = lambda i: rolled(i) % divisor == 0
+    counts = (lambda i: falls(i) & ~falls(i - 1) & (i > 1) & (i != F.size("lines") - 1)) if merged else falls
     return (
         _keyed(docs)
         .withColumn("hashes", F.transform("lines", lambda x: F.pmod(F.xxhash64(x), F.lit(LINE_MOD))))
-        .withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i == F.size("lines")) | (rolled(i) % divisor == 0)))
+        .withColumn("ends", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: (i == F.size("lines")) | counts(i)))
         .drop("hashes")
     )
 
@@ -45,51 +51,62 @@ def _first(no: Column) -> Column:
     return F.when(no > 0, F.get("ends", no - 1)).otherwise(0)
 
 
-def _pieces(rows: DataFrame, no: Column, piece) -> DataFrame:
-    """(id, dk, ...) of the chunks of more than one line, as ``piece(text, number, start, lines)`` has them."""
-    # chunks are made before they become rows, so that no row carries the whole text
-    made = F.transform(no, lambda k: piece(F.array_join(F.slice("lines", _first(k) + 1, F.get("ends", k) - _first(k)), "\n"), k, _first(k), F.get("ends", k) - _first(k)))
+def _runs(rows: DataFrame, runs: Column, piece) -> DataFrame:
+    """(id, dk, ...) of ``runs`` (start, n) of the lines of each of ``rows(id, dk, lines, ...)``, as ``piece(text, start, lines)`` has them."""
+    # runs are made before they become rows, so that no row carries the whole text
+    made = F.transform(runs, lambda x: piece(F.array_join(F.slice("lines", x["start"] + 1, x["n"]), "\n"), x["start"], x["n"]))
     # an outer explode: else Spark tests for empty arrays first, and works out all of the above for each use of it in that test
     return rows.select("id", "dk", made.alias("pieces")).select("id", "dk", F.explode_outer("pieces").alias("x")).where("x IS NOT NULL").select("id", "dk", "x.*")
 
 
-def _long(no: Column) -> Column:
-    return F.filter(no, lambda k: F.get("ends", k) - _first(k) >= LEAST_LINES)
+def _hashed(text: Column, start: Column, n: Column) -> Column:
+    return F.struct(start.alias("start"), n.alias("n"), F.xxhash64(text).alias("h"))
 
 
-def removed_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """(id, dk, start, n) of the chunks of ``docs(doc_id, text)`` that go: an equal one stands earlier."""
-    rows = chunk_arrays(docs, window, divisor)
-    hashed = cut(_pieces(rows, _long(F.sequence(F.lit(0), F.size("ends") - 1)), lambda text, no, start, n: F.struct(no.alias("no"), F.xxhash64(text).alias("h"))))
+def _later(rows: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(id, dk, start, n) of the runs of ``hashed(id, dk, start, n, h)`` over ``rows(id, dk, lines)`` that go: an equal one stands earlier."""
+    spark = rows.sparkSession
+    since = written(spark)
+    hashed = cut(hashed)
     total = hashed.count()
-    again = cut(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    # only chunks whose hash repeats are compared, byte by byte
-    needed = cut(salted_join(hashed, again, "h", "n", total, "dk").groupBy("id", "dk").agg(F.array_sort(F.collect_set("no")).alias("nos")))
-    some = rows.join(small_or_merged(needed), ["id", "dk"])
-    told = lambda text, no, start, n: F.struct(start.alias("start"), n.alias("n"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("v"), text.alias("chunk"))
-    texts = cut(_pieces(some, F.col("nos"), told))
+    again = cut(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    # only runs whose hash repeats are compared, byte by byte
+    needed = cut(salted_join(hashed, again, "h", "rows", total, "dk").groupBy("id", "dk").agg(F.array_sort(F.collect_set(F.shiftleft(F.col("start").cast("long"), 32) + F.col("n"))).alias("runs")))
+    some = rows.select("id", "dk", "lines").join(small_or_merged(needed), ["id", "dk"])
+    runs = F.transform("runs", lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("start"), (x % 2**32).cast("int").alias("n")))
+    told = lambda text, start, n: F.struct(start.alias("start"), n.alias("n"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("v"), text.alias("run"))
+    texts = cut(_runs(some, runs, told))
     at = F.struct("id", "dk", "start")
-    same = texts.groupBy("h", "v", "chunk").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("rows"))
-    # of texts that differ though both of their hashes agree none goes
-    first = cut(same.groupBy("h", "v").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("texts")).where("rows > 1 AND texts = 1").drop("texts"))
-    return cut(salted_join(texts.drop("chunk"), first, ["h", "v"], "rows", total, "dk").where(at > F.col("first")).select("id", "dk", "start", "n"))
+    same = texts.groupBy("h", "v", "run").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = cut(same.groupBy("h", "v").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("texts")).where("rows > 1"))
+    found = salted_join(texts.drop("run"), first.where("texts = 1"), ["h", "v"], "rows", total, "dk")
+    apart = first.where("texts > 1").select("h", "v")
+    if not apart.isEmpty():  # texts that differ though both of their hashes agree: the texts themselves are the key
+        mixed = cut(texts.join(apart, ["h", "v"]))
+        found = found.select("id", "dk", "start", "n", "first").unionByName(mixed.join(mixed.groupBy("run").agg(F.min(at).alias("first")), "run").select("id", "dk", "start", "n", "first"))
+    out = cut(found.where(at > F.col("first")).select("id", "dk", "start", "n"))
+    release(spark, since, out)
+    return out
+
+
+def removed_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, merged: bool = False) -> DataFrame:
+    """(id, dk, start, n) of the chunks of more than one line of ``docs(doc_id, text)`` that go: an equal one stands earlier."""
+    rows = chunk_arrays(docs, window, divisor, merged)
+    chunks = F.transform("ends", lambda end, no: F.struct(_first(no).alias("start"), (end - _first(no)).alias("n")))
+    return _later(rows, _runs(rows, F.filter(chunks, lambda x: x["n"] >= LEAST_LINES), _hashed))
 
 
 def removed_pairs(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """(id, dk, start, n) of the pairs of neighbouring lines of ``docs(doc_id, text)``, none inside a chunk that is ``gone``, that stand earlier.
 
-    Pairs are told apart by two hashes, 128 bits. What a removed chunk holds stands in the first
-    such chunk too, so leaving it out hides no first place.
+    Pairs go the way of chunks: hashes are counted, and those that repeat are compared byte by byte. What a removed
+    chunk holds stands in the first such chunk too, so leaving it out hides no first place.
     """
+    rows = _keyed(docs)
     size = F.greatest(F.size("lines") - 1, F.lit(0))
-    hashed = lambda i: F.struct(i.alias("start"), F.xxhash64(F.get("lines", i), F.get("lines", i + 1)).alias("h"), F.xxhash64(F.lit(1), F.get("lines", i), F.get("lines", i + 1)).alias("v"))
-    pairs = F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), hashed))
-    rows = _keyed(docs).select("id", "dk", F.explode_outer(pairs).alias("x")).where("x IS NOT NULL").select("id", "dk", "x.*")
+    pairs = F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.struct(i.alias("start"), F.lit(2).alias("n"))))
     inside = gone.select("id", "dk", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 2)).alias("start"))
-    left = cut(rows.join(inside, ["id", "dk", "start"], "left_anti"))
-    at = F.struct("id", "dk", "start")
-    first = cut(left.groupBy("h", "v").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
-    return salted_join(left, first, ["h", "v"], "rows", left.count(), "dk").where(at > F.col("first")).select("id", "dk", "start", F.lit(2).alias("n"))
+    return _later(rows, _runs(rows, pairs, _hashed).join(inside, ["id", "dk", "start"], "left_anti"))
 
 
 def line_dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, every_run: bool = False) -> DataFrame:
@@ -105,7 +122,7 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, ev
     only where more documents are concerned than a broadcast takes.
     """
     texts = docs.select("doc_id", "text")
-    gone = removed_chunks(texts, window, divisor)
+    gone = removed_chunks(texts, window, divisor, merged=every_run)
     if every_run:
         gone = gone.unionByName(removed_pairs(texts, gone))
     by_row = gone.groupBy("id", "dk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))))).alias("gone"))
