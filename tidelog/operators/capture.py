@@ -57,15 +57,15 @@ def change_feed(log: DataFrame, cursor: Column, exclude: str | None = None) -> D
     return rows.orderBy("hlc")
 
 
-def apply_feed(feed: DataFrame, marks: DataFrame, local: str, arrival: str) -> DataFrame:
-    """Adds ``applied`` to each entry of ``feed``, in order of ``arrival`` (a whole number).
+def apply_feed(feed: DataFrame, marks: DataFrame, local: str, arrival: str, *ties: str) -> DataFrame:
+    """Adds ``applied`` to each entry of ``feed``, in order of ``arrival`` (a whole number), then of ``ties``.
 
     An entry applies if its stamp is beyond all that came before from its tree and origin and beyond
     the mark in ``marks(tree_id, origin_cluster_id, hwm)``; entries of the local origin never do. A null origin
     is an origin like any other.
     """
     foreign = feed.where(~F.col("origin_cluster_id").eqNullSafe(F.lit(local)))
-    ran = running_max(foreign, ("tree_id", "origin_cluster_id"), arrival, "hlc", "_before")
+    ran = running_max(foreign, ("tree_id", "origin_cluster_id"), arrival, "hlc", "_before", ties=ties)
     ran = null_safe_join(ran, marks, ["tree_id", "origin_cluster_id"], "left")
     ran = ran.withColumn("applied", F.col("hlc") > F.coalesce(F.greatest("_before", "hwm"), zero())).drop("_before", "hwm")
     return ran.unionByName(feed.where(F.col("origin_cluster_id").eqNullSafe(F.lit(local))).withColumn("applied", F.lit(False)))

@@ -36,10 +36,10 @@ def rank(rows: DataFrame, key: str, bucket: Column, name: str = "rank", descendi
     return null_safe_join(rows.withColumn("_r", F.row_number().over(inner)), starts, [*groups, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_r")).cast("long")).drop("_bucket", "_before", "_r")
 
 
-def running_max(rows: DataFrame, groups: tuple[str, ...], order: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
-    """Adds the greatest ``value`` of the earlier rows of the group, null for the first; ``order`` is a whole number."""
+def running_max(rows: DataFrame, groups: tuple[str, ...], order: str, value: str, name: str, width: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the greatest ``value`` of the earlier rows of the group, null for the first; ``order`` is a whole number, ``ties`` order rows that agree in it."""
     rows = rows.withColumn("_bucket", F.floor(F.col(order) / width))
     starts = _start(rows, list(groups), F.col("_bucket"), F.max(value), F.max)
-    inner = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(*BEFORE)
+    inner = Window.partitionBy(*groups, "_bucket").orderBy(order, *ties).rowsBetween(*BEFORE)
     joined = null_safe_join(rows.withColumn("_inner", F.max(value).over(inner)), starts, [*groups, "_bucket"])
     return joined.withColumn(name, F.greatest("_inner", "_earlier")).drop("_bucket", "_inner", "_earlier")
